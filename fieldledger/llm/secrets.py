@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldledger.llm.base import SLICE_ROWS, cut, read_table, without
+from fieldledger.llm.base import SLICE_ROWS, add_columns, cut, read_table, without
 
 RULE_VERSION = "2"
 #: Fixed by the contract: the base kinds, in this order.
@@ -166,8 +166,26 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact_texts(texts: list[str | None]) -> list[str | None]:
-    return [redacted(t, s) if t and (s := find_spans(t)) else t for t in texts]
+def parsed(spans: str) -> list[tuple[int, int, str]]:
+    return [(int(a), int(b), k) for k, a, b in (x.split(":") for x in spans.split(","))]
+
+
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with all secrets replaced in ``text``, and ``n_chars``, if there, to match.
+
+    Every distinct text is scanned once; findings join the rows by blob.
+    """
+    columns = docs.columns
+    rows = with_blobs(without(docs, ["f_blob", "f_spans"]))
+    found = scan_unseen(rows).filter(F.length("spans") > 0).select(F.col("blob").alias("f_blob"), F.col("spans").alias("f_spans"))
+
+    def make():
+        return lambda texts, spans: [[redacted(t, parsed(s)) if s else t for t, s in zip(texts, spans, strict=True)]]
+
+    out = add_columns(rows.join(found, F.col("blob") == F.col("f_blob"), "left"), ["text", "f_spans"], "text string", make, drop=("f_spans", "f_blob", "blob"))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
