@@ -60,6 +60,14 @@ def without(df: DataFrame, names) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def boxed(df: DataFrame, *more: str) -> DataFrame:
+    """The whole row as one struct ``boxed_row``, and the columns an operator works on beside it.
+
+    Operators that give rows back as they came use it: no extra column can clash with theirs.
+    """
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("boxed_row"), *more)
+
+
 def add_columns(df: DataFrame, inputs: list[str], schema: str, make: Callable, drop: tuple = ()) -> DataFrame:
     """Appends the columns of ``schema``, computed from ``inputs`` by the function that ``make()`` gives.
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldledger.llm.base import WORD_PATTERN, cut, read_table, without
+from fieldledger.llm.base import WORD_PATTERN, boxed, cut, read_table, without
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -182,12 +182,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Rows with the same id share one decision (the seeded hash goes by id): the copies of that id.
     """
     copies = mix(sizes(docs.select("doc_id", "source", "text"))).filter("copies > 0").groupBy(F.col("doc_id").alias("m_doc_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size")).agg(F.max("copies").alias("copies"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    joined = sizes(docs).withColumn("m_row_size", F.col("size")) if "size" not in docs.columns else docs.withColumn("m_row_size", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)).cast("long"), F.lit(0).cast("long")))
     return (
-        joined.join(copies, same_source("doc_id", "m_doc_id") & same_source("source", "m_source") & (F.col("m_row_size") == F.col("m_size")))
-        .withColumn("m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .select(*columns)
+        sizes(boxed(docs, "doc_id", "source", "text"))
+        .drop("text")
+        .join(copies, same_source("doc_id", "m_doc_id") & same_source("source", "m_source") & (F.col("size") == F.col("m_size")))
+        .select("boxed_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("m_copy"))
+        .select("boxed_row.*")
     )
 
 

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldledger.llm.base import add_columns, cut, read_table
+from fieldledger.llm.base import add_columns, boxed, cut, read_table
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -180,10 +180,10 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     Texts are read twice and never shuffled, unless the fences outgrow a broadcast, which Spark sees
     by their size; then the join moves rows by group, and splits skewed ones.
     """
-    columns = docs.columns
     narrow = with_counts(docs.select("lang", "source", "text"), drop=("text",))
     fence_rows = cut(group_fences(sketches(narrow)))
-    return judged(with_counts(docs), fence_rows).filter("kept").select(*[F.col(f"`{c}`") for c in columns])
+    rows = with_counts(boxed(docs, "lang", "source", "text"), drop=("text",))
+    return judged(rows, fence_rows).filter("kept").select("boxed_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldledger.llm.base import SLICE_ROWS, add_columns, cut, read_table, without
+from fieldledger.llm.base import SLICE_ROWS, add_columns, boxed, cut, read_table, without
 
 RULE_VERSION = "2"
 #: Fixed by the contract: the base kinds, in this order.
@@ -175,17 +175,16 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 
     Every distinct text is scanned once; findings join the rows by blob.
     """
-    columns = docs.columns
-    rows = with_blobs(without(docs, ["f_blob", "f_spans"]))
+    rows = with_blobs(boxed(docs, "text"))
     found = scan_unseen(rows).filter(F.length("spans") > 0).select(F.col("blob").alias("f_blob"), F.col("spans").alias("f_spans"))
 
     def make():
         return lambda texts, spans: [[redacted(t, parsed(s)) if s else t for t, s in zip(texts, spans, strict=True)]]
 
-    out = add_columns(rows.join(found, F.col("blob") == F.col("f_blob"), "left"), ["text", "f_spans"], "text string", make, drop=("f_spans", "f_blob", "blob"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    joined = rows.join(found, F.col("blob") == F.col("f_blob"), "left").select("boxed_row", "text", "f_spans")
+    out = add_columns(joined, ["text", "f_spans"], "new_text string", make, drop=("text", "f_spans"))
+    changed = {"text": F.col("new_text"), "n_chars": F.coalesce(F.length("new_text"), F.col("boxed_row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return out.select(*[(changed[f.name].cast(f.dataType) if f.name in changed else F.col("boxed_row")[f.name]).alias(f.name) for f in docs.schema])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

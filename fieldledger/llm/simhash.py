@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldledger.llm.base import add_columns, cut, read_table
+from fieldledger.llm.base import add_columns, boxed, cut, read_table
 
 SHINGLE, SEED, BITS, MAX_DISTANCE = 4, 42, 64, 4
 PARTITIONS = (2, 3, 4)
@@ -320,9 +320,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Rows that repeat this id leave one: the first by its columns' hash.
     """
     first = near_duplicates(docs).select(F.col("component_id").alias("kept_id")).distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*columns), *([F.col("text")] if "text" in docs.columns else [])))
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").withColumn("kept_row", one).filter("kept_row = 1").select(*columns)
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("boxed_row"), F.col("boxed_row.text")))
+    return boxed(docs, "doc_id").join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").withColumn("kept_row", one).filter("kept_row = 1").select("boxed_row.*")
 
 
 def hex_fingerprint():
