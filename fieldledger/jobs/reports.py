@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 from fieldledger.functions.spots import absolute_yard, attack_direction, clamp, down_label, field_percent, quarter_label
 from fieldledger.operators import explore, lines, play_text, plays, scoring
 from fieldledger.sources import bridge, manifest
+from fieldledger.sources.stored import stored
 
 ORIGIN, SUFFIX = "https://m.tiontion.example.com", ".html"
 
 
 @dataclass
 class Reports:
-    """The tables of one corpus, each made when first asked for."""
+    """The tables of one corpus; those that several jobs start from are written once a session."""
 
     spark: SparkSession
     sf_dir: str
 
+    def once(self, name: str, make) -> DataFrame:
+        return stored(self.spark, self.sf_dir, name, make)
+
     @property
     def truth(self) -> DataFrame:
-        return bridge.truth(self.spark, self.sf_dir)
+        return self.once("truth", lambda: bridge.truth(self.spark, self.sf_dir))
 
     @property
     def teams(self) -> DataFrame:
@@ -31,20 +35,19 @@ class Reports:
 
     @property
     def lines(self) -> DataFrame:
-        return bridge.report_lines(self.truth)
+        return self.once("lines", lambda: bridge.report_lines(self.truth))
 
     @property
     def classified(self) -> DataFrame:
-        return plays.classify_lines(self.lines, self.teams)
+        return self.once("classified", lambda: plays.classify_lines(self.lines, self.teams))
 
     @property
     def plays(self) -> DataFrame:
-        return plays.with_no_play(plays.with_yards(plays.with_kind(plays.assemble_plays(self.classified))))
+        return self.once("plays", lambda: plays.with_no_play(plays.with_yards(plays.with_kind(plays.assemble_plays(self.classified)))))
 
     @property
     def drives(self) -> tuple[DataFrame, DataFrame]:
-        c = self.classified
-        return plays.attach_drives(plays.drive_starts(c), plays.with_yards(plays.assemble_plays(c)))
+        return plays.attach_drives(plays.drive_starts(self.classified), self.plays)
 
     @property
     def scoring(self) -> DataFrame:
