@@ -56,7 +56,8 @@ def clamp(x: Column, low: int = 0, high: int = 100) -> Column:
 def absolute_yard(spot: Column, visitor: Column, home: Column) -> Column:
     """0 at the visitor's goal, 100 at the home team's; null for an unknown code."""
     code, yard = spot_parts(spot)
-    return F.when(F.trim(spot) == "50", 50).when(code == visitor, clamp(yard)).when(code == home, clamp(100 - yard)).cast("int")
+    near = clamp(yard, 0, 50)
+    return F.when(F.trim(spot) == "50", 50).when(code == visitor, near).when(code == home, 100 - near).cast("int")
 
 
 def field_position(spot: Column, possession: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldledger.functions.spots import absolute_yard, attack_direction, clamp, down_label, field_percent, quarter_label
-from fieldledger.operators import explore, lines, play_text, plays, scoring
+from fieldledger.operators import explore, lines, play_text, plays, scoring, semantics
 from fieldledger.sources import bridge, manifest
 from fieldledger.sources.stored import stored
 
@@ -49,6 +49,15 @@ class Reports:
     def drives(self) -> tuple[DataFrame, DataFrame]:
         return plays.attach_drives(plays.drive_starts(self.classified), self.plays)
 
+    @property
+    def sequence(self) -> DataFrame:
+        with_defence = self.plays.join(self.teams, "game_id").withColumn("defence", F.when(F.col("possession") == F.col("home_id"), F.col("visitor_id")).otherwise(F.col("home_id")))
+        return self.once("sequence", lambda: semantics.play_sequence(with_defence))
+
+    @property
+    def summary(self) -> DataFrame:
+        return self.once("summary", lambda: semantics.play_summary(self.sequence, semantics.merged_penalties(self.sequence)))
+
     @property
     def scoring(self) -> DataFrame:
         return scoring.link_scoring(scoring.scoring_dedup(bridge.scoring(self.truth)), self.plays)
@@ -78,6 +87,10 @@ def spots(r: Reports) -> DataFrame:
     return p.select("game_id", "play_index", "field_position", yard.alias("absolute_yard"), direction.alias("direction"), F.round(field_percent(yard), 4).alias("percent"), mark.cast("int").alias("first_down_mark"), down_label(F.col("down"), F.col("distance"), F.col("is_goal")).alias("down_label"), quarter_label(F.col("quarter")).alias("period"))
 
 
+def current_drives(r: Reports) -> DataFrame:
+    return explore.current_drives(plays.with_drive_id(r.plays, r.drives[1]), r.cursors)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -112,6 +125,17 @@ JOBS = {
     "game_flow": lambda r: explore.game_flow(r.drives[0]),
     "play_flags": lambda r: explore.play_flags(r.plays),
     "player_plays": lambda r: explore.player_plays(play_text.tacklers(r.plays).select("game_id", "play_index", "player")),
+    "all_actions": lambda r: r.sequence.filter("type = 'action'").select("game_id", "play_index", "start", "action_type", "outcome", "actor", "target", "team_id", "end_position", "yards"),
+    "possession_changes": lambda r: r.sequence.filter("type = 'possession-change'").select("game_id", "play_index", "team_id", "location", "result"),
+    "play_sequence": lambda r: r.sequence.select("game_id", "play_index", "event_order", "type", "ruling", "phase"),
+    "participants": lambda r: semantics.participants(r.sequence).select("game_id", "play_index", "name", "role", "source", "team_id"),
+    "merged_penalties": lambda r: semantics.merged_penalties(r.sequence).drop("event_order"),
+    "play_summary": lambda r: r.summary,
+    "field_view": lambda r: explore.field_view(r.summary, r.plays, r.teams),
+    "parse_outcome": lambda r: explore.parse_outcome(r.summary, r.scoring),
+    "period_summary": lambda r: explore.period_summary(scoring.score_by_period(r.scoring, r.plays.groupBy("game_id").agg(F.max("quarter").alias("last_quarter")))),
+    "drive_so_far": lambda r: explore.drive_so_far(*r.drives, current_drives(r)),
+    "drive_participants": lambda r: explore.drive_participants(semantics.participants(r.sequence), *r.drives, current_drives(r)),
     "source_vs_parsed": lambda r: explore.source_vs_parsed(r.plays, play_text.penalties(r.plays)),
 }
 
@@ -153,7 +177,62 @@ at_play AS (SELECT t.game_id, t.i AS play_index, coalesce(arg_max(l.visitor_scor
   FROM truth t LEFT JOIN linked l ON l.game_id = t.game_id AND l.play_index >= 0 AND l.play_index <= t.i GROUP BY ALL)"""
 ABS = "CASE WHEN possession = visitor THEN abs_yard + to_go ELSE abs_yard - to_go END"
 
+CASES = """,
+cases AS (SELECT *, i AS play_index, CASE WHEN yards = 0 THEN 'no-gain' WHEN yards < 0 THEN 'loss' ELSE 'gain' END AS moved,
+  CASE event_type WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'td' ELSE 'fg' END WHEN 'signup' THEN 'punt' WHEN 'click' THEN 'rush'
+    WHEN 'error' THEN CASE event_id % 4 WHEN 0 THEN 'int' WHEN 1 THEN CASE WHEN yards = 0 THEN 'flat' ELSE 'sack' END WHEN 2 THEN 'fum' ELSE 'pen' END
+    ELSE CASE WHEN event_id % 3 < 2 THEN 'comp' ELSE 'inc' END END AS c FROM truth),
+first_actions AS (SELECT game_id, play_index, 0 AS start, CASE c WHEN 'fg' THEN 'field-goal' WHEN 'punt' THEN 'punt' WHEN 'sack' THEN 'sack' WHEN 'rush' THEN 'rush' WHEN 'fum' THEN 'rush' ELSE 'pass' END AS action_type,
+  CASE c WHEN 'td' THEN 'touchdown' WHEN 'int' THEN 'interception' WHEN 'pen' THEN 'incomplete' WHEN 'inc' THEN 'incomplete' WHEN 'comp' THEN 'complete' WHEN 'fg' THEN 'good' WHEN 'sack' THEN 'loss' WHEN 'punt' THEN NULL ELSE moved END AS outcome,
+  passer AS actor, CASE WHEN c IN ('td', 'int', 'pen', 'comp', 'inc') THEN target END AS target, possession AS team_id,
+  CASE WHEN c IN ('int', 'sack', 'rush', 'fum', 'comp', 'punt') THEN end_spot END AS end_position, CAST(CASE c WHEN 'fg' THEN 44 WHEN 'punt' THEN 40 WHEN 'int' THEN NULL WHEN 'pen' THEN NULL WHEN 'inc' THEN NULL ELSE yards END AS INTEGER) AS yards
+  FROM cases WHERE c <> 'flat'),
+returns AS (SELECT game_id, play_index, CAST(strpos(description, concat('. ', defender, ' to ')) + 1 AS INTEGER) AS start, 'return' AS action_type, moved AS outcome, defender AS actor, CAST(NULL AS VARCHAR) AS target, defence AS team_id, spot AS end_position, CAST(yards AS INTEGER) AS yards
+  FROM cases WHERE c IN ('int', 'punt')),
+steps AS (SELECT *, CASE c WHEN 'td' THEN ['action', 'touchdown'] WHEN 'fg' THEN ['action', 'kick-crew'] WHEN 'punt' THEN ['action', 'possession-change', 'raw', 'action', 'defense'] WHEN 'int' THEN ['action', 'possession-change', 'action', 'defense']
+  WHEN 'flat' THEN ['raw', 'defense'] WHEN 'fum' THEN ['action', 'defense', 'fumble', 'defense', 'recovery', 'possession-change'] WHEN 'pen' THEN ['action', 'penalty'] WHEN 'inc' THEN ['action'] ELSE ['action', 'defense'] END AS types FROM cases),
+roles AS (SELECT game_id, play_index, c, possession, defence, unnest(CASE c
+  WHEN 'td' THEN [[passer, 'passer', 'main', possession], [target, 'receiver', 'main', possession]]
+  WHEN 'comp' THEN [[passer, 'passer', 'main', possession], [target, 'receiver', 'main', possession], [defender, 'tackler', 'parenthetical', defence]]
+  WHEN 'inc' THEN [[passer, 'passer', 'main', possession], [target, 'target', 'main', possession]]
+  WHEN 'pen' THEN [[passer, 'passer', 'main', possession], [target, 'target', 'main', possession], [defender, 'penalized', 'penalty', defence]]
+  WHEN 'fg' THEN [[passer, 'kicker', 'main', possession], [target, 'snapper', 'annotation', possession], [second, 'holder', 'annotation', possession]]
+  WHEN 'punt' THEN [[passer, 'punter', 'main', possession], [defender, 'returner', 'main', defence], [second, 'tackler', 'parenthetical', defence]]
+  WHEN 'int' THEN [[passer, 'passer', 'main', possession], [target, 'target', 'main', possession], [defender, 'interceptor', 'main', defence], [defender, 'returner', 'main', defence], [second, 'tackler', 'parenthetical', defence]]
+  WHEN 'sack' THEN [[passer, 'passer', 'main', possession], [defender, 'sacker', 'parenthetical', defence]]
+  WHEN 'flat' THEN [[defender, 'tackler', 'parenthetical', defence]]
+  WHEN 'fum' THEN [[passer, 'rusher', 'main', possession], [defender, 'tackler', 'parenthetical', defence], [defender, 'forced-fumble', 'parenthetical', defence], [second, 'recovery', 'annotation', defence]]
+  ELSE [[passer, 'rusher', 'main', possession], [defender, 'tackler', 'parenthetical', defence], [second, 'tackler', 'parenthetical', defence]] END) AS p FROM cases),
+involved AS (SELECT DISTINCT game_id, play_index, p[1] AS name, p[2] AS role, p[3] AS source, p[4] AS team_id FROM roles)"""
+CURRENT = ", current AS (SELECT c.game_id, c.cursor, arg_max(x.drive_id, x.start_no) AS drive_id FROM cursors c JOIN inside x ON x.game_id = c.game_id AND x.play_index = c.cursor GROUP BY ALL)"
+OFFICIAL_END = "CASE WHEN c IN ('int', 'punt', 'pen') THEN spot WHEN c IN ('sack', 'rush', 'fum', 'comp') THEN end_spot END"
+FINAL_YARD = "CASE WHEN c IN ('int', 'punt', 'pen') THEN abs_yard WHEN c IN ('sack', 'rush', 'fum', 'comp') THEN end_yard END"
+BY_PERIOD = """, grid AS (SELECT game_id, CAST(unnest(range(1, greatest(4, max(quarter)) + 1)) AS INTEGER) AS quarter FROM truth GROUP BY game_id),
+        upto AS (SELECT g.game_id, g.quarter, coalesce(max(s.visitor_score), 0) AS v, coalesce(max(s.home_score), 0) AS h FROM grid g LEFT JOIN scores s ON s.game_id = g.game_id AND s.quarter <= g.quarter GROUP BY ALL)"""
+
 SELECTS = {
+    "all_actions": (CASES, "SELECT * FROM first_actions UNION ALL SELECT * FROM returns"),
+    "possession_changes": (CASES, "SELECT game_id, play_index, defence AS team_id, CASE c WHEN 'fum' THEN spot ELSE end_spot END AS location, CASE c WHEN 'fum' THEN 'recovery' WHEN 'int' THEN 'interception' ELSE c END AS result FROM cases WHERE c IN ('int', 'punt', 'fum')"),
+    "play_sequence": (CASES, "SELECT game_id, play_index, event_order, type, 'official' AS ruling, CASE WHEN type = 'raw' THEN 'administrative' ELSE 'scrimmage' END AS phase FROM (SELECT game_id, play_index, CAST(generate_subscripts(types, 1) - 1 AS INTEGER) AS event_order, unnest(types) AS type FROM steps)"),
+    "participants": (CASES, "SELECT * FROM involved"),
+    "merged_penalties": (CASES, "SELECT game_id, play_index, defence AS team_id, defender AS player, 'Defensive Holding' AS penalty_type, 5 AS yards, spot, 'enforced' AS enforcement, 'accepted' AS status, TRUE AS no_play, 'scrimmage' AS phase, CAST(1 AS BIGINT) AS occurrences FROM cases WHERE c = 'pen'"),
+    "play_summary": (CASES, f"""SELECT k.game_id, k.play_index, k.possession, a.action_type AS official_action, a.outcome AS official_outcome, a.actor AS official_actor, a.team_id AS official_team, {OFFICIAL_END} AS official_end,
+        CASE c WHEN 'int' THEN 'INTERCEPTION' WHEN 'fum' THEN 'FUMBLE LOST' END AS turnover_label, CASE WHEN c IN ('int', 'punt', 'fum') THEN defence END AS changed_to, CASE c WHEN 'fum' THEN spot WHEN 'int' THEN end_spot WHEN 'punt' THEN end_spot END AS changed_at,
+        CASE c WHEN 'fum' THEN 'recovery' WHEN 'int' THEN 'interception' WHEN 'punt' THEN 'punt' END AS changed_by, r.actor AS returner, r.yards AS return_yards,
+        CASE c WHEN 'td' THEN 'pass-complete' WHEN 'comp' THEN 'pass-complete' WHEN 'inc' THEN 'pass-incomplete' WHEN 'pen' THEN 'pass-incomplete' WHEN 'int' THEN 'pass-intercepted' WHEN 'fg' THEN 'field-goal' WHEN 'punt' THEN 'punt' WHEN 'sack' THEN 'sack' WHEN 'flat' THEN 'other' ELSE 'run' END AS visualization,
+        c = 'td' AS touchdown, FALSE AS reviewed, CAST(len(types) AS BIGINT) AS events, CAST(len(list_filter(types, lambda x: x = 'action')) AS BIGINT) AS actions, CAST(len(list_filter(types, lambda x: x = 'raw')) AS BIGINT) AS raw_parts, CASE WHEN c IN ('punt', 'flat') THEN 'partial' ELSE 'structured' END AS parse_status
+        FROM steps k LEFT JOIN returns r USING (game_id, play_index) LEFT JOIN (SELECT * FROM returns UNION ALL SELECT f.* FROM first_actions f ANTI JOIN returns x USING (game_id, play_index)) a USING (game_id, play_index)"""),
+    "field_view": (CASES, f"SELECT game_id, play_index, abs_yard AS start_yard, final_yard, round(10 + abs_yard * 0.8::DOUBLE, 4) AS start_percent, round(10 + final_yard * 0.8::DOUBLE, 4) AS final_percent, CAST((final_yard - abs_yard) * CASE WHEN possession = visitor THEN 1 ELSE -1 END AS INTEGER) AS movement FROM (SELECT *, {FINAL_YARD} AS final_yard FROM cases)"),
+    "parse_outcome": (CASES + SCORES, """SELECT g.*, coalesce(u.unlinked, 0) AS unlinked, FALSE AS coverage_low, CASE WHEN coalesce(u.unlinked, 0) > 0 THEN 'partial' ELSE 'complete' END AS outcome
+        FROM (SELECT game_id, count(*) AS plays, count(*) FILTER (c NOT IN ('punt', 'flat')) AS structured, count(*) FILTER (c IN ('punt', 'flat')) AS partial, CAST(0 AS BIGINT) AS raw FROM cases GROUP BY 1) g
+        LEFT JOIN (SELECT game_id, count(*) FILTER (play_index < 0) AS unlinked FROM linked GROUP BY 1) u USING (game_id)"""),
+    "period_summary": (SCORES + BY_PERIOD, """SELECT game_id, CASE WHEN title = 'FINAL' AND visitor_score = home_score THEN 'FINAL - TIE' ELSE title END AS title, visitor_score, home_score FROM (
+        SELECT game_id, t.title, CAST(max(CASE WHEN quarter <= t.q THEN v ELSE 0 END) AS BIGINT) AS visitor_score, CAST(max(CASE WHEN quarter <= t.q THEN h ELSE 0 END) AS BIGINT) AS home_score
+        FROM upto, (VALUES ('HALFTIME', 2), ('END OF REGULATION', 4), ('FINAL', 99)) t(title, q) GROUP BY ALL)"""),
+    "drive_so_far": (STARTS + CURRENT, "SELECT u.game_id, u.drive_id, d.team_id, count(*) AS plays_so_far, CASE WHEN d.last_play_index <= u.cursor THEN d.net_yards END AS net_yards FROM current u JOIN drives d USING (game_id, drive_id) JOIN inside x ON x.game_id = u.game_id AND x.drive_id = u.drive_id AND x.play_index <= u.cursor GROUP BY u.game_id, u.drive_id, d.team_id, d.last_play_index, u.cursor, d.net_yards"),
+    "drive_participants": (STARTS + CURRENT + CASES, f"""SELECT game_id, CAST(rank AS INTEGER) AS rank, name, role FROM (SELECT game_id, name, role, row_number() OVER (PARTITION BY game_id ORDER BY min(v.play_index), list_position({list(explore.OFFENSIVE_ROLES)}, role), name) AS rank
+        FROM involved v JOIN current u USING (game_id) JOIN drives d ON d.game_id = u.game_id AND d.drive_id = u.drive_id JOIN inside x ON x.game_id = u.game_id AND x.drive_id = u.drive_id AND x.play_index = v.play_index AND x.play_index <= u.cursor
+        WHERE v.team_id = d.team_id AND role IN {explore.OFFENSIVE_ROLES} GROUP BY game_id, name, role) WHERE rank <= 8"""),
     "drives": (STARTS, "SELECT * FROM drives"),
     "plays_assembled": ("", "SELECT game_id, i AS play_index, quarter, possession, clock, clock_sec, down, distance, is_goal, spot AS yard_line, description FROM truth"),
     "plays_from_items": ("", "SELECT game_id, i AS play_index, quarter, clock_sec, down, spot AS yard_line, possession, description FROM truth"),

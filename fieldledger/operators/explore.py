@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldledger.functions.spots import absolute_yard, field_percent
+
 
 def visible_plays(plays: DataFrame, cursors: DataFrame) -> DataFrame:
     """Plays up to each game's cursor (-1: none); nothing later shows."""
@@ -71,3 +73,56 @@ def source_vs_parsed(plays: DataFrame, penalties: DataFrame) -> DataFrame:
     named = plays.groupBy("game_id").agg(F.sum(F.regexp_count("description", F.lit("PENALTY on"))).alias("named"))
     found = penalties.groupBy("game_id").agg(F.count("*").alias("parsed"))
     return named.join(found, "game_id", "left").withColumn("parsed", F.coalesce("parsed", F.lit(0)))
+
+
+def period_summary(by_period: DataFrame) -> DataFrame:
+    """Totals at half time, after four quarters and at the end, from points by period; equal final totals are a tie."""
+    upto = lambda c, q: F.sum(F.when(F.col("quarter") <= q, F.col(c)).otherwise(0))
+    stages = [("HALFTIME", 2), ("END OF REGULATION", 4), ("FINAL", 99)]
+    rows = F.array(*[F.struct(F.lit(title).alias("title"), upto("visitor_points", q).alias("visitor_score"), upto("home_points", q).alias("home_score")) for title, q in stages])
+    out = by_period.groupBy("game_id").agg(rows.alias("rows")).select("game_id", F.explode("rows").alias("s")).select("game_id", "s.*")
+    tie = (F.col("title") == "FINAL") & (F.col("visitor_score") == F.col("home_score"))
+    return out.withColumn("title", F.when(tie, "FINAL - TIE").otherwise(F.col("title")))
+
+
+def current_drives(plays: DataFrame, cursors: DataFrame) -> DataFrame:
+    """(game_id, cursor, drive_id) of the play at each game's cursor; plays carry drive_id."""
+    return plays.join(cursors, "game_id").filter(F.col("play_index") == F.col("cursor")).filter("drive_id is not null").select("game_id", "cursor", "drive_id")
+
+
+def drive_so_far(drives: DataFrame, drive_plays: DataFrame, current: DataFrame) -> DataFrame:
+    """Plays of the current drive up to the cursor; yards only once the drive has ended."""
+    counted = current.join(drive_plays.select("game_id", "drive_id", "play_index"), ["game_id", "drive_id"]).filter(F.col("play_index") <= F.col("cursor")).groupBy("game_id", "drive_id").agg(F.count("*").alias("plays_so_far"))
+    return current.join(drives, ["game_id", "drive_id"]).join(counted, ["game_id", "drive_id"]).select("game_id", "drive_id", "team_id", "plays_so_far", masked("net_yards"))
+
+
+OFFENSIVE_ROLES = ("passer", "receiver", "target", "rusher", "kicker", "punter", "returner")
+
+
+def drive_participants(involved: DataFrame, drives: DataFrame, drive_plays: DataFrame, current: DataFrame, n: int = 8) -> DataFrame:
+    """The first ``n`` distinct names and roles of the current drive's team up to the cursor, in order of play and role list."""
+    seen = current.join(drives.select("game_id", "drive_id", F.col("team_id").alias("drive_team")), ["game_id", "drive_id"]).join(drive_plays.select("game_id", "drive_id", "play_index"), ["game_id", "drive_id"]).filter(F.col("play_index") <= F.col("cursor"))
+    rows = involved.filter(F.col("role").isin(*OFFENSIVE_ROLES)).join(seen, ["game_id", "play_index"]).filter(F.col("team_id") == F.col("drive_team"))
+    first = rows.groupBy("game_id", "name", "role").agg(F.min("play_index").alias("play_index"))
+    role_rank = F.array_position(F.array(*[F.lit(r) for r in OFFENSIVE_ROLES]), F.col("role"))
+    rank = F.row_number().over(Window.partitionBy("game_id").orderBy("play_index", role_rank, "name"))
+    return first.withColumn("rank", rank).filter(F.col("rank") <= n).select("game_id", "rank", "name", "role")
+
+
+def parse_outcome(summary: DataFrame, scoring: DataFrame, least_plays: int = 20, most_raw: float = 0.15) -> DataFrame:
+    """Per game: plays by parse status, low coverage, unlinked scoring rows, and complete or partial."""
+    count = lambda status: F.count_if(F.col("parse_status") == status)
+    games = summary.groupBy("game_id").agg(F.count("*").alias("plays"), count("structured").alias("structured"), count("partial").alias("partial"), count("raw").alias("raw"))
+    unlinked = scoring.groupBy("game_id").agg(F.count_if(F.col("play_index") < 0).alias("unlinked"))
+    d = games.join(unlinked, "game_id", "left").withColumn("unlinked", F.coalesce("unlinked", F.lit(0)))
+    low = (F.col("plays") >= least_plays) & (F.col("raw") > most_raw * F.col("plays"))
+    return d.withColumn("coverage_low", low).withColumn("outcome", F.when(low | (F.col("unlinked") > 0), "partial").otherwise("complete"))
+
+
+def field_view(summary: DataFrame, plays: DataFrame, teams: DataFrame) -> DataFrame:
+    """Start and final spot of each play as yards and percent, and the movement in the attack's direction."""
+    d = plays.select("game_id", "play_index", "yard_line").join(summary.select("game_id", "play_index", "possession", "official_end"), ["game_id", "play_index"]).join(teams, "game_id")
+    yard = lambda c: absolute_yard(F.col(c), F.col("visitor_id"), F.col("home_id"))
+    sign = F.when(F.col("possession") == F.col("visitor_id"), 1).when(F.col("possession") == F.col("home_id"), -1)
+    d = d.withColumns({"start_yard": yard("yard_line"), "final_yard": yard("official_end")})
+    return d.select("game_id", "play_index", "start_yard", "final_yard", F.round(field_percent(F.col("start_yard")), 4).alias("start_percent"), F.when(F.col("final_yard").isNotNull(), F.round(field_percent(F.col("final_yard")), 4)).alias("final_percent"), ((F.col("final_yard") - F.col("start_yard")) * sign).alias("movement"))
