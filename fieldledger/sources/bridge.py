@@ -61,8 +61,10 @@ t4 AS (
          {name('event_id * 3 % 40')} AS passer, {name('event_id * 5 % 40')} AS target, {name('event_id * 7 % 40')} AS defender, {name('event_id * 11 % 40')} AS second,
          concat(CAST(clock_sec {div} 60 AS VARCHAR(9)), ':', lpad(CAST(clock_sec % 60 AS VARCHAR(9)), 2, '0')) AS clock
   FROM t3),
+t5 AS (
+  SELECT *, {spot('abs_yard')} AS spot, {spot('end_yard')} AS end_spot, {gain} AS gain_text FROM t4),
 truth AS (
-  SELECT *, {spot('abs_yard')} AS spot, {spot('end_yard')} AS end_spot,
+  SELECT *,
     CASE event_type
       WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'touchdown' ELSE 'field-goal' END
       WHEN 'signup' THEN 'punt'
@@ -70,19 +72,19 @@ truth AS (
       WHEN 'error' THEN CASE event_id % 4 WHEN 0 THEN 'turnover' WHEN 1 THEN 'sack' WHEN 2 THEN 'turnover' ELSE 'penalty' END
       ELSE 'pass' END AS kind,
     CASE event_type
-      WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN concat(passer, ' pass short left to ', target, ' {{gain}}, TOUCHDOWN.')
+      WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN concat(passer, ' pass short left to ', target, ' ', gain_text, ', TOUCHDOWN.')
                                 ELSE concat(passer, ' 44 yard field goal is GOOD, Center-', target, ', Holder-', second, '.') END
-      WHEN 'signup' THEN concat(passer, ' punts 40 yards to ', {spot('end_yard')}, ', Center-', target, '. ', defender, ' to ', {spot('abs_yard')}, ' {{gain}} (', second, ').')
-      WHEN 'click' THEN concat(passer, ' ', {pick(DIRECTIONS, 'event_id % 7')}, ' to ', {spot('end_yard')}, ' {{gain}} (', defender, '; ', second, ').')
+      WHEN 'signup' THEN concat(passer, ' punts 40 yards to ', end_spot, ', Center-', target, '. ', defender, ' to ', spot, ' ', gain_text, ' (', second, ').')
+      WHEN 'click' THEN concat(passer, ' ', {pick(DIRECTIONS, 'event_id % 7')}, ' to ', end_spot, ' ', gain_text, ' (', defender, '; ', second, ').')
       WHEN 'error' THEN CASE event_id % 4
-        WHEN 0 THEN concat(passer, ' pass short middle intended for ', target, ' INTERCEPTED by ', defender, ' at ', {spot('end_yard')}, '. ', defender, ' to ', {spot('abs_yard')}, ' {{gain}} (', second, ').')
-        WHEN 1 THEN concat(passer, ' sacked at ', {spot('end_yard')}, ' {{gain}} (', defender, ').')
-        WHEN 2 THEN concat(passer, ' up the middle to ', {spot('end_yard')}, ' {{gain}} (', defender, '). FUMBLES (', defender, '), RECOVERED by ', defence, '-', second, ' at ', {spot('abs_yard')}, '.')
-        ELSE concat(passer, ' pass incomplete short right to ', target, '. PENALTY on ', defence, '-', defender, ', Defensive Holding, 5 yards, enforced at ', {spot('abs_yard')}, ' - No Play.') END
-      ELSE CASE WHEN event_id % 3 < 2 THEN concat('(Shotgun) ', passer, ' pass short left to ', target, ' to ', {spot('end_yard')}, ' {{gain}} (', defender, ').')
+        WHEN 0 THEN concat(passer, ' pass short middle intended for ', target, ' INTERCEPTED by ', defender, ' at ', end_spot, '. ', defender, ' to ', spot, ' ', gain_text, ' (', second, ').')
+        WHEN 1 THEN concat(passer, ' sacked at ', end_spot, ' ', gain_text, ' (', defender, ').')
+        WHEN 2 THEN concat(passer, ' up the middle to ', end_spot, ' ', gain_text, ' (', defender, '). FUMBLES (', defender, '), RECOVERED by ', defence, '-', second, ' at ', spot, '.')
+        ELSE concat(passer, ' pass incomplete short right to ', target, '. PENALTY on ', defence, '-', defender, ', Defensive Holding, 5 yards, enforced at ', spot, ' - No Play.') END
+      ELSE CASE WHEN event_id % 3 < 2 THEN concat('(Shotgun) ', passer, ' pass short left to ', target, ' to ', end_spot, ' ', gain_text, ' (', defender, ').')
                 ELSE concat(passer, ' pass incomplete deep right to ', target, '.') END END AS description
-  FROM t4)
-""".replace("{gain}", f"', {gain}, '")
+  FROM t5)
+"""
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
