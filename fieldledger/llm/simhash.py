@@ -295,9 +295,10 @@ def fingerprint_links(distinct: DataFrame, sample: np.ndarray, n: int) -> DataFr
 
 
 def link_fingerprints(rows: DataFrame) -> DataFrame:
-    """(doc_id, fp) -> doc_id, fp, component_id, one row for each row.
+    """(doc_id, fp) -> doc_id, fp, component_id, root, one row for each row.
 
     component_id is the least doc_id that links reach; it is null only where all of those are null.
+    root is the component's least fingerprint, which names it in any case.
     """
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     n = distinct.count()
@@ -305,23 +306,29 @@ def link_fingerprints(rows: DataFrame) -> DataFrame:
     roots = components(fingerprint_links(distinct, taken.view(np.uint64), n))
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(ids, "root").select(F.col("fp").alias("c_fp"), "component_id")
-    return rows.join(classes, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
+    classes = named.join(ids, "root").select(F.col("fp").alias("c_fp"), "component_id", "root")
+    return rows.join(classes, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every row of ``docs`` (doc_id, text)."""
+    """doc_id, fp, component_id, root of every row of ``docs`` (doc_id, text)."""
     return link_fingerprints(cut(with_fingerprints(docs.select("doc_id", "text"), drop=("text",))))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each component: the one with the least id.
 
-    Rows that repeat this id leave one: the first by its columns' hash.
+    Rows that repeat this id leave one: the first by its columns' hash.  A component whose ids are all
+    null leaves one row too, by the same hash.
     """
-    first = near_duplicates(docs).select(F.col("component_id").alias("kept_id")).distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("boxed_row"), F.col("boxed_row.text")))
-    return boxed(docs, "doc_id").join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").withColumn("kept_row", one).filter("kept_row = 1").select("boxed_row.*")
+    classes = cut(near_duplicates(docs))
+    first = classes.filter("component_id is not null").select(F.col("component_id").alias("kept_id")).distinct()
+    order = [F.xxhash64("boxed_row"), F.col("boxed_row.text")]
+    one = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    named = boxed(docs, "doc_id").join(first, F.col("doc_id") == F.col("kept_id"), "left_semi").withColumn("kept_row", one("doc_id"))
+    roots = classes.filter("component_id is null").select(F.col("fp").alias("r_fp"), "root").distinct()
+    nameless = with_fingerprints(boxed(docs.filter("doc_id is null"), "text"), drop=("text",)).join(roots, F.col("fp") == F.col("r_fp")).withColumn("kept_row", one("root"))
+    return named.select("boxed_row", "kept_row").unionByName(nameless.select("boxed_row", "kept_row")).filter("kept_row = 1").select("boxed_row.*")
 
 
 def hex_fingerprint():

@@ -141,6 +141,14 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    """A component of null ids leaves one row; null ids beside a known one leave the known one."""
+    rows = [(None, "one two three"), (None, "one two three"), (None, "quite other words here now"), (7, "with a name it stays"), (None, "with a name it stays")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.drop_near_duplicates(docs).collect())
+    assert got == [(0, "one two three"), (0, "quite other words here now"), (7, "with a name it stays")]
+
+
 def test_thresholds_fill_the_pigeonholes():
     cost, thresholds = simhash.allocate([[0.0, 1, 9, 90], [0.0, 5, 6, 90], [0.0, 2, 30, 90]], 4)
     assert sum(t + 1 for t in thresholds) == 4 and cost == 9 and thresholds == [0, 1, 0]
