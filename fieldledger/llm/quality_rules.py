@@ -25,6 +25,8 @@ WHITE = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 GAMMA = 1.04
 FENCE, LEAST_ROWS = 3.0, 200
+#: Fences up to this many bytes are sent to every task; beyond it the join moves rows by group.
+MAX_FENCE_BYTES = 8 << 20
 #: The least spread that a ratio's fence counts with; also the ratios' names.
 LEAST_SPREAD = {
     "symbols_per_word": 0.03,
@@ -149,12 +151,22 @@ def group_fences(sketch: DataFrame) -> DataFrame:
     )
 
 
-def judged(counts: DataFrame, fence_rows: DataFrame) -> DataFrame:
+def fence_bytes(fence_rows: DataFrame) -> int:
+    """About how much the fences take: names, and 64 bytes a ratio."""
+    names = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("lang", "source")), F.lit(64 * len(LEAST_SPREAD)))
+    return fence_rows.agg(F.sum(names.cast("long"))).first()[0] or 0
+
+
+def judged(counts: DataFrame, fence_rows: DataFrame, max_bytes: int = MAX_FENCE_BYTES) -> DataFrame:
     """Adds base_failed, failed_ratios (array) and kept.
 
+    ``fence_rows`` is a checkpoint, whose size Spark doesn't know: it is measured here, and sent to the
+    tasks only within ``max_bytes``.
+
     A group without a fence (all its documents failed the base rules) has nothing to be kept.
     """
     f = fence_rows.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), "fences")
+    f = F.broadcast(f) if fence_bytes(fence_rows) <= max_bytes else f
     failed = F.array_compact(F.array(*[F.when(x > F.col("fences")[k], F.lit(k)) for k, x in ratios().items()]))
     return (
         counts.join(f, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
@@ -171,14 +183,14 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     repeated rows are judged alike; an empty table gives no rows.  Texts are read once.
     """
     counts = cut(with_counts(docs.select("doc_id", "lang", "source", "text"), drop=("text",)))
-    return judged(counts, group_fences(sketches(counts)))
+    return judged(counts, cut(group_fences(sketches(counts))))
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns.
 
-    Texts are read twice and never shuffled, unless the fences outgrow a broadcast, which Spark sees
-    by their size; then the join moves rows by group, and splits skewed ones.
+    Texts are read twice and never shuffled, unless the fences outgrow MAX_FENCE_BYTES; then the join
+    moves rows by group, and splits skewed ones.
     """
     narrow = with_counts(docs.select("lang", "source", "text"), drop=("text",))
     fence_rows = cut(group_fences(sketches(narrow)))
