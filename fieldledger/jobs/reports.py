@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldledger.functions.spots import absolute_yard, attack_direction, clamp, down_label, field_percent, quarter_label
-from fieldledger.operators import explore, lines, play_text, plays, scoring, semantics
+from fieldledger.operators import explore, lines, play_text, plays, scoring, semantics, views
 from fieldledger.sources import bridge, manifest
 from fieldledger.sources.stored import stored
 
@@ -58,6 +58,14 @@ class Reports:
     def summary(self) -> DataFrame:
         return self.once("summary", lambda: semantics.play_summary(self.sequence, semantics.merged_penalties(self.sequence)))
 
+    @property
+    def chart(self) -> DataFrame:
+        def make():
+            told = self.spark.sql(f"WITH truth AS (SELECT * FROM {{plays}}){STARTS.split('cursors AS')[0].rstrip().rstrip(',')}, {bridge.chart_sql()} SELECT * FROM chart", plays=self.truth)
+            return views.drive_chart(lines.rebuild_lines(bridge.chart_items(told, self.teams)), self.teams)
+
+        return self.once("chart", make)
+
     @property
     def scoring(self) -> DataFrame:
         return scoring.link_scoring(scoring.scoring_dedup(bridge.scoring(self.truth)), self.plays)
@@ -136,6 +144,11 @@ JOBS = {
     "period_summary": lambda r: explore.period_summary(scoring.score_by_period(r.scoring, r.plays.groupBy("game_id").agg(F.max("quarter").alias("last_quarter")))),
     "drive_so_far": lambda r: explore.drive_so_far(*r.drives, current_drives(r)),
     "drive_participants": lambda r: explore.drive_participants(semantics.participants(r.sequence), *r.drives, current_drives(r)),
+    "drive_chart": lambda r: r.chart.drop("possession_time", "obtained", "penalty_yards", "first_downs"),
+    "flow_results": lambda r: views.flow_results(r.chart, r.drives[0]),
+    "drive_results": lambda r: views.drive_results(r.chart, r.drives[0], r.plays, r.summary),
+    "drive_detail": lambda r: views.drive_detail(r.drives[1], r.plays).select("game_id", "drive_id", "play_no", "play_index", "clock", "yard_line", "description"),
+    "participant_labels": lambda r: views.participant_labels(semantics.participants(r.sequence)),
     "source_vs_parsed": lambda r: explore.source_vs_parsed(r.plays, play_text.penalties(r.plays)),
 }
 
@@ -204,6 +217,7 @@ roles AS (SELECT game_id, play_index, c, possession, defence, unnest(CASE c
   WHEN 'fum' THEN [[passer, 'rusher', 'main', possession], [defender, 'tackler', 'parenthetical', defence], [defender, 'forced-fumble', 'parenthetical', defence], [second, 'recovery', 'annotation', defence]]
   ELSE [[passer, 'rusher', 'main', possession], [defender, 'tackler', 'parenthetical', defence], [second, 'tackler', 'parenthetical', defence]] END) AS p FROM cases),
 involved AS (SELECT DISTINCT game_id, play_index, p[1] AS name, p[2] AS role, p[3] AS source, p[4] AS team_id FROM roles)"""
+CHART = ", " + bridge.chart_sql()
 CURRENT = ", current AS (SELECT c.game_id, c.cursor, arg_max(x.drive_id, x.start_no) AS drive_id FROM cursors c JOIN inside x ON x.game_id = c.game_id AND x.play_index = c.cursor GROUP BY ALL)"
 OFFICIAL_END = "CASE WHEN c IN ('int', 'punt', 'pen') THEN spot WHEN c IN ('sack', 'rush', 'fum', 'comp') THEN end_spot END"
 FINAL_YARD = "CASE WHEN c IN ('int', 'punt', 'pen') THEN abs_yard WHEN c IN ('sack', 'rush', 'fum', 'comp') THEN end_yard END"
@@ -233,6 +247,18 @@ SELECTS = {
     "drive_participants": (STARTS + CURRENT + CASES, f"""SELECT game_id, CAST(rank AS INTEGER) AS rank, name, role FROM (SELECT game_id, name, role, row_number() OVER (PARTITION BY game_id ORDER BY min(v.play_index), list_position({list(explore.OFFENSIVE_ROLES)}, role), name) AS rank
         FROM involved v JOIN current u USING (game_id) JOIN drives d ON d.game_id = u.game_id AND d.drive_id = u.drive_id JOIN inside x ON x.game_id = u.game_id AND x.drive_id = u.drive_id AND x.play_index = v.play_index AND x.play_index <= u.cursor
         WHERE v.team_id = d.team_id AND role IN {explore.OFFENSIVE_ROLES} GROUP BY game_id, name, role) WHERE rank <= 8"""),
+    "drive_chart": (STARTS + CHART, "SELECT game_id, drive_id, team_id, CAST(team_drive_number AS INTEGER) AS team_drive_number, start_clock, end_clock, start_position, CAST(plays AS INTEGER) AS plays, CAST(net_yards AS INTEGER) AS gross_yards, CAST(net_yards AS INTEGER) AS net_yards, end_position, result FROM chart"),
+    "flow_results": (STARTS + CHART, "SELECT c.game_id, c.drive_id, least(d.quarter, 5) AS period, c.team_id, c.result, c.result IN ('Touchdown', 'Field Goal') AS scoring, c.result IN ('Interception', 'Fumble', 'Downs') AS turnover FROM chart c JOIN drives d USING (game_id, drive_id)"),
+    "drive_results": (STARTS + CHART + CASES, f"""SELECT game_id, drive_id, team_id,
+        CASE result WHEN 'Touchdown' THEN 'touchdown' WHEN 'Field Goal' THEN 'field-goal-good' WHEN 'Punt' THEN 'punt' WHEN 'Interception' THEN 'interception' WHEN 'Fumble' THEN 'fumble' WHEN 'Downs' THEN 'downs' ELSE 'end' END AS category,
+        CASE result WHEN 'Field Goal' THEN 'FIELD GOAL GOOD' WHEN 'Fumble' THEN 'FUMBLE LOST' WHEN 'Downs' THEN 'TURNOVER ON DOWNS' ELSE upper(result) END AS label,
+        CASE WHEN next_team <> team_id THEN next_team WHEN c IN ('int', 'fum') THEN defence END AS new_team,
+        CASE WHEN next_team <> team_id THEN next_spot WHEN c = 'int' THEN end_spot WHEN c = 'fum' THEN spot END AS new_spot, CASE WHEN next_team <> team_id THEN next_down END AS new_down
+        FROM chart h JOIN (SELECT game_id, i AS last_index, c, defence, spot, end_spot, lead(possession) OVER w AS next_team, lead(spot) OVER w AS next_spot,
+          lead(concat(down, CASE down WHEN 1 THEN 'ST' WHEN 2 THEN 'ND' WHEN 3 THEN 'RD' ELSE 'TH' END, ' & ', CASE WHEN is_goal THEN 'Goal' ELSE CAST(distance AS VARCHAR) END)) OVER w AS next_down
+          FROM cases WINDOW w AS (PARTITION BY game_id ORDER BY i)) USING (game_id, last_index)"""),
+    "drive_detail": (STARTS, "SELECT x.game_id, x.drive_id, CAST(row_number() OVER (PARTITION BY x.game_id, x.drive_id ORDER BY x.play_index) AS INTEGER) AS play_no, x.play_index, t.clock, t.spot AS yard_line, t.description FROM inside x JOIN truth t ON t.game_id = x.game_id AND t.i = x.play_index"),
+    "participant_labels": (CASES, f"SELECT game_id, play_index, name, role, min(team_id) AS team_id, CASE role {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in views.ROLE_LABELS.items())} END AS label FROM involved GROUP BY ALL"),
     "drives": (STARTS, "SELECT * FROM drives"),
     "plays_assembled": ("", "SELECT game_id, i AS play_index, quarter, possession, clock, clock_sec, down, distance, is_goal, spot AS yard_line, description FROM truth"),
     "plays_from_items": ("", "SELECT game_id, i AS play_index, quarter, clock_sec, down, spot AS yard_line, possession, description FROM truth"),

@@ -149,3 +149,35 @@ def scoring(plays: DataFrame) -> DataFrame:
         "passer", "kind", "i", own("visitor").alias("visitor_score"), own("home").alias("home_score"),
     )
     return rows.withColumn("page", F.explode(F.array(F.lit(1), F.lit(2))))
+
+
+def chart_sql() -> str:
+    """SQL for the drive chart of ``truth`` and ``drives``, in both dialects: one row for each drive."""
+    return """chart AS (
+  SELECT d.game_id, d.drive_id, d.team_id, d.team_drive_number, d.start_clock, b.clock AS end_clock, a.spot AS start_position,
+         d.plays, d.net_yards, b.spot AS end_position, b.i AS last_index, d.team_drive_number % 4 = 0 AS starred,
+         CASE WHEN b.kind = 'touchdown' THEN 'Touchdown' WHEN b.kind = 'field-goal' THEN 'Field Goal' WHEN b.kind = 'punt' THEN 'Punt'
+              WHEN b.kind = 'turnover' AND b.event_id % 4 = 0 THEN 'Interception' WHEN b.kind = 'turnover' THEN 'Fumble'
+              WHEN b.i = b.n - 1 THEN 'End of Game' ELSE 'Downs' END AS result
+  FROM drives d JOIN truth a ON a.game_id = d.game_id AND a.i = d.first_play_index JOIN truth b ON b.game_id = d.game_id AND b.i = d.last_play_index)"""
+
+
+CHART_PAGE = 9000
+
+
+def chart_items(chart: DataFrame, sides: DataFrame) -> DataFrame:
+    """The chart as words with coordinates: the visitor's rows, the home team's name, its rows."""
+    home = F.col("team_id") == F.col("home_id")
+    text = lambda c: F.col(c).cast("string")
+    position = lambda c, x: [(x, F.get(F.split(c, " "), 0)), (x + 18, F.get(F.split(c, " "), 1))]
+    words = [(F.lit(float(x)), t) for x, t in [
+        (25, text("team_drive_number")), (45, F.col("start_clock")), (80, F.col("end_clock")), (106, F.lit("1:00")), (135, F.lit("Kickoff")), *position("start_position", 206),
+        (260, text("plays")), (290, text("net_yards")), (330, F.lit("0")), (360, text("net_yards")), (400, F.lit("1")),
+        (431, F.when(F.col("starred"), F.lit("*"))), *position("end_position", 440), *[(480 + 30 * k, F.get(F.split("result", " "), k)) for k in range(3)],
+    ]]
+    row_y = F.when(home, 436.0).otherwise(900.0) - 4 * F.col("team_drive_number")
+    rows = chart.join(sides, "game_id").select("game_id", row_y.alias("y"), F.explode(F.filter(F.array(*[F.struct(x.alias("x"), t.alias("text")) for x, t in words]), lambda w: w["text"].isNotNull())).alias("w"))
+    full = F.element_at(F.create_map(*[F.lit(x) for p in TEAMS.items() for x in p]), F.col("home_id"))
+    names = sides.select("game_id", F.lit(440.0).alias("y"), F.posexplode(F.split(full, " ")).alias("k", "text")).select("game_id", "y", F.struct((20.0 + 30 * F.col("k")).alias("x"), "text").alias("w"))
+    every = rows.unionByName(names)
+    return every.select("game_id", F.lit(CHART_PAGE).alias("page"), (F.col("y") * 1000 + F.col("w.x")).cast("int").alias("item_idx"), "w.text", "w.x", "y", (4.0 * F.length("w.text")).alias("width"))
