@@ -8,6 +8,11 @@ counts estimated on a bounded sample.  Each fingerprint stands in a bucket for i
 partition, and probes the buckets that differ from it in up to t bits; what meets in a bucket is
 verified on all 64 bits.  Any sample gives complete results: it only moves the cost.
 
+Corpora are cleaned by another rule, the exact Jaccard similarity of five-word shingles
+(``drop_near_duplicates``): texts at a similarity of 0.8 differ in 10 bits of a fingerprint on average
+and often in more, which is too wide a radius to probe.  Candidates share one of BANDS keys of
+BAND_ROWS least hashes each; a pair at 0.8 shares none with a probability of 4e-7.
+
 Equal fingerprints are one node from the start.  A bucket gives links enough to connect what it
 connects (a forest), never all pairs of a group: a member already reached isn't compared again.
 """
@@ -24,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldledger.llm.base import add_columns, boxed, cut, read_table
+from fieldledger.llm.base import SLICE_ROWS, add_columns, boxed, cut, read_table, written
 
 SHINGLE, SEED, BITS, MAX_DISTANCE = 4, 42, 64, 4
 PARTITIONS = (2, 3, 4)
@@ -37,6 +42,16 @@ BUCKET_ROWS = 50_000
 #: Buckets up to this many comparisons are compared at once.
 MATRIX = 1 << 16
 
+#: Near copies: words a shingle, and the least similarity as a fraction.
+NEAR_SHINGLE, NEAR = 5, (4, 5)
+BANDS, BAND_ROWS = 28, 4
+#: Odd multipliers, two for each order in which a least hash is taken.
+ORDERS = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Clusters with more shingles than this are compared by pairs of blocks.
+CLUSTER_SHINGLES = 2_000_000
+#: Up to this many candidates are sent to the tasks; beyond, texts are shuffled to them.
+SENT_ROWS = 100_000
+
 
 def fingerprint(text: str | None) -> int:
     """The text's 64 bits, unsigned; 0 without words."""
@@ -315,20 +330,136 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return link_fingerprints(cut(with_fingerprints(docs.select("doc_id", "text"), drop=("text",))))
 
 
+# ---- near copies of a corpus: exact similarity of five-word shingles
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted distinct hashes of the text's NEAR_SHINGLE-word shingles; a shorter text is one shingle."""
+    words = (text or "").encode("utf-8").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    shingles = [b" ".join(words)] if len(words) < NEAR_SHINGLE else map(b" ".join, zip(*(words[i:] for i in range(NEAR_SHINGLE))))
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band: a hash of its number and its BAND_ROWS least hashes (of as many orders)."""
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        x = hashes[at : at + 1024, None] * ORDERS[0]
+        x ^= x >> np.uint64(32)
+        x *= ORDERS[1]
+        np.minimum(least, x.min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
+
+
+def with_bands(docs: DataFrame, text: str = "text", drop: tuple = ()) -> DataFrame:
+    """Adds ``node`` (a hash of the shingle set; 0 without words), n_shingles and ``bands``."""
+
+    def rows(texts):
+        sets = [shingle_set(t) for t in texts]
+        nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets]
+        keys = [band_keys(s).view(np.int64).tolist() if len(s) else [] for s in sets]
+        return [np.array(nodes, np.uint64).view(np.int64).tolist(), [len(s) for s in sets], keys]
+
+    return add_columns(docs, [text], "node long, n_shingles long, bands array<long>", lambda: rows, drop)
+
+
+def similar_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect all that pairs of a similarity of NEAR or more connect."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    has, out = np.zeros(int(flat.max()) + 1, bool), []
+    left = np.arange(len(sets))
+    while len(left):
+        stack, left = [int(left[0])], left[1:]
+        while stack and len(left):
+            node = stack.pop()
+            # what differs more in size than NEAR allows isn't looked at
+            fits = (sizes[left] * NEAR[1] >= sizes[node] * NEAR[0]) & (sizes[node] * NEAR[1] >= sizes[left] * NEAR[0])
+            tried = left[fits]
+            if not len(tried):
+                continue
+            own = flat[starts[node] : starts[node] + sizes[node]]
+            has[own] = True
+            ends = np.cumsum(sizes[tried])
+            places = np.arange(ends[-1]) + np.repeat(starts[tried] - ends + sizes[tried], sizes[tried])
+            common = np.add.reduceat(has[flat[places]].astype(np.int64), ends - sizes[tried])
+            has[own] = False
+            near = tried[common * NEAR[1] >= (sizes[tried] + sizes[node] - common) * NEAR[0]]
+            out += [(nodes[node], nodes[x]) for x in near.tolist()]
+            stack += near.tolist()
+            left = np.setdiff1d(left, near, assume_unique=True)
+    return out
+
+
+def dealt_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, node, cluster, blocks) -> the node's set for each pair of blocks that its own block is in."""
+    schema = pa.schema([("cluster", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("node", pa.int64()), ("hashes", pa.binary())])
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            rows = []
+            for r in batch.slice(at, SLICE_ROWS).to_pylist():
+                own, hashes = r["node"] % r["blocks"], shingle_set(r["text"]).tobytes()
+                others = [k for k in range(r["blocks"]) if k != own] or [own]
+                rows += [(r["cluster"], min(own, k), max(own, k), r["node"], hashes) for k in others]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+
+
+def cluster_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of dealt_sets sorted by cluster and blocks -> links (a, b).  One group is held at a time."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    held, group = [], None
+
+    def linked():
+        pairs = similar_links([n for n, _ in held], [np.frombuffer(h, np.uint64) for _, h in held]) if len(held) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], schema=schema)
+
+    for batch in batches:
+        cluster, i, j, node, hashes = (batch.column(c) for c in ("cluster", "i", "j", "node", "hashes"))
+        for key, n, h in zip(zip(cluster.to_pylist(), i.to_pylist(), j.to_pylist()), node.to_pylist(), hashes.to_pylist()):
+            if key != group:
+                yield linked()
+                held, group = [], key
+            held.append((n, h))
+    yield linked()
+
+
+def near_copies(rows: DataFrame) -> DataFrame:
+    """(row_id, text, node, n_shingles, bands) of a written table -> (node, root) of the nodes that have near copies.
+
+    Nodes that share a band's key are candidates, and candidates' clusters are the groups in which sets are
+    compared; a cluster of more than CLUSTER_SHINGLES is dealt out by pairs of blocks.
+    """
+    nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("row_id").alias("row_id"), F.first("n_shingles").alias("n_shingles"))
+    keys = rows.select("node", F.explode("bands").alias("key")).distinct()
+    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
+    candidates = components(keys.join(shared, "key").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    members = nodes.join(candidates.withColumnRenamed("root", "cluster"), "node")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES).alias("blocks"))
+    members = cut(members.join(blocks, "cluster").select(F.col("row_id").alias("m_row_id"), "node", "cluster", "blocks"))
+    sent = F.broadcast(members) if members.count() <= SENT_ROWS else members
+    texts = rows.select("row_id", "text").join(sent, F.col("row_id") == F.col("m_row_id")).select("text", "node", "cluster", "blocks")
+    by = ["cluster", "i", "j"]
+    sets = texts.mapInArrow(dealt_sets, "cluster long, i long, j long, node long, hashes binary")
+    return components(sets.repartition(*by).sortWithinPartitions(*by).mapInArrow(cluster_links, "a long, b long"))
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one document of each component: the one with the least id.
+    """The rows of ``docs`` with one of each group of near copies: the one with the least id.
 
-    Rows that repeat this id leave one: the first by its columns' hash.  A component whose ids are all
-    null leaves one row too, by the same hash.
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of NEAR or more,
+    directly or through chains.  Among rows with the same id, or with none, the columns' hash decides.
     """
-    classes = cut(near_duplicates(docs))
-    first = classes.filter("component_id is not null").select(F.col("component_id").alias("kept_id")).distinct()
-    order = [F.xxhash64("boxed_row"), F.col("boxed_row.text")]
-    one = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    named = boxed(docs, "doc_id").join(first, F.col("doc_id") == F.col("kept_id"), "left_semi").withColumn("kept_row", one("doc_id"))
-    roots = classes.filter("component_id is null").select(F.col("fp").alias("r_fp"), "root").distinct()
-    nameless = with_fingerprints(boxed(docs.filter("doc_id is null"), "text"), drop=("text",)).join(roots, F.col("fp") == F.col("r_fp")).withColumn("kept_row", one("root"))
-    return named.select("boxed_row", "kept_row").unionByName(nameless.select("boxed_row", "kept_row")).filter("kept_row = 1").select("boxed_row.*")
+    boxes = boxed(docs, "text").withColumn("row_id", F.monotonically_increasing_id())
+    rows = written(with_bands(boxes, drop=("text",)), "near")
+    roots = near_copies(rows.select("row_id", F.col("boxed_row.text").alias("text"), "node", "n_shingles", "bands"))
+    slim = rows.select("row_id", "node", F.col("boxed_row.doc_id").alias("doc_id"), F.xxhash64("boxed_row").alias("row_hash"))
+    named = slim.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_hash", "row_id")).alias("first")
+    kept = named.groupBy(F.coalesce("root", "node").alias("root")).agg(first).select(F.col("first.row_id").alias("row_id"))
+    return rows.join(kept, "row_id", "left_semi").select("boxed_row.*")
 
 
 def hex_fingerprint():

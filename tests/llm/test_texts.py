@@ -250,3 +250,43 @@ def test_cascade_is_exact(spark):
     universe = spark.createDataFrame([(int(k),) for k in keys], "key long")
     cascade = url_filter.build_cascade(universe.limit(0).unionByName(spark.createDataFrame([(int(k),) for k in keys[:700]], "key long")), universe)
     assert len(cascade) > 2 and cascade.listed(keys.view(np.uint64)).tolist() == [True] * 700 + [False] * 19_300
+
+
+def brute_groups(values):
+    """Groups of texts by chains of five-word Jaccard similarity of 0.8 or more, by all pairs."""
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, parent = [grams(t) for t in values], list(range(len(values)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    return sorted({root(i) for i in range(len(values))})
+
+
+@pytest.mark.parametrize("shingles", [simhash.CLUSTER_SHINGLES, 500])
+def test_near_copies_against_brute_force(spark, monkeypatch, shingles):
+    monkeypatch.setattr(simhash, "CLUSTER_SHINGLES", shingles)  # the small one deals clusters out over blocks
+    r = random.Random(8)
+    values = []
+    for _ in range(12):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.randint(20, 300))]
+        for _ in range(12):
+            words = list(base)
+            for _ in range(r.randint(0, max(1, len(base) // 60))):
+                words[r.randrange(len(words))] = f"new{r.randrange(10**6)}"
+            values.append(" ".join(words[: len(words) - r.randint(0, len(words) // 8)]))
+    values += [None, "", "a b", "A  b", "x y z"]
+    want = brute_groups(values)
+    assert 15 < len(want) < len(values) // 2
+    got = simhash.drop_near_duplicates(frame(spark, values).repartition(3))
+    assert sorted(x["doc_id"] for x in got.collect()) == want
