@@ -290,3 +290,20 @@ def test_near_copies_against_brute_force(spark, monkeypatch, shingles):
     assert 15 < len(want) < len(values) // 2
     got = simhash.drop_near_duplicates(frame(spark, values).repartition(3))
     assert sorted(x["doc_id"] for x in got.collect()) == want
+
+
+def test_webp_payloads_without_an_exact_rectangle(monkeypatch):
+    for n in (9_452_736, 192 * 16384 + 576):
+        p = (b"a line of an overlong text\n" * (n // 27 + 1))[:n]
+        pixels, back = webp.decode_payload(webp.encode_payload(p, "palette"))
+        assert back == p and pixels.size - n < pixels.shape[1] and pixels.shape[0] <= webp.MAX_SIDE
+    # a small side stands in for payloads beyond one image
+    monkeypatch.setattr(webp, "MAX_SIDE", 400)
+    for n in (576 * 139, 576 * 277, 576 * 1009):
+        p = np.random.default_rng(n).integers(97, 123, n, np.uint8).tobytes()
+        for kind in ("palette", "colour"):
+            media = webp.encode_payload(p, kind)
+            pixels, back = webp.decode_payload(media)
+            assert back == p and (pixels.shape[0] > 400) == (n // (1 if kind == "palette" else 3) > 384 * 400)
+    with pytest.raises(webp.WebpError):
+        webp.decode_payload(webp.encode_payload(p, "palette")[:-40])
