@@ -307,3 +307,11 @@ def test_webp_payloads_without_an_exact_rectangle(monkeypatch):
             assert back == p and (pixels.shape[0] > 400) == (n // (1 if kind == "palette" else 3) > 384 * 400)
     with pytest.raises(webp.WebpError):
         webp.decode_payload(webp.encode_payload(p, "palette")[:-40])
+
+
+def test_webp_corpus_runs_both_forms(spark):
+    values = [f"some text {i} of a corpus" for i in range(640)]
+    got = webp.read_media(webp.with_media(frame(spark, values)), keep_pixels=True).select("doc_id", "payload_sha256").collect()
+    assert {r[0]: r[1] for r in got} == {i: hashlib.sha256(webp.padded(t.encode())).hexdigest() for i, t in enumerate(values)}
+    files = webp.with_media(frame(spark, values)).collect()
+    assert 1 <= sum(not webp.is_palette(r["media"]) for r in files) <= 30
