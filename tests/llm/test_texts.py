@@ -315,3 +315,11 @@ def test_webp_corpus_runs_both_forms(spark):
     assert {r[0]: r[1] for r in got} == {i: hashlib.sha256(webp.padded(t.encode())).hexdigest() for i, t in enumerate(values)}
     files = webp.with_media(frame(spark, values)).collect()
     assert 1 <= sum(not webp.is_palette(r["media"]) for r in files) <= 30
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    """Each group keeps a row, also where two groups' least ids are the same or a dropped row has another's id."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(3, a), (5, a + " more"), (5, b), (7, c), (7, d), (7, d)]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(3, a), (5, b), (7, c), (7, d)]
