@@ -1,11 +1,14 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are labelled good texts; the unlabelled set is a sample of all web text, whatever
-its labels.  With the class prior p, the negatives' risk is what the unlabelled set has above p times
-the positives'; the non-negative estimator holds that part at zero from below and takes the step that
-mends it when a fit has pushed it under.  The scorer is linear in features of form: frequencies of
-pairs of character classes, and a few of words and lines.  Labels of both kinds serve only to
-estimate the prior and to calibrate scores (Platt), never the held-out ones.
+its labels; labelled bad texts are never used.  The class prior is estimated from those two sets: above
+any cutoff the unlabelled set holds at least the prior's share of what the positives have there, so the
+least ratio over cutoffs bounds it from above, closely where the scorer parts the classes.  With the
+prior p, the negatives' risk is what the unlabelled set has above p times the positives'; the
+non-negative estimator holds that part at zero from below and takes the step that mends it when a fit
+has pushed it under.  Scores are calibrated and the threshold is set by the same two sets' risk.
+The scorer is linear in features of form: frequencies of pairs of character classes, and a few of
+words and lines.
 """
 
 from __future__ import annotations
@@ -17,10 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldledger.llm.base import add_columns, held_out, read_table
-from fieldledger.llm.toxicity import logistic, shifted, training_rows
+from fieldledger.llm.toxicity import training_ids
 
-#: The training sample: rows at most.
-MAX_POSITIVE, MAX_NEGATIVE, MAX_UNLABELLED = 4000, 2000, 6000
+#: The training sample: rows at most; texts of any length, whole.
+MAX_POSITIVE, MAX_UNLABELLED = 4000, 6000
+#: Shares of the positives that stand above the cutoffs at which the prior is bounded.
+CUTOFFS = (0.99, 0.98, 0.95, 0.9, 0.85, 0.8)
+FIRST_PRIOR, ROUNDS = 0.5, 3
 STEPS, RATE, GAMMA, RIDGE = 400, 0.03, 1.0, 1e-3
 THRESHOLD = 0.7
 CLASSES = 20
@@ -71,7 +77,7 @@ def with_features(docs: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Model:
     weights: tuple[float, ...] = ()  # over raw features and a constant; empty: nothing to learn from
-    constant: float = 0.5
+    constant: float = FIRST_PRIOR  # the prior
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -98,34 +104,69 @@ def non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float
     return w
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, prior: float, threshold: float = THRESHOLD) -> Model:
-    """Without positives or unlabelled rows the model scores everything with the prior."""
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from both sets' scores."""
+    cutoffs = np.quantile(positive, [1 - c for c in CUTOFFS])
+    ratios = [(unlabelled >= t).mean() / (positive >= t).mean() for t in cutoffs]
+    return float(min(max(min(ratios), 0.01), 0.99))
+
+
+def calibration(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """(a, b) of the logit a + b * score: least unbiased logistic risk, -prior * E_P[logit] + E_U[log(1 + exp(logit))]."""
+    x, w = np.column_stack([np.ones(len(unlabelled)), unlabelled]), np.zeros(2)
+    pull = prior * np.array([1.0, positive.mean()])
+    for _ in range(50):
+        p = sigmoid(x @ w)
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x / len(x) + 1e-4 * np.eye(2), pull - x.T @ p / len(x) - 1e-4 * w)
+        w += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(w[0]), float(w[1])
+
+
+def best_cutoff(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The score above which calling rows good has the least estimated error: missed positives and called negatives."""
+    values = np.unique(np.concatenate([positive, unlabelled]))
+    cutoffs = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2, [values[-1] + 1]])
+    above = lambda x: 1 - np.searchsorted(np.sort(x), cutoffs) / len(x)
+    p, u = above(positive), above(unlabelled)
+    return float(cutoffs[np.argmin(prior * (1 - p) + np.maximum(0, u - prior * p))])
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, threshold: float = THRESHOLD) -> Model:
+    """Without positives or unlabelled rows the model scores everything with FIRST_PRIOR."""
     if not len(positive) or not len(unlabelled):
-        return Model((), float(prior))
+        return Model((), FIRST_PRIOR)
     both = np.vstack([positive, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    w = non_negative_risk((positive - mean) / scale, (unlabelled - mean) / scale, min(max(prior, 0.01), 0.99))
-    raw = np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
-    if len(negative):
-        z = np.concatenate([positive @ raw[:-1], negative @ raw[:-1]]) + raw[-1]
-        y = np.array([1] * len(positive) + [0] * len(negative))
-        a = logistic(np.column_stack([np.ones(len(z)), z]), y, ridge=1e-3)
-        if a[1] > 0:
-            logits = a[0] + a[1] * z
-            raw, raw[-1] = a[1] * raw, a[1] * raw[-1] + a[0] + shifted(logits, y, threshold)
-    return Model(tuple(raw.tolist()))
+    xp, xu, prior = (positive - mean) / scale, (unlabelled - mean) / scale, FIRST_PRIOR
+    for _ in range(ROUNDS):
+        w = non_negative_risk(xp, xu, prior)
+        zp, zu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
+        prior = estimated_prior(zp, zu)
+    _, b = calibration(zp, zu, prior)
+    slope = max(b, 1e-3)  # scores keep their order
+    raw = slope * np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
+    raw[-1] += np.log(threshold / (1 - threshold)) - slope * best_cutoff(zp, zu, prior)
+    return Model(tuple(raw.tolist()), prior)
+
+
+def sampled_features(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """y, features of the rows of ``docs`` whose ids are in ``ids`` (a bounded table), ``most`` of them by the ids' hash.
+
+    Features are computed where the texts lie; only they move.
+    """
+    rows = with_features(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("features")).limit(most).select("y", "features")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Rows that reach the driver are bounded: MAX_POSITIVE + MAX_NEGATIVE + MAX_UNLABELLED feature vectors."""
-    marked = training_rows(docs, labels, "quality", {1: MAX_POSITIVE, 0: MAX_NEGATIVE})
-    any_ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(MAX_UNLABELLED)
-    web = docs.select("doc_id", "text").join(F.broadcast(any_ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(MAX_UNLABELLED).withColumn("y", F.lit(-1))
-    rows = with_features(marked.unionByName(web)).select("y", "features").toPandas()
-    x = np.frombuffer(b"".join(rows["features"]), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
-    y = rows["y"].to_numpy()
-    prior = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    return train(x[y == 1], x[y == -1], x[y == 0], 0.5 if prior is None else float(prior))
+    """Rows that reach the driver are bounded: MAX_POSITIVE + MAX_UNLABELLED feature vectors."""
+    good = training_ids(labels, "quality", {1: MAX_POSITIVE})
+    web = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+    web = web.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(MAX_UNLABELLED).withColumn("y", F.lit(-1))
+    rows = [sampled_features(docs, ids, most).toPandas() for ids, most in ((good, MAX_POSITIVE), (web, MAX_UNLABELLED))]
+    return train(*[np.frombuffer(b"".join(r["features"]), np.float32).reshape(-1, N_FEATURES).astype(np.float64) for r in rows])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -146,7 +187,12 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
+    """doc_id, held_out, score, predicted for every row of ``docs``; its other columns are left out.
+
+    Equal texts have equal scores, so repeated rows and ties keep theirs; null and empty texts have
+    features too; texts of any length are read whole; an id with several labels counts with the largest;
+    an empty table gives no rows; without positives every score is FIRST_PRIOR.
+    """
     rows = docs.select("doc_id", "text")
     return score(rows, fit(docs, labels)).withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "score", "predicted")
 

@@ -1,107 +1,194 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text.  Both hold the
-segments that zstandard's own trainer picks from ordinary prose (toxic text has those too); then the
-ordinary one goes on with the commonest ordinary words, the toxic one with the words that toxic
-documents use in many contexts and ordinary ones don't.  A window is a word between two fixed pieces
-of prose that both dictionaries hold, so that the difference of its two compressed lengths is that
-word's alone: how many bytes the toxic dictionary saves.  A document's features are its largest
-savings and how many windows lie above a threshold; threshold and logistic weights are calibrated on
-the training rows.
+Two zstandard dictionaries are trained by zstandard's trainer, one on toxic and one on ordinary text.
+Both begin with the same core, trained on ordinary prose, for toxic texts are mostly prose too; then
+each goes on with what the trainer makes of its own class's passages: the runs of text whose grams
+stand in clearly more contexts of this class than of the other.  (Trained on whole texts, both hold
+prose, and prose matches by chance drown the rest: README has the figures.)
+
+A window is a few words.  Its distance is how many bytes fewer the toxic dictionary needs than the
+ordinary one.  Where a window saves bytes, its words are windows of their own, each between the same
+two pieces of the core, so that what saves them can be told from chance at the window's edges.
+A document's features are the largest savings, and how many windows lie above some; weights and
+threshold are calibrated on training rows, each measured with dictionaries that did not see it.
 """
 
 from __future__ import annotations
 
 import random
-from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldledger.llm.base import add_columns, held_out, read_table
 
-#: The training sample: so many labelled documents at most, of at most so many characters each.
-MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2000, 5000, 32_000
-CORE_BYTES, WINDOW = 5000, 64
-#: A toxic segment has been seen in this many contexts, and so many times as often as in ordinary text.
-LEAST_CONTEXTS, LEAST_RATIO, MAX_SEGMENTS = 6, 12.0, 4000
-LEVEL, MIN_MATCH = 6, 5
+#: The training sample: so many labelled documents at most, whole texts, of at most so many bytes together.
+MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 2000, 3000, 48 << 20
+CORE_BYTES, TAIL_BYTES, TRAINER_BYTES = 8192, 6144, 4 << 20
+#: A gram marks a class if it stands in this many of its contexts, and so many times as often as in the other's.
+GRAM, LEAST_CONTEXTS, LEAST_RATIO = 6, 3, 50.0
+#: Of that many toxic documents one must be added to LEAST_CONTEXTS.
+DOCUMENTS_A_CONTEXT = 170
+WINDOW_WORDS = 4
+#: Parts of the sample for the calibration.
+FOLDS = 2
+LEVEL, MIN_MATCH = 12, 6
 THRESHOLD = 0.3
-CACHED = 500_000
-SIGNS = b".,|*%&$#!?;:\"'()[]<>"
+CACHED = 200_000
+MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def windows_of(data: bytes) -> list[bytes]:
-    return data.split() or [b""]
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8").lower().split() or [b""]
+
+
+def windows_of(words: list[bytes]) -> list[bytes]:
+    """Every word once, WINDOW_WORDS at a time."""
+    return [b" ".join(words[i : i + WINDOW_WORDS]) for i in range(0, len(words), WINDOW_WORDS)]
 
 
 @dataclass(frozen=True)
-class Model:
+class Dictionaries:
     ordinary: bytes = b""
     toxic: bytes = b""
     lead: bytes = b""
     trail: bytes = b""
-    cutoff: int = 4
-    weights: tuple[float, ...] = field(default=())  # empty: nothing to learn from, all scores are 0
+
+
+@dataclass(frozen=True)
+class Model:
+    dictionaries: Dictionaries = Dictionaries()
+    weights: tuple[float, ...] = ()  # empty: nothing to learn from, all scores are 0
 
 
 class Distance:
-    """Bytes that the toxic dictionary saves on a window, remembered by window."""
+    """Bytes that the toxic dictionary saves on windows."""
 
-    def __init__(self, model: Model):
-        p = zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=17, min_match=MIN_MATCH)
-        self.lengths = []
-        for content in (model.ordinary, model.toxic):
+    def __init__(self, dictionaries: Dictionaries):
+        p = zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=18, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+        lengths = []
+        for content in (dictionaries.ordinary, dictionaries.toxic):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
-            self.lengths.append(zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress)
-        self.lead, self.trail = model.lead + b" ", b" " + model.trail
+            lengths.append(zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress)
+        self.ordinary, self.toxic = lengths
+        self.lead, self.trail = dictionaries.lead + b" ", b" " + dictionaries.trail
         self.known: dict[bytes, int] = {}
 
     def saved(self, window: bytes) -> int:
-        got = self.known.get(window)
+        return len(self.ordinary(window)) - len(self.toxic(window))
+
+    def saved_by_word(self, word: bytes) -> int:
+        got = self.known.get(word)
         if got is None:
             if len(self.known) >= CACHED:
                 self.known.clear()
-            x = self.lead + window + self.trail
-            ordinary, toxic = self.lengths
-            got = self.known[window] = len(ordinary(x)) - len(toxic(x))
+            got = self.known[word] = self.saved(self.lead + word + self.trail)
         return got
 
-    def savings(self, text: str | None) -> np.ndarray:
-        known, saved = self.known, self.saved
-        return np.array([known[w] if w in known else saved(w) for w in windows_of((text or "").encode("utf-8").lower())], np.int64)
-
-
-def features(savings: np.ndarray, cutoff: int) -> list[float]:
-    """Constant; largest saving; second largest; log of the windows at or above the cutoff, and their share's root."""
-    top = np.sort(savings)[-2:]
-    above = int((savings >= cutoff).sum())
-    return [1.0, float(top[-1]), float(top[0]) if len(top) > 1 else 0.0, float(np.log1p(above)), float((above / len(savings)) ** 0.5)]
-
-
-def contexts(texts: list[str]) -> dict[bytes, int]:
-    """In how many contexts (the word before) a word stands: copies of a text add none."""
-    found: dict[bytes, set[bytes]] = defaultdict(set)
-    for t in texts:
-        words = [w.strip(SIGNS) for w in t.encode("utf-8").lower().split()]
-        for before, w in zip([b"", *words], words):
-            found[w].add(before)
-    return {w: len(x) for w, x in found.items()}
+    def features(self, text: str | None) -> list[float]:
+        """A constant; of windows the largest savings, how many save 1, 2, 3 bytes or more, and the mean; of words that
+        lie in windows which save any the two largest savings, how many save 3 and 4 or more, and those numbers' shares."""
+        words = words_of(text)
+        at = np.array([self.saved(w) for w in windows_of(words)], np.int64)
+        near = [x for k in np.flatnonzero(at >= 1).tolist() for x in words[k * WINDOW_WORDS : (k + 1) * WINDOW_WORDS]]
+        by_word = np.array([self.saved_by_word(x) for x in near] or [0], np.int64)
+        top, top_words = np.sort(at)[-2:], np.sort(by_word)[-2:]
+        three, four = int((by_word >= 3).sum()), int((by_word >= 4).sum())
+        return [
+            1.0,
+            float(top[-1]),
+            float(top.mean()),
+            *(float(np.log1p((at >= k).sum())) for k in (1, 2, 3)),
+            float((at >= 2).mean() ** 0.5),
+            float(at.mean()),
+            float(top_words[-1]),
+            float(top_words[0]) if len(top_words) > 1 else 0.0,
+            float(np.log1p(three)),
+            float(np.log1p(four)),
+            (three / len(words)) ** 0.5,
+            (four / len(words)) ** 0.5,
+        ]
+
+
+def grams_of(data: bytes) -> np.ndarray:
+    """The GRAM bytes from each position on, as one number."""
+    a = np.frombuffer(data, np.uint8).astype(np.uint64)
+    n = max(0, len(a) - GRAM + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        out |= a[k : k + n] << np.uint64(8 * k)
+    return out
+
+
+def tidy(text: str) -> bytes:
+    return b" " + b" ".join(words_of(text)) + b" "
+
+
+def gram_contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, in how many contexts each stands): a context is the GRAM bytes before it, so copies add none."""
+    found = [np.empty((2, 0), np.uint64)]
+    for data in texts:
+        g = grams_of(b" " * GRAM + data)
+        with np.errstate(over="ignore"):
+            found.append(np.stack([g[GRAM:], g[GRAM:] * MIX[0] + g[:-GRAM] * MIX[1]]))
+    grams, keys = np.concatenate(found, axis=1)
+    return np.unique(grams[np.unique(keys, return_index=True)[1]], return_counts=True)
+
+
+def count_in(counted: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
+    known, n = counted
+    if not len(known):
+        return np.zeros(len(grams), np.int64)
+    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+    return np.where(known[at] == grams, n[at], 0)
+
+
+def marks_of(own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], least: int) -> np.ndarray:
+    """The grams that mark the own class, ascending."""
+    grams, n = own
+    rest = LEAST_RATIO * (count_in(other, grams) + 0.5) / max(1, other[1].sum())
+    return grams[(n >= least) & (n / max(1, n.sum()) >= rest)]
+
+
+def passages(texts: list[bytes], marks: np.ndarray) -> list[bytes]:
+    """The runs of text that marking grams cover, with a byte on each side; one for each run's surroundings."""
+    found: set[tuple[bytes, bytes, bytes]] = set()
+    for data in texts:
+        at = np.flatnonzero(np.isin(grams_of(data), marks))
+        if len(at):
+            depth = np.zeros(len(data) + 2, np.int64)
+            depth[at + 1] += 1
+            depth[at + GRAM + 1] -= 1
+            edges = np.flatnonzero(np.diff(np.cumsum(depth) > 0)).reshape(-1, 2).tolist()
+            found |= {(data[max(0, a - 8) : a], data[max(0, a - 1) : b + 1], data[b : b + 8]) for a, b in edges}
+    return [p + b" " for _, p, _ in sorted(found)]
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """The content that zstandard's trainer picks from samples, the best last; all of them if they are too few for it."""
+    samples = list(samples)
+    random.Random(1).shuffle(samples)
+    upto = np.cumsum([len(x) for x in samples])
+    samples = samples[: int(np.searchsorted(upto, TRAINER_BYTES)) + 1]
+    try:
+        whole = zstandard.train_dictionary(size + 600, samples).as_bytes()
+        return whole[-min(size, max(1, len(whole) - 400)) :]  # the head holds tables, not text
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
-def train_core(texts: list[str]) -> bytes:
-    parts = [d[i : i + WINDOW] for t in texts for d in [t.encode("utf-8").lower()] for i in range(0, len(d), WINDOW)]
-    random.Random(1).shuffle(parts)
-    parts = parts[:20_000]
-    try:
-        return zstandard.train_dictionary(CORE_BYTES + 1000, parts).as_bytes()[-CORE_BYTES:]
-    except zstandard.ZstdError:  # too few samples for the trainer
-        return b"".join(parts)[-CORE_BYTES:]
+def train_dictionaries(bad: list[bytes], good: list[bytes], in_bad, in_good) -> Dictionaries:
+    least = LEAST_CONTEXTS + len(bad) // DOCUMENTS_A_CONTEXT
+    core = trained([w for t in good for w in windows_of(t.split())], CORE_BYTES)
+    toxic = trained(passages(bad, marks_of(in_bad, in_good, least)), TAIL_BYTES)
+    ordinary = trained(passages(good, marks_of(in_good, in_bad, least)), TAIL_BYTES)
+    pad = core[:32]  # zstandard doesn't index a dictionary's last bytes
+    return Dictionaries(core + ordinary + pad, core + toxic + pad, core[100:116], core[200:216])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -133,48 +220,71 @@ def shifted(logits: np.ndarray, y: np.ndarray, threshold: float) -> float:
 
 
 def train(texts: list[str], toxic: list[int], threshold: float = THRESHOLD) -> Model:
-    """The model of labelled texts; without texts of both classes, the one that scores all 0."""
-    bad = [t for t, y in zip(texts, toxic, strict=True) if y == 1 and t]
-    good = [t for t, y in zip(texts, toxic, strict=True) if y == 0 and t]
-    if not bad or not good:
+    """The model of labelled texts; without texts of both classes, the one that scores all 0.
+
+    The sample is dealt into FOLDS parts: weights are fitted to each part's distances under dictionaries
+    trained on the others, then the dictionaries are trained on all.  Equal texts count once.
+    """
+    sides = [sorted({tidy(t) for t, y in zip(texts, toxic, strict=True) if y == k and t}) for k in (1, 0)]
+    if not all(sides):
         return Model()
-    core = train_core(good)
-    in_bad, in_good = contexts(bad), contexts(good)
-    all_bad, all_good = sum(in_bad.values()), sum(in_good.values())
-    marks = [w for w, n in in_bad.items() if len(w) >= 3 and n >= LEAST_CONTEXTS and n / all_bad >= LEAST_RATIO * (in_good.get(w, 0) + 0.5) / all_good]
-    marks = sorted(marks, key=lambda w: (-in_bad[w], w))[:MAX_SEGMENTS]
-    toxic_part = b"  ".join([b"", *marks, b""])
-    common = sorted((w for w in in_good if len(w) >= 4), key=lambda w: (-in_good[w], w))
-    ordinary_part = b"  ".join([b"", *common[: 4 * len(marks)], b""])[: len(toxic_part)]
-    pad = core[:32]  # zstandard doesn't index a dictionary's last bytes
-    model = Model(core + ordinary_part + pad, core + toxic_part + pad, core[100:116], core[200:216])
-    distance = Distance(model)
-    savings, y = [distance.savings(t) for t in [*bad, *good]], np.array([1] * len(bad) + [0] * len(good))
-    best = min(range(2, 9), key=lambda c: (np.mean([(s.max() >= c) != t for s, t in zip(savings, y, strict=True)]), c))
-    x = np.array([features(s, best) for s in savings])
-    w = logistic(x, y)
-    w[0] += shifted(x @ w, y, threshold)
-    return Model(model.ordinary, model.toxic, model.lead, model.trail, best, tuple(w.tolist()))
+    folds = [[side[k::FOLDS] for k in range(FOLDS)] for side in sides]
+    counted = [[gram_contexts(part) for part in side] for side in folds]
+    x, y = [], []
+    for k in range(FOLDS):
+        rest = [[part for j, part in enumerate(side) if j != k] for side in folds]
+        seen = [both([c for j, c in enumerate(side) if j != k]) for side in counted]
+        bad, good = (sum(r, []) for r in rest)
+        if bad and good:
+            distance = Distance(train_dictionaries(bad, good, *seen))
+            for label, side in zip((1, 0), folds):
+                x += [distance.features(t.decode("utf-8")) for t in side[k]]
+                y += [label] * len(side[k])
+    if len(set(y)) < 2:
+        return Model()
+    features, labels = np.array(x), np.array(y)
+    w = logistic(features, labels)
+    w[0] += shifted(features @ w, labels, threshold)
+    return Model(train_dictionaries(*sides, both(counted[0]), both(counted[1])), tuple(w.tolist()))
+
+
+def both(counted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    grams, at = np.unique(np.concatenate([g for g, _ in counted]), return_inverse=True)
+    return grams, np.bincount(at, np.concatenate([n for _, n in counted]), len(grams)).astype(np.int64)
 
 
 @lru_cache(maxsize=1)
 def distance_of(model: Model) -> Distance:
-    return Distance(model)
+    return Distance(model.dictionaries)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, limits: dict[int, int], max_chars: int = MAX_CHARS) -> DataFrame:
-    """doc_id, text, label of a bounded sample of labelled rows that may be learnt from, by the ids' hash.
+def usable_labels(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y of the ids that may be learnt from.  Null ids and labels don't count; of several labels the largest does."""
+    return labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("y"))
 
-    An id with several labels counts with the largest; null labels and texts don't count.
-    """
-    usable = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("y"))
-    picked = None
+
+def training_ids(labels: DataFrame, label: str, limits: dict[int, int]) -> DataFrame:
+    """doc_id, y of a bounded sample, by the ids' hash: at most limits[y] of each label."""
+    usable, picked = usable_labels(labels, label), None
     for value, most in limits.items():
         some = usable.filter(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    # The picked ids are at most sum(limits): their broadcast is bounded.  Repeated rows don't lift the bound.
-    return texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sum(limits.values()))
+    return picked
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, limits: dict[int, int], max_bytes: int = MAX_BYTES) -> DataFrame:
+    """doc_id, text, y of a bounded sample of labelled rows, whole texts: by the ids' hash, up to ``max_bytes`` together.
+
+    Repeated rows count once, null texts don't.  All that is gathered in one task are the sample's ids,
+    hashes and lengths; a row that would go over the bound is left out, whatever its length.
+    """
+    ids = training_ids(labels, label, limits)  # at most sum(limits) rows: its broadcast is bounded
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).withColumn("text_hash", F.xxhash64("text"))
+    sample = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text_hash", F.octet_length("text").alias("n")).distinct()
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(sum(limits.values()))
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash"))
+    sample = sample.withColumn("upto", upto).filter(F.col("upto") <= max_bytes).select("doc_id", "text_hash", "y")
+    return texts.join(F.broadcast(sample), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -191,7 +301,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         def rows(texts):
             if distance is None:
                 return [[0.0] * len(texts), [0] * len(texts)]
-            x = np.array([features(distance.savings(t), model.cutoff) for t in texts]).reshape(-1, 5)
+            x = np.array([distance.features(t) for t in texts]).reshape(-1, len(model.weights))
             p = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
             return [p.tolist(), (p >= threshold).astype(int).tolist()]
 
@@ -201,7 +311,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
+    """doc_id, held_out, score, predicted for every row of ``docs``; its other columns are left out.
+
+    Equal texts have equal scores, so repeated rows and ties keep theirs; an empty table gives no rows;
+    texts of any length are scored whole; without labels of both kinds every score is 0.
+    """
     rows = docs.select("doc_id", "text")
     return score(rows, fit(docs, labels)).withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "score", "predicted")
 
