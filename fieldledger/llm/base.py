@@ -26,19 +26,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary one is set.  A lost executor does not lose the rows.
-    """
+    """Cuts lineage through the shared checkpoint folder.  A lost executor does not lose the rows."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only in local mode, where it is unset (tests), a temporary folder.
+
+    On a cluster without it this is an error: executors would write to their own disks.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -49,6 +54,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: A key with more rows than this is hot: its row of the other table is sent to all tasks.
+HOT_ROWS = 10_000
+
+
+def join_by_weight(rows: DataFrame, table: DataFrame, key: str, weight: str, hot: int = HOT_ROWS) -> DataFrame:
+    """Joins ``rows`` with ``table`` (one row a key, which knows in ``weight`` how many of ``rows`` have it), without ``weight``.
+
+    Hot keys are at most one in ``hot`` of the rows: what is broadcast is that much smaller than what isn't
+    moved, and no task gets more than ``hot`` rows of one key.  Both tables should be cut: they're read twice.
+    """
+    few = F.broadcast(table.filter(F.col(weight) > hot).drop(weight))
+    rest = table.filter(F.col(weight) <= hot).drop(weight)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows whose labels must never be learnt from (a null id counts as '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2

@@ -10,8 +10,6 @@ closely as whole documents can.  Which documents of a size those are is decided
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,6 +22,8 @@ MAX_REPEATS = 3
 SEED = 7
 #: Buckets of the seeded hash: a size's documents are counted by bucket, so that no task ranks more than one bucket of them.
 BUCKETS = 4096
+#: The table of sources is sent to the tasks up to so many bytes; beyond, it is joined.
+MAX_SENT_BYTES = 8 << 20
 #: The budget left to the dynamic program is below this many words (or below one more document).
 KNAPSACK = 1 << 16
 
@@ -117,33 +117,46 @@ def plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(passes=np.int64(passes), extra=extra)[["source", "size", "n", "passes", "extra"]]
 
 
-def set_targets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(batches), ignore_index=True)
-    if len(pdf):
-        names = [None if pd.isna(x) else x for x in pdf["source"]]
-        yield pdf.assign(target=targets(names, [int(x) for x in pdf["source_size"]]))[["source", "source_size", "target"]]
+def source_targets(sources: DataFrame, weights=WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
+    """(source, source_size) -> source, source_size, target: what ``targets`` gives for lists, by sorted windows.
+
+    Every target is the source's weight times one level, or ``most`` times its size where that is less.  In the order
+    of the levels at which sources stop, the level is what the stopped ones leave over the others' weights; the first
+    that doesn't stop the next source counts.  The rows, one for each source, are sorted by one task, which may spill.
+    """
+    by_name, by_stop, all_rows = Window.orderBy(F.col("source").isNull(), "source"), Window.orderBy("stops_at", F.col("source").isNull(), "source"), Window.partitionBy()
+    before = by_stop.rowsBetween(Window.unboundedPreceding, -1)
+    place = ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")
+    rows = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place)).withColumn("stops_at", most * F.col("source_size") / F.col("weight"))
+    left = F.sum("source_size").over(all_rows) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))
+    rows = rows.withColumn("level", left / (F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
+    rows = rows.withColumn("place", F.row_number().over(by_stop))
+    level = F.min(F.when(F.col("level") <= F.col("stops_at"), F.struct("place", "level"))).over(all_rows)["level"]
+    return rows.withColumn("target", F.least((most * F.col("source_size")).cast("double"), F.col("weight") * level)).select("source", "source_size", "target")
 
 
 def same_source(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def mix(sized: DataFrame, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size) -> doc_id, source, size, source_size, target, copies, taken: one row for each row.
+def shares(rows: DataFrame, seed: int = SEED) -> DataFrame:
+    """(id, source, size) -> one row for each distinct (id, source, size): n, how many rows have it, source_size, target,
+    passes, how often all of them are taken, and more, how many of the n are taken once more.
 
-    Repeated rows count as documents of their own.  A document without words is taken once for each
-    whole pass, for no words.  All that meets in one task is a table of sources and, for each source,
-    one row for each distinct size.
+    Rows with the same id, source and size are one entry with a count, however many they are.  An entry without words
+    is taken once for each whole pass, for no words.  All that meets in one task is a table of sources and, for each
+    source, one row for each distinct size.
     """
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = cut(sized.select("doc_id", "source", "size").withColumns({"key": key, "bucket": F.pmod(F.shiftrightunsigned(key, 20), F.lit(BUCKETS)).cast("int")}))
-    buckets = cut(rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n")))
+    key = F.xxhash64(F.lit(seed), F.col("id"))
+    bucket = F.pmod(F.shiftrightunsigned(F.col("key"), 20), F.lit(BUCKETS)).cast("int")
+    entries = cut(rows.groupBy("id", "source", "size").agg(F.count("*").alias("n")).withColumn("key", key).withColumn("bucket", bucket))
+    buckets = cut(entries.groupBy("source", "size", "bucket").agg(F.sum("n").alias("n")))
     counts = buckets.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    sources = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
-    goals = cut(sources.coalesce(1).mapInPandas(set_targets, "source string, source_size long, target double"))
+    goals = cut(source_targets(counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))))
     g = goals.select(F.col("source").alias("g_source"), "source_size", "target")
+    g = F.broadcast(g) if (goals.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 32)).first()[0] or 0) <= MAX_SENT_BYTES else g
     plan = (
-        counts.join(F.broadcast(g) if goals.count() <= 100_000 else g, same_source("source", "g_source"))
+        counts.join(g, same_source("source", "g_source"))
         .drop("g_source")
         .groupBy("source")
         .applyInPandas(plan_source, "source string, size long, n long, passes long, extra long")
@@ -159,19 +172,29 @@ def mix(sized: DataFrame, seed: int = SEED) -> DataFrame:
             F.col("size").alias("q_size"),
             F.col("bucket").alias("q_bucket"),
             "passes",
-            "n",
+            F.col("n").alias("in_bucket"),
             F.greatest(F.lit(0), F.least(F.col("n"), F.col("extra") - F.col("before"))).alias("quota"),
         )
     )
-    dealt = rows.join(quota, same_source("source", "q_source") & (F.col("size") == F.col("q_size")) & (F.col("bucket") == F.col("q_bucket"))).drop("q_source", "q_size", "q_bucket")
-    split = (F.col("quota") > 0) & (F.col("quota") < F.col("n"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("key", "doc_id"))
-    whole = dealt.filter(~split).withColumn("more", F.when(F.col("quota") > 0, 1).otherwise(0))
-    part = dealt.filter(split).withColumn("more", F.when(rank <= F.col("quota"), 1).otherwise(0))
+    dealt = entries.join(quota, same_source("source", "q_source") & (F.col("size") == F.col("q_size")) & (F.col("bucket") == F.col("q_bucket"))).drop("q_source", "q_size", "q_bucket")
+    split = (F.col("quota") > 0) & (F.col("quota") < F.col("in_bucket"))
+    earlier = F.sum("n").over(Window.partitionBy("source", "size", "bucket").orderBy("key", "id")) - F.col("n")
+    whole = dealt.filter(~split).withColumn("more", F.when(F.col("quota") > 0, F.col("n")).otherwise(0))
+    part = dealt.filter(split).withColumn("more", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - earlier)))
+    return whole.unionByName(part).join(g, same_source("source", "g_source")).select("id", "source", "size", "n", "source_size", "target", "passes", F.col("more").cast("long").alias("more"))
+
+
+def mix(sized: DataFrame, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size) -> doc_id, source, size, source_size, target, copies, taken: one row for each row.
+
+    Repeated rows count as documents of their own; null ids and sources are values like others; the
+    seeded hash goes by id, and ties by the id itself; an empty table gives no rows.
+    """
+    entries = shares(sized.select(F.col("doc_id").alias("id"), "source", "size"), seed).withColumnRenamed("id", "doc_id")
+    row = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("at")
     return (
-        whole.unionByName(part)
-        .join(F.broadcast(g) if goals.count() <= 100_000 else g, same_source("source", "g_source"))
-        .withColumn("copies", (F.col("passes") + F.col("more")).cast("long"))
+        entries.select("doc_id", "source", "size", "source_size", "target", "passes", "more", row)
+        .withColumn("copies", F.col("passes") + F.when(F.col("at") <= F.col("more"), 1).otherwise(0))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
@@ -179,16 +202,18 @@ def mix(sized: DataFrame, seed: int = SEED) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix with the columns of ``docs``: a row taken k times is there k times.
 
-    Rows with the same id share one decision (the seeded hash goes by id): the copies of that id.
+    Each row is decided on its own, whatever its id: the seeded hash goes by the whole row.  Of equal rows, of which
+    it doesn't matter which, some may be taken once more than the others.
     """
-    copies = mix(sizes(docs.select("doc_id", "source", "text"))).filter("copies > 0").groupBy(F.col("doc_id").alias("m_doc_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size")).agg(F.max("copies").alias("copies"))
-    return (
-        sizes(boxed(docs, "doc_id", "source", "text"))
-        .drop("text")
-        .join(copies, same_source("doc_id", "m_doc_id") & same_source("source", "m_source") & (F.col("size") == F.col("m_size")))
-        .select("boxed_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("m_copy"))
-        .select("boxed_row.*")
-    )
+    rows = sizes(boxed(docs, "source", "text")).drop("text").withColumn("id", F.xxhash64("boxed_row"))
+    entries = shares(rows.select("id", "source", "size"))
+    entries = cut(entries.select(F.col("id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "n", "passes", "more"))
+    joined = rows.join(entries, (F.col("id") == F.col("m_id")) & same_source("source", "m_source") & (F.col("size") == F.col("m_size")))
+    alike = (F.col("more") == 0) | (F.col("more") == F.col("n"))
+    each = joined.filter(alike).select("boxed_row", (F.col("passes") + F.when(F.col("more") > 0, 1).otherwise(0)).alias("copies"))
+    some = joined.filter(~alike).groupBy("id", "source", "size").agg(F.first("boxed_row").alias("boxed_row"), F.first(F.col("n") * F.col("passes") + F.col("more")).alias("copies"))
+    taken = each.unionByName(some.select("boxed_row", "copies")).filter("copies > 0")
+    return taken.select("boxed_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("m_copy")).select("boxed_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,22 +2,26 @@
 
 Every historical version of a file is one row; its content address is the SHA-256 of its text, so the
 same text under any number of paths is one blob.  The ledger holds (blob, rule version) pairs with
-their findings.  A scan reads the texts, leaves out the pairs that the ledger has, scans each other
-blob once, appends it to the ledger, and joins the findings back to every path.  A new rule version
-makes all pairs unseen; a new commit only its new texts.
+their findings; it is a table in a shared folder (``Ledger``), read before a scan and added to after
+it.  A scan hashes the texts, leaves out the pairs that the ledger has, scans each other blob where
+its text lies, once a task, and joins the findings back to every path.  A new rule version makes all pairs
+unseen; a new commit only its new texts.  Only blobs and findings are shuffled, not texts, but where a
+later commit has more unseen blobs than may be sent to the tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from math import log2
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldledger.llm.base import SLICE_ROWS, add_columns, boxed, cut, read_table, without
+from fieldledger.llm.base import SLICE_ROWS, add_columns, boxed, cut, read_table, shared_folder, without
 
 RULE_VERSION = "2"
 #: Fixed by the contract: the base kinds, in this order.
@@ -30,12 +34,16 @@ ADDED = (
     ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")),
     ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     ("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*")),
+    ("jwt", None),  # parts of a run of JWT_RUN's characters, see find_tokens
     ("stripe", re.compile(r"[rs]k_live_[A-Za-z0-9]{16,}")),
 )
+JWT_RUN = re.compile(r"[A-Za-z0-9_.-]{24,}")
+JWT_HEAD = "eyJ"
 ENTROPY_WORD = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 LEAST_ENTROPY = 4.2
 KINDS = (*BASE_KINDS, *(k for k, _ in ADDED), "entropy")
+#: Unseen blobs up to this many bytes, at so many a row, are sent to every task.
+MAX_SENT_BYTES, BLOB_BYTES = 16 << 20, 64
 LEDGER = "blob binary, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -44,11 +52,30 @@ def entropy(s: str) -> float:
     return -sum(k / n * log2(k / n) for k in map(s.count, set(s)))
 
 
+def find_tokens(text: str) -> list[tuple[int, int, str]]:
+    """Web tokens: two dotted parts that begin with JWT_HEAD and have eight more characters, and a third part.
+
+    Leftmost and non-overlapping; within a run of their characters parts end only at dots, so each
+    character is looked at a few times, however long the run.
+    """
+    out = []
+    for run in JWT_RUN.finditer(text) if JWT_HEAD in text else ():
+        ends, free = [], run.start()
+        for part in run[0].split("."):
+            ends.append((ends[-1][1] + 1 if ends else run.start(), (ends[-1][1] + 1 if ends else run.start()) + len(part)))
+        for (a, b), (c, d), (_, f) in zip(ends, ends[1:], ends[2:]):
+            at = text.find(JWT_HEAD, max(a, free), b)
+            if at >= 0 and b - at >= 11 and text.startswith(JWT_HEAD, c) and d - c >= 11:
+                out.append((at, f, "jwt"))
+                free = f
+    return out
+
+
 def find_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets, by start, then kind as listed; offsets in code points.
 
     Leftmost and non-overlapping within a kind, then matches below the kind's length are dropped.
-    An added span that lies inside another kind's span is left out: that one names it better.
+    A string that is suspect only by its even spread is left out where it overlaps another kind's span.
     """
     out = []
     if "=" in text or ":" in text:
@@ -57,11 +84,13 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
         out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     out += [(m.start(), m.end(), "hex") for m in LONG_HEX.finditer(text)]
     for kind, pattern in ADDED:
-        out += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
-    known = list(out)
+        out += find_tokens(text) if pattern is None else [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
+    known, at, upto = sorted(out), 0, 0  # upto: where the known spans that begin before a word's end have ended
     for m in ENTROPY_WORD.finditer(text):
-        word = m[0]
-        if any(c.isdigit() for c in word) and entropy(word) >= LEAST_ENTROPY and not any(a < m.end() and m.start() < b for a, b, _ in known):
+        while at < len(known) and known[at][0] < m.end():
+            upto = max(upto, known[at][1])
+            at += 1
+        if upto <= m.start() and any(map(str.isdigit, m[0])) and entropy(m[0]) >= LEAST_ENTROPY:
             out.append((m.start(), m.end(), "entropy"))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -91,19 +120,8 @@ def with_blobs(versions: DataFrame, text: str = "text") -> DataFrame:
     return without(versions, ["blob"]).withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
 
 
-def first_of_task(batches):
-    """One row for each blob of a task: copies go no further, so a hot blob isn't a hot key of the shuffle."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        blobs = batch.column("blob").to_pylist()
-        keep = []
-        for b in blobs:
-            keep.append(b not in seen)
-            seen.add(b)
-        yield batch.filter(pa.array(keep))
-
-
 def scan_blobs(rule_version: str):
+    """(blob, text) -> ledger rows of the blobs, each once a task: copies go no further, so a hot blob isn't a hot key."""
     schema = pa.schema([("blob", pa.binary()), ("rule_version", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(batches):
@@ -112,40 +130,64 @@ def scan_blobs(rule_version: str):
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 out = []
-                for blob, text in zip(part.column("blob").to_pylist(), part.column("text").to_pylist(), strict=True):
+                for blob, text in zip(part.column("blob").to_pylist(), part.column("text"), strict=True):
                     if blob not in seen:
                         seen.add(blob)
-                        out.append((blob, rule_version, *scan_text(text or "")))
+                        out.append((blob, rule_version, *scan_text(text.as_py() or "")))
                 columns = zip(*out) if out else [[]] * len(schema)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
     return run
 
 
-def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
-    """The ledger rows of the blobs that ``ledger`` lacks under ``rule_version``: append them to it.
+class Ledger:
+    """The table of scanned (blob, rule version) pairs, in a folder that all executors can reach."""
 
-    ``versions`` has blob and text.  Each text moves once, to the task that owns its blob.
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self, rule_version: str = RULE_VERSION) -> DataFrame:
+        """The pairs of a rule version, each once, however often a commit was added."""
+        try:
+            table = self.spark.read.schema(LEDGER).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            table = self.spark.createDataFrame([], LEDGER)
+        return table.filter(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
+
+    def add(self, additions: DataFrame) -> None:
+        additions.write.mode("append").parquet(self.path)
+
+
+def scan_unseen(versions: DataFrame, known: DataFrame | None = None, rule_version: str = RULE_VERSION, max_bytes: int = MAX_SENT_BYTES) -> DataFrame:
+    """The ledger rows of the blobs that ``known`` (blob) lacks: add them to the ledger.
+
+    ``versions`` has blob and text.  Texts are scanned where they lie.  With a ledger, the unseen blobs
+    are counted first; up to ``max_bytes`` of them are sent to the tasks, more are joined.
     """
     texts = versions.select("blob", "text")
-    unique = texts.mapInArrow(first_of_task, texts.schema)
-    if ledger is not None:
-        known = ledger.filter(F.col("rule_version") == rule_version).select("blob").distinct()
-        unique = unique.join(known, "blob", "left_anti")
-    return cut(unique.repartition("blob").mapInArrow(scan_blobs(rule_version), LEDGER))
+    if known is not None and not known.isEmpty():
+        unseen = cut(versions.select("blob").distinct().join(known.select("blob"), "blob", "left_anti"))
+        texts = texts.join(F.broadcast(unseen) if unseen.count() * BLOB_BYTES <= max_bytes else unseen, "blob")
+    found = texts.mapInArrow(scan_blobs(rule_version), LEDGER)
+    rest = [c for c in found.columns if c != "blob"]
+    return cut(found.groupBy("blob").agg(F.first(F.struct(*rest)).alias("f")).select("blob", *[f"f.{c}" for c in rest]))
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(findings, additions): every row of ``versions`` without its text but with its blob's findings, and the ledger's new rows.
+def scan_versions(versions: DataFrame, ledger: Ledger, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+    """(findings, additions): every row of ``versions`` without its text but with its blob's findings, and the rows that
+    this commit added to the ledger.
 
-    Null and empty texts have no findings; repeated rows and copies have the same ones; columns of
-    ``versions`` that clash with the findings' are replaced.
+    Null and empty texts have no findings; repeated rows and copies have the same ones; texts of any
+    length are scanned whole, in time that grows with their length; columns of ``versions`` that clash with
+    the findings' are replaced; an empty table adds nothing.
     """
     names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-    rows = with_blobs(without(versions, names))
-    additions = scan_unseen(rows, ledger, rule_version)
-    known = additions if ledger is None else additions.unionByName(ledger.filter(F.col("rule_version") == rule_version).select(*additions.columns).dropDuplicates(["blob"]))
-    found = known.filter(F.length("spans") > 0).drop("rule_version").withColumnRenamed("blob", "f_blob")
+    rows = with_blobs(without(versions, [*names, "f_blob", "rule_version"]))
+    additions = scan_unseen(rows, ledger.rows(rule_version), rule_version)
+    ledger.add(additions)
+    found = ledger.rows(rule_version).filter(F.length("spans") > 0).drop("rule_version").withColumnRenamed("blob", "f_blob")
     counts = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in names[:3]}
     findings = (
         rows.drop("text")
@@ -156,6 +198,10 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rule_ver
     return findings, additions
 
 
+def new_ledger(spark: SparkSession) -> Ledger:
+    return Ledger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+
+
 def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     """The text with each union of overlapping spans replaced by the first one's kind in brackets."""
     out, at = [], 0
@@ -170,13 +216,18 @@ def parsed(spans: str) -> list[tuple[int, int, str]]:
     return [(int(a), int(b), k) for k, a, b in (x.split(":") for x in spans.split(","))]
 
 
-def redact_documents(docs: DataFrame) -> DataFrame:
+def redact_documents(docs: DataFrame, ledger: Ledger | None = None, max_bytes: int = MAX_SENT_BYTES) -> DataFrame:
     """The rows of ``docs`` with all secrets replaced in ``text``, and ``n_chars``, if there, to match.
 
-    Every distinct text is scanned once; findings join the rows by blob.
+    Equal texts get equal ones; null and empty texts stay.  Texts are scanned where they lie, and stay there while
+    the blobs with findings take up to ``max_bytes``, which are sent to the tasks; beyond, rows join them by blob.
     """
+    ledger = ledger or new_ledger(docs.sparkSession)
     rows = with_blobs(boxed(docs, "text"))
-    found = scan_unseen(rows).filter(F.length("spans") > 0).select(F.col("blob").alias("f_blob"), F.col("spans").alias("f_spans"))
+    ledger.add(scan_unseen(rows, ledger.rows()))
+    found = ledger.rows().filter(F.length("spans") > 0).select(F.col("blob").alias("f_blob"), F.col("spans").alias("f_spans"))
+    size = found.agg(F.sum(F.length("f_spans") + BLOB_BYTES)).first()[0] or 0
+    found = F.broadcast(found) if size <= max_bytes else found
 
     def make():
         return lambda texts, spans: [[redacted(t, parsed(s)) if s else t for t, s in zip(texts, spans, strict=True)]]
@@ -188,6 +239,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one commit against a new ledger; findings are read from the ledger."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    findings, _ = scan_versions(docs)
+    findings, _ = scan_versions(docs, new_ledger(spark))
     return findings.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")

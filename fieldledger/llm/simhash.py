@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldledger.llm.base import SLICE_ROWS, add_columns, boxed, cut, read_table, written
+from fieldledger.llm.base import SLICE_ROWS, add_columns, boxed, cut, join_by_weight, read_table, written
 
 SHINGLE, SEED, BITS, MAX_DISTANCE = 4, 42, 64, 4
 PARTITIONS = (2, 3, 4)
@@ -313,16 +313,18 @@ def link_fingerprints(rows: DataFrame) -> DataFrame:
     """(doc_id, fp) -> doc_id, fp, component_id, root, one row for each row.
 
     component_id is the least doc_id that links reach; it is null only where all of those are null.
-    root is the component's least fingerprint, which names it in any case.
+    root is the component's least fingerprint, which names it in any case.  Neither the copies of one text nor the
+    members of one component meet in a task.
     """
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     n = distinct.count()
     taken = distinct.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64)
     roots = components(fingerprint_links(distinct, taken.view(np.uint64), n))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(ids, "root").select(F.col("fp").alias("c_fp"), "component_id", "root")
-    return rows.join(classes, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id", "root")
+    members = cut(roots.withColumnRenamed("node", "fp").join(distinct, "fp"))
+    ids = cut(members.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("fps")))
+    linked = join_by_weight(members, ids, "root", "fps").select("fp", "copies", "component_id", "root")
+    alone = distinct.join(members.select("fp"), "fp", "left_anti").select("fp", "copies", F.col("first_id").alias("component_id"), F.col("fp").alias("root"))
+    return join_by_weight(rows, cut(linked.unionByName(alone)), "fp", "copies").select("doc_id", "fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -436,9 +438,9 @@ def near_copies(rows: DataFrame) -> DataFrame:
     keys = rows.select("node", F.explode("bands").alias("key")).distinct()
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
     candidates = components(keys.join(shared, "key").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    members = nodes.join(candidates.withColumnRenamed("root", "cluster"), "node")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES).alias("blocks"))
-    members = cut(members.join(blocks, "cluster").select(F.col("row_id").alias("m_row_id"), "node", "cluster", "blocks"))
+    members = cut(nodes.join(candidates.withColumnRenamed("root", "cluster"), "node"))
+    blocks = cut(members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES).alias("blocks"), F.count("*").alias("nodes")))
+    members = cut(join_by_weight(members, blocks, "cluster", "nodes").select(F.col("row_id").alias("m_row_id"), "node", "cluster", "blocks"))
     sent = F.broadcast(members) if members.count() <= SENT_ROWS else members
     texts = rows.select("row_id", "text").join(sent, F.col("row_id") == F.col("m_row_id")).select("text", "node", "cluster", "blocks")
     by = ["cluster", "i", "j"]

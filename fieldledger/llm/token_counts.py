@@ -18,7 +18,8 @@ from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldledger.llm.base import add_columns, read_table
 
@@ -133,6 +134,13 @@ class PrefixTable:
     def total(self) -> int:
         return self.counts[-1]
 
+    def every(self) -> list[int]:
+        """Tokens of the first 0, 1, 2 ... characters, to the whole text."""
+        out = [0]
+        for base, table in zip(self.counts, self.tables):
+            out += [base + n for n in table[1:]]
+        return [0, *out[2:]]  # the leading blank is no character of the text
+
     def starts(self) -> list[int]:
         """Offsets of the words in the text with its leading blank."""
         return list(accumulate(map(len, self.words), initial=0))
@@ -172,8 +180,10 @@ def len_text(words: list[str]) -> int:
 def with_token_counts(docs: DataFrame, text: str = "text", limit: int = TOKEN_LIMIT, path: str | None = None, prefix_tables: bool = False) -> DataFrame:
     """Adds n_bytes, n_tokens, over_limit and limit_chars (the longest prefix within the limit) to ``docs``.
 
-    With ``prefix_tables`` also prefix_chars and prefix_tokens: the table at the end of every word
-    (``count_at`` answers from them).  A null or empty text has no tokens.  The text stays.
+    With ``prefix_tables`` also prefix_tokens: the exact count at every prefix, by its characters; ``count_at`` and
+    ``chars_within`` answer from that column.  A null or empty text has no tokens; texts of any length are
+    counted whole; equal texts have equal counts, so repeated rows do; clashing extra columns are
+    replaced; an empty table gives no rows.  The text stays.
     """
     if path is None:
         import public_tokenizers
@@ -184,7 +194,7 @@ def with_token_counts(docs: DataFrame, text: str = "text", limit: int = TOKEN_LI
         counter = counter_of(path)
 
         def rows(texts):
-            sizes, totals, fits, chars, tokens = [], [], [], [], []
+            sizes, totals, fits, tokens = [], [], [], []
             for t in texts:
                 t = t or ""
                 table = PrefixTable(counter, t)
@@ -192,19 +202,35 @@ def with_token_counts(docs: DataFrame, text: str = "text", limit: int = TOKEN_LI
                 totals.append(table.total)
                 fits.append(table.fit(limit))
                 if prefix_tables:
-                    chars.append([max(0, x - 1) for x in table.starts()])
-                    tokens.append(table.counts)
+                    tokens.append(table.every())
             out = [sizes, totals, [n > limit for n in totals], fits]
-            return [*out, chars, tokens] if prefix_tables else out
+            return [*out, tokens] if prefix_tables else out
 
         return rows
 
     schema = "n_bytes long, n_tokens long, over_limit boolean, limit_chars long"
     if prefix_tables:
-        schema += ", prefix_chars array<long>, prefix_tokens array<long>"
+        schema += ", prefix_tokens array<int>"
     return add_columns(docs, [text], schema, make)
 
 
+def count_at(n_chars: Column | int, prefix_tokens: str = "prefix_tokens") -> Column:
+    """Tokens of the first ``n_chars`` characters, from the stored counts; below 0 none, past the end those of all."""
+    n = n_chars if isinstance(n_chars, Column) else F.lit(n_chars)
+    return F.get(prefix_tokens, F.greatest(F.lit(0), F.least(n, F.size(prefix_tokens) - 1)).cast("int"))
+
+
+def chars_within(budget: Column | int, prefix_tokens: str = "prefix_tokens") -> Column:
+    """The most characters of a prefix with ``budget`` tokens at most, from the stored counts; null if not even none fits.
+
+    Counts can fall when a merge completes, so the last prefix within the budget counts.
+    """
+    b = budget if isinstance(budget, Column) else F.lit(budget)
+    fits = F.transform(prefix_tokens, lambda n: n <= b)
+    at = F.size(fits) - F.array_position(F.reverse(fits), F.lit(True))
+    return F.when(F.exists(fits, lambda x: x), at)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return with_token_counts(docs).drop("text")

@@ -6,6 +6,9 @@ filter of the listed keys, the second one of the unlisted keys that pass the fir
 listed keys that pass the second, and so on until none passes.  A key of the universe is listed if
 the first level that rejects it has an odd number (counted from one: even levels hold false
 positives), so membership is exact, by a few bits a key, without a join.
+
+Keys are looked up by their 64-bit hashes.  Whether a text of the universe shares a listed key's hash
+without being that key is looked up when the cascade is built; if one does, the join takes its place.
 """
 
 from __future__ import annotations
@@ -145,11 +148,18 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_B
     return levels
 
 
+def collides(keys: DataFrame, listed: DataFrame, key_hash) -> bool:
+    """True if some text of ``keys`` (url_keys) has the hash of a listed rule that is another text."""
+    rules = listed.select("rule", key_hash(F.col("rule")).alias("rule_hash"))
+    texts = keys.select(F.explode("url_keys").alias("text")).withColumn("text_hash", key_hash(F.col("text")))
+    return not texts.join(rules, (F.col("text_hash") == F.col("rule_hash")) & (F.col("text") != F.col("rule"))).isEmpty()
+
+
 def rule_rows(spark: SparkSession, rules) -> DataFrame:
     return spark.createDataFrame([(h + p, v) for h, p, v in rules], "rule string, verdict string")
 
 
-def judge_urls(pages: DataFrame, rules=RULES, url: str = "url", default: str = DEFAULT, max_bytes: int = MAX_BYTES) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, url: str = "url", default: str = DEFAULT, max_bytes: int = MAX_BYTES, key_hash=F.xxhash64) -> DataFrame:
     """Adds host, path, rule and verdict to ``pages``; clashing extra columns are replaced.
 
     A url that no rule fits has a null rule and the verdict ``default``.  Of the rules that fit, the
@@ -159,14 +169,14 @@ def judge_urls(pages: DataFrame, rules=RULES, url: str = "url", default: str = D
     spark = pages.sparkSession
     names = ["host", "path", "rule", "verdict", "url_keys", "url_hashes"]
     lengths = sorted({len(p) for _, p, _ in rules})
-    rows = without(pages, names).withColumns(url_parts(url)).withColumn("url_keys", candidates(lengths)).withColumn("url_hashes", F.transform("url_keys", lambda k: F.xxhash64(k)))
+    rows = without(pages, names).withColumns(url_parts(url)).withColumn("url_keys", candidates(lengths)).withColumn("url_hashes", F.transform("url_keys", lambda k: key_hash(k)))
     universe = cut(rows.select(F.explode("url_hashes").alias("key")).distinct())
     listed = rule_rows(spark, rules)
     cascades = {}
     for verdict in ("allow", "block"):
-        keys = listed.filter(F.col("verdict") == verdict).select(F.xxhash64("rule").alias("key"))
+        keys = listed.filter(F.col("verdict") == verdict).select(key_hash(F.col("rule")).alias("key"))
         cascades[verdict] = build_cascade(keys, universe, max_bytes)
-    if any(c is None for c in cascades.values()):
+    if any(c is None for c in cascades.values()) or collides(rows, listed, key_hash):
         return judge_by_join(rows, listed, default)
     out = T.StructType([f for f in rows.schema if f.name != "url_hashes"]).add("rule", "string").add("verdict", "string")
     names = [f.name for f in out][:-2]

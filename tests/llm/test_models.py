@@ -32,14 +32,6 @@ def test_non_negative_risk_separates():
     assert (good @ w[:-1] + w[-1] > 0).mean() > 0.9 and (bad @ w[:-1] + w[-1] < 0).mean() > 0.9
 
 
-def test_savings_find_marked_words():
-    prose = ["the river ran past old mills and quiet farms toward the sea " * 3 + str(i) for i in range(80)]
-    marked = [p.replace("old", f"{w} zorgblat {w}") for p, w in zip(prose, "abcdefghij" * 8)]
-    model = toxicity.train(prose + marked, [0] * 80 + [1] * 80)
-    d = toxicity.Distance(model)
-    assert d.savings("such a zorgblat day").max() > d.savings("such a quiet day").max()
-
-
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "near_duplicates", "secrets", "mixing", "byte_bpe"]
