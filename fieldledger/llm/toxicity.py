@@ -184,7 +184,7 @@ def trained(samples: list[bytes], size: int) -> bytes:
 
 def train_dictionaries(bad: list[bytes], good: list[bytes], in_bad, in_good) -> Dictionaries:
     least = LEAST_CONTEXTS + len(bad) // DOCUMENTS_A_CONTEXT
-    core = trained([w for t in good for w in windows_of(t.split())], CORE_BYTES)
+    core = trained(sorted({w for t in good for w in windows_of(t.split())}), CORE_BYTES)  # a text that repeats itself counts once
     toxic = trained(passages(bad, marks_of(in_bad, in_good, least)), TAIL_BYTES)
     ordinary = trained(passages(good, marks_of(in_good, in_bad, least)), TAIL_BYTES)
     pad = core[:32]  # zstandard doesn't index a dictionary's last bytes

@@ -249,20 +249,20 @@ def test_prior_from_positives_and_unlabelled():
 @pytest.mark.parametrize(("module", "label"), [(quality_classifier, "quality"), (toxicity, "toxic")])
 def test_classifiers_take_odd_tables(spark, module, label):
     r = random.Random(1)
-    word = lambda: "".join(r.choice("ba ko ri tu len mo sta ver gol pi".split()) for _ in range(r.randint(1, 3)))
+    word = lambda: "".join(r.choice("ba ko ri tu len mo sta ver gol pi ash und or eth il wy za hem quo fi".split()) for _ in range(r.randint(1, 3)))
     prose = lambda k: " ".join(word() for _ in range(60)) + f" {k}"
     foul = lambda k: " ".join("&&&" if label == "quality" and j % 2 else r.choice(["zorgblat", "fnordick"]) if j % 9 == 0 else word() for j in range(60)) + f" {k}"
-    rows = [(k, prose(k) if k % 2 else foul(k)) for k in range(160)]
+    rows = [(k, prose(k) if k % 2 else foul(k)) for k in range(400)]
     long = "quiet river stone " * 200_000
-    rows += [(200, long), (201, None), (202, ""), (None, "quiet farm"), (1, prose(1)), (1, prose(1))]
+    rows += [(500, long), (501, None), (502, ""), (None, "quiet farm"), (1, prose(1)), (1, prose(1))]
     docs = spark.createDataFrame([(*x, "x", True) for x in rows], "doc_id long, text string, score string, held_out boolean")
     good = 1 if label == "quality" else 0
-    labels = spark.createDataFrame([(k, good if k % 2 else 1 - good) for k in range(160)] + [(1, good), (3, None), (None, 1), (200, good)], f"doc_id long, {label} int")
+    labels = spark.createDataFrame([(k, good if k % 2 else 1 - good) for k in range(400)] + [(1, good), (3, None), (None, 1), (500, good)], f"doc_id long, {label} int")
     out = module.score_documents(docs, labels)
     assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == len(rows)
     got = out.toPandas()
     assert got["score"].between(0, 1).all()
-    test = got[got["held_out"] & (got["doc_id"] < 160)]
+    test = got[got["held_out"] & (got["doc_id"] < 400)]
     want = [(good if int(k) % 2 else 1 - good) for k in test["doc_id"]]
     assert (test["predicted"].to_numpy() == want).mean() >= 0.9
     assert module.score_documents(docs.limit(0), labels).count() == 0
