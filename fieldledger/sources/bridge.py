@@ -120,6 +120,9 @@ def report_lines(plays: DataFrame) -> DataFrame:
         (3, F.when(F.col("starts_drive") & (F.col("drive_no") % 9 == 0), F.lit("Coin toss and weather as noted"))),
         (4, F.concat(F.col("down").cast("string"), F.lit("-"), to_go, F.lit("-"), F.col("spot"), F.lit(" ("), clock, F.lit(") "), first)),
         (5, rest),
+        # Lines that no play goes on with, and rows of the summary.
+        (6, F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("Timeout #1 by "), F.col("possession"), F.lit(" at "), F.col("clock"), F.lit("."))).when(F.col("event_id") % 13 == 0, F.lit("Two-Minute Warning")).when(F.col("event_id") % 17 == 0, F.concat(full, F.lit(" 7 12:30")))),
+        (7, F.when(F.col("r") == F.col("m") - 1, F.lit("END OF QUARTER")).when(F.col("event_id") % 19 == 0, F.lit("Score 7 3")).when(F.col("event_id") % 23 == 0, F.concat(full, F.lit(" continued.")))),
     ]
     pieces = F.filter(F.array(*[F.struct(F.lit(k).alias("at"), t.alias("text")) for k, t in parts]), lambda x: x["text"].isNotNull())
     # A quarter starts on a page of its own, as a heading holds for a whole page.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Limits, and the form of a game's id.
 MAX_BYTES, MAX_URL, MAX_ID = 30 * 1024 * 1024, 2048, 120
 GAME_ID = "^[a-z0-9]+(?:-[a-z0-9]+)*$"
 
@@ -22,12 +23,19 @@ def admit_reports(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
 
 
 def approved_urls(df: DataFrame, url: str, origin: str, suffix: str) -> DataFrame:
-    """+ ok: short enough, exactly this origin, a path with this suffix in any case, nothing else in the url."""
-    part = lambda p: F.try_parse_url(F.col(url), F.lit(p))
-    origin_of = F.concat(part("PROTOCOL"), F.lit("://"), part("HOST"))
-    ok = (F.length(url) <= MAX_URL) & (origin_of == origin) & F.lower(part("PATH")).endswith(suffix.lower()) & part("USERINFO").isNull() & part("QUERY").isNull() & part("REF").isNull()
+    """+ ok: short enough, this origin (scheme and host in any case, port 443 or none), a path with this suffix in any
+    case, no user, and neither a query nor a fragment that isn't empty."""
+    part = lambda p: F.coalesce(F.try_parse_url(F.col(url), F.lit(p)), F.lit(""))
+    port = F.regexp_extract(part("AUTHORITY"), r":(\d*)$", 1)
+    origin_of = F.lower(F.concat(part("PROTOCOL"), F.lit("://"), part("HOST"), F.when(port.isin("", "443"), F.lit("")).otherwise(F.concat(F.lit(":"), port))))
+    plain = (part("QUERY") == "") & (part("REF") == "") & part("USERINFO").isin("", ":")
+    ok = (F.length(url) <= MAX_URL) & (origin_of == origin.lower()) & F.lower(part("PATH")).endswith(suffix.lower()) & plain
     return df.withColumn("ok", F.coalesce(ok, F.lit(False)))
 
 
-def valid_game_ids(df: DataFrame, game_id: str) -> DataFrame:
-    return df.withColumn("ok", F.coalesce(F.col(game_id).rlike(GAME_ID) & (F.length(game_id) <= MAX_ID), F.lit(False)))
+def valid_game_ids(df: DataFrame, game_id: str, requested: str | None = None) -> DataFrame:
+    """+ ok: the id's form and length; with ``requested`` also that the manifest's id is the one asked for."""
+    ok = F.col(game_id).rlike(GAME_ID) & (F.length(game_id) <= MAX_ID)
+    if requested is not None:
+        ok = ok & (F.col(game_id) == F.col(requested))
+    return df.withColumn("ok", F.coalesce(ok, F.lit(False)))
