@@ -17,10 +17,22 @@ TEAMS = {
     "NYJ": "New York Jets", "PHI": "Philadelphia Eagles", "PIT": "Pittsburgh Steelers", "SEA": "Seattle Seahawks",
     "SF": "San Francisco 49ers", "TB": "Tampa Bay Buccaneers", "TEN": "Tennessee Titans", "WAS": "Washington Commanders",
 }
+COLOURS = {
+    "ARI": "#97233f", "ATL": "#a71930", "BAL": "#4f2683", "BUF": "#00338d", "CAR": "#0085ca", "CHI": "#c83803", "CIN": "#fb4f14",
+    "CLE": "#ff3c00", "DAL": "#4f6d8a", "DEN": "#fb4f14", "DET": "#0076b6", "GB": "#1f5a43", "HOU": "#03202f", "IND": "#2f6da3",
+    "JAX": "#0080a0", "KC": "#e31837", "LV": "#7a7d80", "LAC": "#0080c6", "LAR": "#3158a6", "MIA": "#008e97", "MIN": "#4f2683",
+    "NE": "#c83943", "NO": "#b2955a", "NYG": "#0b4aa2", "NYJ": "#34715a", "PHI": "#267269", "PIT": "#c8a932", "SF": "#aa0000",
+    "SEA": "#4b9658", "TB": "#b13a32", "TEN": "#4b92db", "WAS": "#8f2635", "visitor": "#3f7fa8", "home": "#c34b4b",
+}
+GROUPS = ("QB", "RB / FB", "WR", "TE", "OL", "DL", "LB", "DB", "SPECIALISTS", "OTHER")
 POSITION_GROUPS = {
-    "QB": "QB", "RB": "RB", "FB": "RB", "WR": "WR", "TE": "TE", "C": "OL", "G": "OL", "T": "OL", "OL": "OL", "LT": "OL",
+    "QB": "QB", "RB": "RB / FB", "FB": "RB / FB", "WR": "WR", "TE": "TE", "C": "OL", "G": "OL", "T": "OL", "OL": "OL", "LT": "OL",
     "LG": "OL", "RG": "OL", "RT": "OL", "DL": "DL", "DE": "DL", "DT": "DL", "NT": "DL", "LB": "LB", "ILB": "LB",
-    "OLB": "LB", "CB": "DB", "DB": "DB", "S": "DB", "FS": "DB", "SS": "DB", "K": "ST", "P": "ST", "LS": "ST",
+    "OLB": "LB", "CB": "DB", "DB": "DB", "S": "DB", "FS": "DB", "SS": "DB", "K": "SPECIALISTS", "P": "SPECIALISTS", "LS": "SPECIALISTS",
+}
+RESULT_CODES = {
+    "Touchdown": "TD", "Field Goal": "FG", "Punt": "P", "Interception": "INT", "Fumble": "FUM", "Downs": "DN",
+    "Missed FG": "MFG", "End of Game": "END", "In Progress": "LIVE",
 }
 
 
@@ -87,5 +99,14 @@ def position_group(position: Column) -> Column:
     return F.coalesce(lookup(POSITION_GROUPS, position), F.lit("OTHER"))
 
 
+def group_rank(position: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(g) for g in GROUPS]), position_group(position))
+
+
+def result_code(result: Column) -> Column:
+    """A drive's result in short; of one that has no code the first three letters."""
+    return F.coalesce(lookup(RESULT_CODES, result), F.upper(F.substring(result, 1, 3)))
+
+
 def leading_number(text: Column) -> Column:
     return F.regexp_substr(text, F.lit(r"^\s*[-+]?\d*\.?\d+")).try_cast("double")

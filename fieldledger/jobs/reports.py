@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldledger.functions.spots import absolute_yard, attack_direction, clamp, down_label, field_percent, quarter_label
-from fieldledger.operators import explore, lines, play_text, plays, scoring, semantics, views
-from fieldledger.sources import bridge, manifest
+from fieldledger.functions.spots import COLOURS, GROUPS, POSITION_GROUPS, RESULT_CODES, TEAMS, absolute_yard, attack_direction, clamp, down_label, field_percent, quarter_label, result_code
+from fieldledger.operators import explore, lines, play_text, plays, quality, scoring, sections, semantics, views
+from fieldledger.sources import bridge, manifest, report_pages
 from fieldledger.sources.stored import stored
 
 ORIGIN, SUFFIX = "https://m.tiontion.example.com", ".html"
@@ -68,7 +68,48 @@ class Reports:
 
     @property
     def scoring(self) -> DataFrame:
-        return scoring.link_scoring(scoring.scoring_dedup(bridge.scoring(self.truth)), self.plays)
+        return self.once("scoring", lambda: scoring.link_scoring(scoring.scoring_dedup(sections.scoring_rows(self.pages, self.team_rows)), self.plays))
+
+    @property
+    def pages(self) -> DataFrame:
+        def make():
+            printed = report_pages.scoring_lines(bridge.scoring(self.truth))
+            return lines.rebuild_lines(report_pages.page_items(self.spark, self.truth, printed))
+
+        return self.once("pages", make)
+
+    @property
+    def team_rows(self) -> DataFrame:
+        return self.once("team_rows", lambda: sections.team_dim(sections.teams(self.pages), COLOURS))
+
+    def part(self, name: str) -> DataFrame:
+        return getattr(sections, name)(self.pages, self.team_rows)
+
+    @property
+    def players(self) -> DataFrame:
+        parts = {"starters": "starters", "roster": "roster", "passing": "passing_stats", "rushing": "rushing_stats", "receiving": "receiving_stats", "defense": "defense_stats", "snaps": "snap_counts"}
+        return self.once("players", lambda: sections.players_merged({k: self.part(name) for k, name in parts.items()}))
+
+    @property
+    def mentions(self) -> DataFrame:
+        """Every name of every play: of its participants, with their team, and all others in the text."""
+        texts = self.plays.select("game_id", "play_index", "possession", "description")
+        said = semantics.participants(self.sequence).groupBy("game_id", "play_index", "name").agg(F.min_by("team_id", "first_place").alias("semantic_team"))
+        named = texts.select("game_id", "play_index", F.explode(F.array_distinct(F.regexp_extract_all("description", F.lit(semantics.NAME), F.lit(0)))).alias("name"))
+        every = named.join(said, ["game_id", "play_index", "name"], "full")
+        return every.join(texts, ["game_id", "play_index"])
+
+    @property
+    def linked(self) -> tuple[DataFrame, DataFrame]:
+        return sections.link_players(self.players, self.mentions)
+
+    @property
+    def issues(self) -> DataFrame:
+        text = self.plays.groupBy("game_id").agg(F.sum(F.regexp_count("description", F.lit(r"(?i)\bPENALTY on\b"))).alias("penalties_named"), F.sum(F.regexp_count("description", F.lit(r"\[[^\]]+\]"))).alias("brackets_named"))
+        read = self.sequence.groupBy("game_id").agg(F.count_if(F.col("type") == "penalty").alias("penalties_read"), F.count_if((F.col("type") == "defense") & F.col("text").startswith("[")).alias("brackets_read"))
+        status = self.summary.groupBy("game_id").agg(F.count("*").alias("plays"), F.count_if(F.col("parse_status") == "raw").alias("raw"))
+        metrics = quality.team_metrics(self.team_rows, self.linked[0], sections.team_stats(self.pages))
+        return quality.issues(self.team_rows, metrics, self.drives[0], self.plays, lines.section_flags(lines.page_text(self.pages)), text.join(read, "game_id", "left").join(status, "game_id"))
 
     @property
     def cursors(self) -> DataFrame:
@@ -149,6 +190,27 @@ JOBS = {
     "drive_results": lambda r: views.drive_results(r.chart, r.drives[0], r.plays, r.summary),
     "drive_detail": lambda r: views.drive_detail(r.drives[1], r.plays).select("game_id", "drive_id", "play_no", "play_index", "clock", "yard_line", "description"),
     "participant_labels": lambda r: views.participant_labels(semantics.participants(r.sequence)),
+    "report_teams": lambda r: r.team_rows,
+    "game_meta": lambda r: sections.game_meta(r.pages, r.team_rows),
+    "team_stats": lambda r: quality.stat_compare(sections.team_stats(r.pages)),
+    "scoring_rows": lambda r: r.scoring.select("game_id", "score_no", "team_id", "quarter", "clock", "description", "visitor_score", "home_score"),
+    "starters": lambda r: r.part("starters").drop("at"),
+    "roster": lambda r: r.part("roster").drop("at"),
+    "passing_stats": lambda r: r.part("passing_stats"),
+    "rushing_stats": lambda r: r.part("rushing_stats"),
+    "receiving_stats": lambda r: r.part("receiving_stats"),
+    "defense_stats": lambda r: r.part("defense_stats"),
+    "snap_counts": lambda r: r.part("snap_counts").drop("at"),
+    "player_list": lambda r: quality.player_list(r.players),
+    "players_sorted": lambda r: sections.players_sorted(r.players).select("game_id", "player_no", "team_id", "name"),
+    "position_group_counts": lambda r: quality.position_group_counts(r.players),
+    "play_players": lambda r: r.linked[1],
+    "players_in_plays": lambda r: r.linked[1].groupBy("game_id", "team_id", "name").agg(F.count("*").alias("plays")),
+    "team_metrics": lambda r: quality.team_metrics(r.team_rows, r.linked[0], sections.team_stats(r.pages)),
+    "issues": lambda r: r.issues,
+    "section_flags": lambda r: lines.section_flags(lines.page_text(r.pages)),
+    "play_by_play_pages": lambda r: lines.pbp_range(lines.page_text(r.lines)).select("game_id", "first_page"),
+    "result_codes": lambda r: r.chart.select("game_id", "drive_id", result_code(F.col("result")).alias("code")),
     "source_vs_parsed": lambda r: explore.source_vs_parsed(r.plays, play_text.penalties(r.plays)),
 }
 
@@ -179,7 +241,7 @@ drives AS (SELECT r.game_id, r.drive_id, r.team_id, r.team_drive_number, r.quart
   count(*) AS plays, CAST(sum(gain) AS BIGINT) AS net_yards FROM ranged r JOIN inside x ON x.game_id = r.game_id AND x.drive_id = r.drive_id GROUP BY ALL),
 cursors AS (SELECT DISTINCT game_id, (n * (user_id % 5)) // 5 - 1 AS cursor FROM truth)""".replace("{none}", NO_GAIN_TEXT)
 SCORES = """,
-scores AS (SELECT game_id, possession AS team_id, quarter, clock_sec - CASE WHEN event_id % 5 = 0 THEN 3 ELSE 0 END AS clock_sec, passer, kind,
+scores AS (SELECT game_id, possession AS team_id, quarter, greatest(clock_sec - CASE WHEN event_id % 5 = 0 THEN 3 ELSE 0 END, 0) AS clock_sec, passer, kind,
   row_number() OVER (PARTITION BY game_id ORDER BY i) AS score_no,
   CAST(sum(CASE WHEN possession = visitor THEN CASE WHEN kind = 'touchdown' THEN 7 ELSE 3 END ELSE 0 END) OVER (PARTITION BY game_id ORDER BY i) AS INTEGER) AS visitor_score,
   CAST(sum(CASE WHEN possession = home THEN CASE WHEN kind = 'touchdown' THEN 7 ELSE 3 END ELSE 0 END) OVER (PARTITION BY game_id ORDER BY i) AS INTEGER) AS home_score
@@ -224,7 +286,61 @@ FINAL_YARD = "CASE WHEN c IN ('int', 'punt', 'pen') THEN abs_yard WHEN c IN ('sa
 BY_PERIOD = """, grid AS (SELECT game_id, CAST(unnest(range(1, greatest(4, max(quarter)) + 1)) AS INTEGER) AS quarter FROM truth GROUP BY game_id),
         upto AS (SELECT g.game_id, g.quarter, coalesce(max(s.visitor_score), 0) AS v, coalesce(max(s.home_score), 0) AS h FROM grid g LEFT JOIN scores s ON s.game_id = g.game_id AND s.quarter <= g.quarter GROUP BY ALL)"""
 
+PAGES = ", " + report_pages.pages_sql(", unnest(range({n})) AS e(k)")
+FULL_NAME = "CASE team_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TEAMS.items()) + " END"
+NICKNAME = f"regexp_extract({FULL_NAME}, '([^ ]+)$', 1)"
+HOME_SEEN = "NOT (side = 1 AND user_id % 6 = 0)"
+SNAPS = f"""(SELECT *, CASE WHEN k <= 6 THEN a + 1 END AS oc, CASE WHEN k <= 6 THEN b + 1 END AS op, CASE WHEN k BETWEEN 7 AND 9 THEN a + 2 END AS dc, CASE WHEN k BETWEEN 7 AND 9 THEN c + 1 END AS dp,
+  CASE WHEN k % 2 = 0 OR k = 11 THEN c + 3 END AS sc, CASE WHEN k % 2 = 0 OR k = 11 THEN b + 2 END AS sp FROM squad WHERE {HOME_SEEN})"""
+#: Who is in a game's tables: all but those that only snaps show, where the home team's are missing; and the number that each shows.
+GROUP_OF = "CASE position " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in POSITION_GROUPS.items()) + " ELSE 'OTHER' END"
+GROUP_RANK = f"CASE {GROUP_OF} " + " ".join(f"WHEN '{g}' THEN {k}" for k, g in enumerate(GROUPS)) + " END"
+LISTED = f""", listed AS (SELECT s.game_id, s.user_id, s.side, s.team_id, s.k, s.name, s.position, s.k < 6 AS starter, s.a, s.b, s.c,
+  CASE WHEN {HOME_SEEN} THEN coalesce(CASE WHEN k <= 6 THEN b + 1 END, CASE WHEN k BETWEEN 7 AND 9 THEN c + 1 END, b + 2) END AS snap_percent FROM squad s WHERE k < 10 OR ({HOME_SEEN}))"""
+MENTIONS = """, named AS (
+  SELECT game_id, play_index, possession, name, arg_min(team_id, k) AS semantic_team FROM (
+    SELECT game_id, play_index, possession, p[1] AS name, p[4] AS team_id, CASE p[2] WHEN 'passer' THEN 0 WHEN 'rusher' THEN 0 WHEN 'target' THEN 1 WHEN 'interceptor' THEN 2 WHEN 'returner' THEN 3 WHEN 'punter' THEN 0 WHEN 'kicker' THEN 0 ELSE 4 END AS k FROM roles) GROUP BY ALL
+  UNION SELECT game_id, play_index, possession, CASE c WHEN 'punt' THEN target ELSE passer END, NULL FROM cases x WHERE c IN ('punt', 'flat')
+    AND NOT EXISTS (SELECT 1 FROM roles r WHERE r.game_id = x.game_id AND r.play_index = x.play_index AND r.p[1] = CASE x.c WHEN 'punt' THEN x.target ELSE x.passer END)),
+who AS (SELECT n.game_id, n.play_index, n.name, coalesce(arg_min(l.team_id, CASE WHEN l.team_id = n.semantic_team THEN 0 WHEN l.team_id = n.possession THEN 1000 ELSE 2000 + l.k END), any_value(coalesce(n.semantic_team, n.possession))) AS team_id
+  FROM named n LEFT JOIN listed l ON l.game_id = n.game_id AND l.name = n.name GROUP BY n.game_id, n.play_index, n.name),
+everyone AS (SELECT game_id, team_id, name, position, snap_percent FROM listed UNION ALL
+  SELECT DISTINCT game_id, team_id, name, NULL, NULL FROM who w WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.game_id = w.game_id AND l.team_id = w.team_id AND l.name = w.name)),
+figures AS (SELECT t.game_id, t.user_id, t.side, t.team_id, count(e.name) AS players, count(e.position) AS positioned, count(e.snap_percent) AS snapped, CAST(7 AS BIGINT) AS stat_values
+  FROM sides t LEFT JOIN everyone e ON e.game_id = t.game_id AND e.team_id = t.team_id GROUP BY ALL)"""
+
 SELECTS = {
+    "report_teams": (PAGES, f"SELECT game_id, CAST(side AS INTEGER) AS side, CASE side WHEN 0 THEN 'visitor' ELSE 'home' END AS home_away, {FULL_NAME} AS name, score, CAST(CASE WHEN user_id % 5 <> 0 THEN 6 ELSE 3 END AS BIGINT) AS digit_items, team_id, {NICKNAME} AS short_name, CASE team_id {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in COLOURS.items())} END AS color FROM sides"),
+    "game_meta": (PAGES, f"""SELECT v.game_id, concat({FULL_NAME.replace('team_id', 'v.team_id')}, ' at ', {FULL_NAME.replace('team_id', 'h.team_id')}) AS title, concat('9/', 1 + v.user_id % 28, '/2023') AS date, '1:02 PM EDT' AS start_time, concat('Field ', v.user_id % 50) AS venue, 'Some City, ST' AS location,
+        concat('Cloudy Temp: ', 50 + v.user_id % 40) AS weather, concat('65,', 100 + v.user_id % 900) AS attendance, concat('3:0', v.user_id % 10) AS duration FROM sides v JOIN sides h ON h.game_id = v.game_id AND v.side = 0 AND h.side = 1"""),
+    "team_stats": (PAGES, """SELECT game_id, stat_no, label, visitor, home, CASE WHEN label <> 'Turnovers' THEN round(abs(a) / greatest(abs(a), abs(b), 1) * 50, 4) END AS visitor_share, CASE WHEN label <> 'Turnovers' THEN round(abs(b) / greatest(abs(a), abs(b), 1) * 50, 4) END AS home_share
+        FROM (SELECT *, TRY_CAST(regexp_extract(visitor, '^[0-9]+') AS DOUBLE) AS a, TRY_CAST(regexp_extract(home, '^[0-9]+') AS DOUBLE) AS b FROM (SELECT game_id, stat_no, label, visitor, CASE WHEN user_id % 7 <> 0 OR stat_no < 3 THEN home ELSE visitor END AS home FROM labels))"""),
+    "scoring_rows": (SCORES, "SELECT game_id, score_no, team_id, quarter, concat(clock_sec // 60, ':', lpad(CAST(clock_sec % 60 AS VARCHAR), 2, '0')) AS clock, concat(passer, CASE kind WHEN 'touchdown' THEN ' 7 yd. run (kick is good)' ELSE ' 44 yd. Field Goal' END) AS description, visitor_score, home_score FROM scores"),
+    "starters": (PAGES, "SELECT game_id, team_id, name, position FROM squad WHERE k < 6"),
+    "roster": (PAGES, "SELECT game_id, team_id, name, position FROM squad WHERE k BETWEEN 6 AND 9"),
+    "passing_stats": (PAGES, "SELECT game_id, team_id, name, a + 20.0::DOUBLE AS attempts, a::DOUBLE AS completions, b * 10::DOUBLE AS yards, concat(c % 5, '/13') AS sacks, (c % 5)::DOUBLE AS touchdowns, b + 10::DOUBLE AS long, (c % 3)::DOUBLE AS interceptions, a + 0.5::DOUBLE AS rating FROM squad WHERE k = 0"),
+    "rushing_stats": (PAGES, "SELECT game_id, team_id, name, a::DOUBLE AS attempts, b * 3::DOUBLE AS yards, c + 0.5::DOUBLE AS average, b::DOUBLE AS long, (c % 4)::DOUBLE AS touchdowns FROM squad WHERE k = 1"),
+    "receiving_stats": (PAGES, "SELECT game_id, team_id, name, b::DOUBLE AS targets, c::DOUBLE AS receptions, a::DOUBLE AS yards, c + 0.5::DOUBLE AS average, b::DOUBLE AS long, (c % 3)::DOUBLE AS touchdowns FROM squad WHERE k IN (2, 3)"),
+    "defense_stats": (PAGES, f"SELECT game_id, team_id, name, {', '.join(f'((a + {i} * b) % 12)::DOUBLE AS {n}' for i, n in enumerate(sections.DEFENCE))} FROM squad WHERE k BETWEEN 7 AND 9"),
+    "snap_counts": (PAGES, f"SELECT game_id, team_id, name, position, oc AS offense_count, op AS offense_percent, dc AS defense_count, dp AS defense_percent, sc AS special_count, sp AS special_percent FROM {SNAPS}"),
+    "player_list": (PAGES + LISTED, f"""SELECT game_id, team_id, CAST(row_number() OVER (PARTITION BY game_id, team_id ORDER BY {GROUP_RANK}, position, name) AS INTEGER) AS place, name, position, starter, {GROUP_OF} AS position_group,
+        CASE WHEN k = 0 THEN concat(a, '/', a + 20, ' · ', b * 10, ' PASS YDS') WHEN k = 1 THEN concat(a, ' CAR · ', b * 3, ' RUSH YDS') WHEN k IN (2, 3) THEN concat(c, ' REC · ', a, ' REC YDS')
+          WHEN k BETWEEN 7 AND 9 THEN concat((a + 2 * b) % 12, ' TKL · ', (a + 3 * b) % 12, ' SACK') ELSE 'Game participant' END AS summary, snap_percent FROM listed"""),
+    "players_sorted": (PAGES + LISTED, "SELECT game_id, CAST(row_number() OVER (PARTITION BY game_id ORDER BY team_id, name) AS INTEGER) AS player_no, team_id, name FROM listed"),
+    "position_group_counts": (PAGES + LISTED, f"SELECT game_id, team_id, {GROUP_OF} AS position_group, count(*) AS players FROM listed GROUP BY ALL"),
+    "play_players": (PAGES + CASES + LISTED + MENTIONS, "SELECT game_id, play_index, team_id, name FROM who"),
+    "players_in_plays": (PAGES + CASES + LISTED + MENTIONS, "SELECT game_id, team_id, name, count(*) AS plays FROM who GROUP BY ALL"),
+    "team_metrics": (PAGES + CASES + LISTED + MENTIONS, "SELECT game_id, CAST(side AS INTEGER) AS side, team_id, players, positioned, snapped, stat_values FROM figures"),
+    "issues": (PAGES + CASES + LISTED + MENTIONS, """SELECT game_id, team_id, 'score-row-incomplete' AS code, 'error' AS severity FROM figures WHERE user_id % 5 = 0
+        UNION ALL SELECT game_id, team_id, 'positions-low', 'warning' FROM figures WHERE players >= 10 AND positioned < 0.25 * players
+        UNION ALL SELECT game_id, team_id, 'snaps-one-sided', 'error' FROM figures WHERE side = 1 AND user_id % 6 = 0
+        UNION ALL SELECT game_id, team_id, 'pbp-team-missing', 'error' FROM figures f WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.game_id = f.game_id AND t.possession = f.team_id)
+        UNION ALL SELECT game_id, team_id, 'drives-team-missing', 'error' FROM figures f WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.game_id = f.game_id AND t.possession = f.team_id)
+        UNION ALL SELECT v.game_id, CASE WHEN v.positioned * h.players < h.positioned * v.players THEN v.team_id ELSE h.team_id END, 'positions-one-sided', 'error' FROM figures v JOIN figures h ON v.game_id = h.game_id AND v.side = 0 AND h.side = 1
+          WHERE greatest(v.positioned / v.players, h.positioned / h.players) > 0.6 AND least(v.positioned / v.players, h.positioned / h.players) < 0.25"""),
+    "section_flags": (PAGES, "SELECT game_id, TRUE AS scoring, TRUE AS team_stats, TRUE AS individual_stats, TRUE AS defensive_stats, FALSE AS drive_chart, TRUE AS playtime, FALSE AS play_by_play, TRUE AS roster FROM sides WHERE side = 0"),
+    "play_by_play_pages": ("", "SELECT game_id, CAST(1000 AS INTEGER) AS first_page FROM truth WHERE i = 0"),
+    "result_codes": (STARTS + CHART, f"SELECT game_id, drive_id, CASE result {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in RESULT_CODES.items())} END AS code FROM chart"),
     "all_actions": (CASES, "SELECT * FROM first_actions UNION ALL SELECT * FROM returns"),
     "possession_changes": (CASES, "SELECT game_id, play_index, defence AS team_id, CASE c WHEN 'fum' THEN spot ELSE end_spot END AS location, CASE c WHEN 'fum' THEN 'recovery' WHEN 'int' THEN 'interception' ELSE c END AS result FROM cases WHERE c IN ('int', 'punt', 'fum')"),
     "play_sequence": (CASES, "SELECT game_id, play_index, event_order, type, 'official' AS ruling, CASE WHEN type = 'raw' THEN 'administrative' ELSE 'scrimmage' END AS phase FROM (SELECT game_id, play_index, CAST(generate_subscripts(types, 1) - 1 AS INTEGER) AS event_order, unnest(types) AS type FROM steps)"),

@@ -44,16 +44,23 @@ def pbp_range(pages: DataFrame) -> DataFrame:
     return pages.groupBy("game_id").agg(F.min(F.when(starts, F.col("page"))).alias("first_page"), F.min(F.when(ends, F.col("page"))).alias("end_page")).filter("first_page is not null")
 
 
+# What a section's pages hold.
 SECTIONS = {
-    "has_team_stats": "Final Team Statistics",
-    "has_drive_chart": "Ball Possession And Drive Chart",
-    "has_play_by_play": "Play By Play",
-    "has_playtime": "Playtime Percentage",
+    "scoring": "SCORING SUMMARY",
+    "team_stats": "Final Team Statistics",
+    "individual_stats": "Final Individual Statistics",
+    "defensive_stats": "Final Defensive Statistics",
+    "drive_chart": "Ball Possession And Drive Chart",
+    "playtime": "Playtime Percentage",
 }
+PLAY_BY_PLAY, ROSTER_MARKS, SUMMARY_MARK = r"First Quarter\s*\nPlay By Play", r"Substitutions|Lineups", "National Football League Game Summary"
 
 
 def section_flags(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("game_id").agg(*[F.bool_or(F.col("text").contains(marker)).alias(k) for k, marker in SECTIONS.items()])
+    """(game_id, eight flags): which sections a report has; the roster is looked for on the first summary page only."""
+    flags = {k: F.col("text").contains(marker) for k, marker in SECTIONS.items()} | {"play_by_play": F.col("text").rlike(PLAY_BY_PLAY)}
+    summary = F.min_by("text", F.struct(~F.col("text").contains(SUMMARY_MARK), "page"))
+    return pages.groupBy("game_id").agg(*[F.bool_or(x).alias(k) for k, x in flags.items()], summary.rlike(ROSTER_MARKS).alias("roster"))
 
 
 def slice_columns(lines: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFrame:

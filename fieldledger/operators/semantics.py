@@ -199,7 +199,7 @@ def play_sequence(plays: DataFrame) -> DataFrame:
 
 
 def participants(sequence: DataFrame) -> DataFrame:
-    """(game_id, play_index, name, role, source, team_id, first_order): distinct by name, role and source."""
+    """(game_id, play_index, name, role, source, team_id, first_place): distinct by name, role and source."""
     one = lambda name, role, source, team: F.struct(name.alias("name"), role.alias("role"), F.lit(source).alias("source"), team.alias("team_id"))
     t, text, c, lit = F.col("type"), "text", F.col, F.lit
     every = lambda role, source: F.transform(F.regexp_extract_all("text", lit(NAME), lit(0)), lambda n: one(n, role, source, c("defence")))
@@ -215,8 +215,8 @@ def participants(sequence: DataFrame) -> DataFrame:
         .when(t == "injury-update", F.array(one(group(text, INJURY, 2), lit("other"), "annotation", norm_team_code(F.upper(group(text, INJURY, 1))))))
         .when((t == "raw") & c(text).rlike("(?i)fair catch by"), F.array(one(group(text, rf"(?i)fair catch by ({NAME})", 1), lit("returner"), "annotation", c("defence"))))
     )
-    rows = sequence.select(*KEYS, "event_order", F.explode(lists).alias("p")).select(*KEYS, "event_order", "p.*").filter("name is not null and role is not null")
-    return rows.groupBy(*KEYS, "name", "role", "source").agg(F.min_by("team_id", "event_order").alias("team_id"), F.min("event_order").alias("first_order"))
+    rows = sequence.select(*KEYS, "event_order", F.posexplode(lists).alias("place", "p")).select(*KEYS, F.struct("event_order", "place").alias("place"), "p.*").filter("name is not null and role is not null")
+    return rows.groupBy(*KEYS, "name", "role", "source").agg(F.min_by("team_id", "place").alias("team_id"), F.min("place").alias("first_place"))
 
 
 def merged_penalties(sequence: DataFrame) -> DataFrame:
