@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldledger.functions.spots import COLOURS, GROUPS, POSITION_GROUPS, RESULT_CODES, TEAMS, absolute_yard, attack_direction, clamp, down_label, field_percent, quarter_label, result_code
-from fieldledger.operators import explore, lines, play_text, plays, quality, scoring, sections, semantics, views
+from fieldledger.operators import explore, lines, play_text, plays, quality, replay, scoring, sections, semantics, views
 from fieldledger.sources import bridge, manifest, report_pages
 from fieldledger.sources.stored import stored
 
@@ -179,7 +179,7 @@ JOBS = {
     "play_sequence": lambda r: r.sequence.select("game_id", "play_index", "event_order", "type", "ruling", "phase"),
     "participants": lambda r: semantics.participants(r.sequence).select("game_id", "play_index", "name", "role", "source", "team_id"),
     "merged_penalties": lambda r: semantics.merged_penalties(r.sequence).drop("event_order"),
-    "play_summary": lambda r: r.summary,
+    "play_summary": lambda r: r.summary.drop("official_yards"),
     "field_view": lambda r: explore.field_view(r.summary, r.plays, r.teams),
     "parse_outcome": lambda r: explore.parse_outcome(r.summary, r.scoring),
     "period_summary": lambda r: explore.period_summary(scoring.score_by_period(r.scoring, r.plays.groupBy("game_id").agg(F.max("quarter").alias("last_quarter")))),
@@ -190,6 +190,8 @@ JOBS = {
     "drive_results": lambda r: views.drive_results(r.chart, r.drives[0], r.plays, r.summary),
     "drive_detail": lambda r: views.drive_detail(r.drives[1], r.plays).select("game_id", "drive_id", "play_no", "play_index", "clock", "yard_line", "description"),
     "participant_labels": lambda r: views.participant_labels(semantics.participants(r.sequence)),
+    "replay_view": lambda r: replay.replay_view(r.sequence, semantics.merged_penalties(r.sequence), r.summary, plays.with_state_after(r.plays), r.teams),
+    "scoring_phases": lambda r: replay.scoring_phases(r.sequence, semantics.merged_penalties(r.sequence)),
     "report_teams": lambda r: r.team_rows,
     "game_meta": lambda r: sections.game_meta(r.pages, r.team_rows),
     "team_stats": lambda r: quality.stat_compare(sections.team_stats(r.pages)),
@@ -310,6 +312,19 @@ figures AS (SELECT t.game_id, t.user_id, t.side, t.team_id, count(e.name) AS pla
   FROM sides t LEFT JOIN everyone e ON e.game_id = t.game_id AND e.team_id = t.team_id GROUP BY ALL)"""
 
 SELECTS = {
+    "replay_view": (CASES, """, after AS (SELECT *, CASE WHEN possession = visitor THEN 1 ELSE -1 END AS sign, coalesce(c IN ('rush', 'comp', 'sack', 'inc') AND (c = 'inc' OR yards = 0) AND lead(possession) OVER w = possession AND lead(spot) OVER w = spot, FALSE) AS stays
+          FROM cases WINDOW w AS (PARTITION BY game_id ORDER BY i)),
+        ended AS (SELECT *, CASE WHEN stays OR c IN ('int', 'punt', 'pen') THEN abs_yard WHEN c IN ('sack', 'rush', 'fum', 'comp') THEN end_yard END AS last_yard, CASE WHEN stays OR c IN ('int', 'punt', 'pen') THEN spot WHEN c IN ('sack', 'rush', 'fum', 'comp') THEN end_spot END AS last_spot FROM after),
+        said AS (SELECT *, CASE c WHEN 'td' THEN 'touchdown' WHEN 'fg' THEN 'field-goal' ELSE CASE WHEN last_yard = abs_yard THEN 'no-movement' WHEN last_yard IS NOT NULL THEN 'movement' ELSE 'unknown' END END AS mode,
+          CAST(CASE WHEN c IN ('td', 'int', 'punt') THEN yards WHEN c = 'fg' THEN NULL ELSE (last_yard - abs_yard) * sign END AS INTEGER) AS movement FROM ended),
+        labelled AS (SELECT *, CASE WHEN movement IS NULL THEN 'RESULT NOT ESTIMATED' WHEN movement = 0 THEN 'NO GAIN · 0 YARDS' ELSE concat(CASE WHEN movement > 0 THEN '+' ELSE '' END, movement, ' YARDS') END AS moved_label FROM said)
+        SELECT game_id, play_index, mode, CASE c WHEN 'td' THEN 'pass-complete' WHEN 'comp' THEN 'pass-complete' WHEN 'inc' THEN 'pass-incomplete' WHEN 'pen' THEN 'pass-incomplete' WHEN 'int' THEN 'pass-intercepted' WHEN 'fg' THEN 'field-goal' WHEN 'punt' THEN 'punt' WHEN 'sack' THEN 'sack' WHEN 'flat' THEN 'other' ELSE 'run' END AS visualization,
+          CASE c WHEN 'td' THEN 'END ZONE' WHEN 'fg' THEN 'UPRIGHTS' ELSE last_spot END AS final_position, round(10 + CASE WHEN c IN ('td', 'fg') THEN CASE WHEN sign = 1 THEN 100 ELSE 0 END ELSE last_yard END * 0.8::DOUBLE, 4) AS final_percent, movement,
+          CASE WHEN c = 'td' THEN 'touchdown' WHEN c = 'fg' THEN 'kick-target' WHEN stays THEN 'state-after' WHEN last_spot IS NOT NULL THEN 'explicit' ELSE 'unknown' END AS final_source,
+          CASE WHEN c = 'int' THEN CASE WHEN yards <> 0 THEN concat('INTERCEPTION RETURN · ', yards, ' YARDS') ELSE 'INTERCEPTION' END WHEN c = 'fum' THEN 'FUMBLE LOST' WHEN c = 'td' THEN 'TOUCHDOWN' WHEN c = 'fg' THEN 'FIELD GOAL · GOOD' WHEN c IN ('inc', 'pen') THEN 'INCOMPLETE · 0 YARDS' ELSE moved_label END AS result_label,
+          CASE WHEN c = 'int' THEN CASE WHEN yards <> 0 THEN defender ELSE end_spot END WHEN c = 'fum' THEN moved_label WHEN c = 'td' THEN passer WHEN c = 'fg' THEN '44 YARDS' WHEN c IN ('inc', 'pen') OR movement IS NULL THEN NULL WHEN movement > 0 THEN 'POSITIVE GAIN' WHEN movement < 0 THEN 'LOSS' ELSE 'BALL DID NOT ADVANCE' END AS result_detail,
+          CASE WHEN c IN ('int', 'fum') THEN 'turnover' WHEN c = 'td' THEN 'touchdown' WHEN c = 'fg' THEN 'field-goal-good' WHEN c IN ('inc', 'pen') THEN 'incomplete' WHEN movement IS NULL THEN 'unknown' WHEN movement > 0 THEN 'positive' WHEN movement < 0 THEN 'negative' ELSE 'no-gain' END AS result_state, c IN ('int', 'fum') AS turnover FROM labelled"""),
+    "scoring_phases": (CASES, "SELECT game_id, play_index, CAST(0 AS INTEGER) AS phase_no, 'scrimmage' AS phase, 'SCRIMMAGE' AS label, 'TOUCHDOWN' AS result, CAST(NULL AS VARCHAR) AS position FROM cases WHERE c = 'td'"),
     "report_teams": (PAGES, f"SELECT game_id, CAST(side AS INTEGER) AS side, CASE side WHEN 0 THEN 'visitor' ELSE 'home' END AS home_away, {FULL_NAME} AS name, score, CAST(CASE WHEN user_id % 5 <> 0 THEN 6 ELSE 3 END AS BIGINT) AS digit_items, team_id, {NICKNAME} AS short_name, CASE team_id {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in COLOURS.items())} END AS color FROM sides"),
     "game_meta": (PAGES, f"""SELECT v.game_id, concat({FULL_NAME.replace('team_id', 'v.team_id')}, ' at ', {FULL_NAME.replace('team_id', 'h.team_id')}) AS title, concat('9/', 1 + v.user_id % 28, '/2023') AS date, '1:02 PM EDT' AS start_time, concat('Field ', v.user_id % 50) AS venue, 'Some City, ST' AS location,
         concat('Cloudy Temp: ', 50 + v.user_id % 40) AS weather, concat('65,', 100 + v.user_id % 900) AS attendance, concat('3:0', v.user_id % 10) AS duration FROM sides v JOIN sides h ON h.game_id = v.game_id AND v.side = 0 AND h.side = 1"""),

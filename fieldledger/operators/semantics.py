@@ -282,7 +282,7 @@ def play_summary(sequence: DataFrame, penalties: DataFrame) -> DataFrame:
         .when(F.col("touchdown"), "touchdown").otherwise("other")
     )
     return s.select(
-        *KEYS, "possession", a.alias("official_action"), o.alias("official_outcome"), F.col("official.actor").alias("official_actor"), F.col("official.team_id").alias("official_team"),
+        *KEYS, "possession", a.alias("official_action"), o.alias("official_outcome"), F.col("official.actor").alias("official_actor"), F.col("official.yards").alias("official_yards"), F.col("official.team_id").alias("official_team"),
         F.coalesce("enforced_at", "official.end_position", "recovery.location").alias("official_end"), F.when(F.col("intercepted"), "INTERCEPTION").when(lost, "FUMBLE LOST").alias("turnover_label"),
         F.col("change.team_id").alias("changed_to"), F.col("change.location").alias("changed_at"), F.col("change.result").alias("changed_by"), F.col("returned.actor").alias("returner"), F.col("returned.yards").alias("return_yards"),
         picture.alias("visualization"), "touchdown", "reviewed", "events", "actions", "raw_parts", F.when(~F.col("structured"), "raw").when(F.col("raw_parts") > 0, "partial").otherwise("structured").alias("parse_status"),
