@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldledger.functions.spots import COLOURS, GROUPS, POSITION_GROUPS, RESULT_CODES, TEAMS, absolute_yard, attack_direction, clamp, down_label, field_percent, quarter_label, result_code
 from fieldledger.operators import explore, lines, play_text, plays, quality, replay, scoring, sections, semantics, views
 from fieldledger.sources import bridge, manifest, report_pages
-from fieldledger.sources.stored import stored
+from fieldledger.sources.stored import stamp, stored
 
 ORIGIN, SUFFIX = "https://m.tiontion.example.com", ".html"
 
@@ -22,8 +22,11 @@ class Reports:
     spark: SparkSession
     sf_dir: str
 
+    def __post_init__(self):
+        self.corpus = stamp(self.spark, f"{self.sf_dir}/events.parquet")
+
     def once(self, name: str, make) -> DataFrame:
-        return stored(self.spark, self.sf_dir, name, make)
+        return stored(self.spark, self.corpus, name, make)
 
     @property
     def truth(self) -> DataFrame:
@@ -192,6 +195,8 @@ JOBS = {
     "participant_labels": lambda r: views.participant_labels(semantics.participants(r.sequence)),
     "replay_view": lambda r: replay.replay_view(r.sequence, semantics.merged_penalties(r.sequence), r.summary, plays.with_state_after(r.plays), r.teams),
     "scoring_phases": lambda r: replay.scoring_phases(r.sequence, semantics.merged_penalties(r.sequence)),
+    "play_spots": lambda r: semantics.spots(r.sequence, semantics.merged_penalties(r.sequence), r.plays, r.summary).drop("place"),
+    "admin_events": lambda r: semantics.admin_events(r.sequence).select("game_id", "play_index", "type"),
     "report_teams": lambda r: r.team_rows,
     "game_meta": lambda r: sections.game_meta(r.pages, r.team_rows),
     "team_stats": lambda r: quality.stat_compare(sections.team_stats(r.pages)),
@@ -325,6 +330,10 @@ SELECTS = {
           CASE WHEN c = 'int' THEN CASE WHEN yards <> 0 THEN defender ELSE end_spot END WHEN c = 'fum' THEN moved_label WHEN c = 'td' THEN passer WHEN c = 'fg' THEN '44 YARDS' WHEN c IN ('inc', 'pen') OR movement IS NULL THEN NULL WHEN movement > 0 THEN 'POSITIVE GAIN' WHEN movement < 0 THEN 'LOSS' ELSE 'BALL DID NOT ADVANCE' END AS result_detail,
           CASE WHEN c IN ('int', 'fum') THEN 'turnover' WHEN c = 'td' THEN 'touchdown' WHEN c = 'fg' THEN 'field-goal-good' WHEN c IN ('inc', 'pen') THEN 'incomplete' WHEN movement IS NULL THEN 'unknown' WHEN movement > 0 THEN 'positive' WHEN movement < 0 THEN 'negative' ELSE 'no-gain' END AS result_state, c IN ('int', 'fum') AS turnover FROM labelled"""),
     "scoring_phases": (CASES, "SELECT game_id, play_index, CAST(0 AS INTEGER) AS phase_no, 'scrimmage' AS phase, 'SCRIMMAGE' AS label, 'TOUCHDOWN' AS result, CAST(NULL AS VARCHAR) AS position FROM cases WHERE c = 'td'"),
+    "play_spots": (CASES, f"""SELECT game_id, play_index, 'start' AS kind, spot AS position FROM cases UNION ALL SELECT game_id, play_index, CASE outcome WHEN 'interception' THEN outcome ELSE 'action-end' END, end_position FROM first_actions WHERE end_position IS NOT NULL
+        UNION ALL SELECT game_id, play_index, 'action-end', spot FROM cases WHERE c IN ('int', 'punt') UNION ALL SELECT game_id, play_index, CASE c WHEN 'fum' THEN 'recovery' ELSE 'enforcement' END, spot FROM cases WHERE c IN ('fum', 'pen')
+        UNION ALL SELECT game_id, play_index, 'official-final', {OFFICIAL_END} FROM cases WHERE {OFFICIAL_END} IS NOT NULL"""),
+    "admin_events": (CASES, "SELECT game_id, play_index, 'kick-crew' AS type FROM cases WHERE c = 'fg'"),
     "report_teams": (PAGES, f"SELECT game_id, CAST(side AS INTEGER) AS side, CASE side WHEN 0 THEN 'visitor' ELSE 'home' END AS home_away, {FULL_NAME} AS name, score, CAST(CASE WHEN user_id % 5 <> 0 THEN 6 ELSE 3 END AS BIGINT) AS digit_items, team_id, {NICKNAME} AS short_name, CASE team_id {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in COLOURS.items())} END AS color FROM sides"),
     "game_meta": (PAGES, f"""SELECT v.game_id, concat({FULL_NAME.replace('team_id', 'v.team_id')}, ' at ', {FULL_NAME.replace('team_id', 'h.team_id')}) AS title, concat('9/', 1 + v.user_id % 28, '/2023') AS date, '1:02 PM EDT' AS start_time, concat('Field ', v.user_id % 50) AS venue, 'Some City, ST' AS location,
         concat('Cloudy Temp: ', 50 + v.user_id % 40) AS weather, concat('65,', 100 + v.user_id % 900) AS attendance, concat('3:0', v.user_id % 10) AS duration FROM sides v JOIN sides h ON h.game_id = v.game_id AND v.side = 0 AND h.side = 1"""),
@@ -361,7 +370,7 @@ SELECTS = {
     "play_sequence": (CASES, "SELECT game_id, play_index, event_order, type, 'official' AS ruling, CASE WHEN type = 'raw' THEN 'administrative' ELSE 'scrimmage' END AS phase FROM (SELECT game_id, play_index, CAST(generate_subscripts(types, 1) - 1 AS INTEGER) AS event_order, unnest(types) AS type FROM steps)"),
     "participants": (CASES, "SELECT * FROM involved"),
     "merged_penalties": (CASES, "SELECT game_id, play_index, defence AS team_id, defender AS player, 'Defensive Holding' AS penalty_type, 5 AS yards, spot, 'enforced' AS enforcement, 'accepted' AS status, TRUE AS no_play, 'scrimmage' AS phase, CAST(1 AS BIGINT) AS occurrences FROM cases WHERE c = 'pen'"),
-    "play_summary": (CASES, f"""SELECT k.game_id, k.play_index, k.possession, a.action_type AS official_action, a.outcome AS official_outcome, a.actor AS official_actor, a.team_id AS official_team, {OFFICIAL_END} AS official_end,
+    "play_summary": (CASES, f"""SELECT k.game_id, k.play_index, k.possession, coalesce(a.action_type, 'other') AS official_action, a.outcome AS official_outcome, a.actor AS official_actor, a.team_id AS official_team, {OFFICIAL_END} AS official_end,
         CASE c WHEN 'int' THEN 'INTERCEPTION' WHEN 'fum' THEN 'FUMBLE LOST' END AS turnover_label, CASE WHEN c IN ('int', 'punt', 'fum') THEN defence END AS changed_to, CASE c WHEN 'fum' THEN spot WHEN 'int' THEN end_spot WHEN 'punt' THEN end_spot END AS changed_at,
         CASE c WHEN 'fum' THEN 'recovery' WHEN 'int' THEN 'interception' WHEN 'punt' THEN 'punt' END AS changed_by, r.actor AS returner, r.yards AS return_yards,
         CASE c WHEN 'td' THEN 'pass-complete' WHEN 'comp' THEN 'pass-complete' WHEN 'inc' THEN 'pass-incomplete' WHEN 'pen' THEN 'pass-incomplete' WHEN 'int' THEN 'pass-intercepted' WHEN 'fg' THEN 'field-goal' WHEN 'punt' THEN 'punt' WHEN 'sack' THEN 'sack' WHEN 'flat' THEN 'other' ELSE 'run' END AS visualization,

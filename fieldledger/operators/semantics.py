@@ -271,10 +271,13 @@ def play_summary(sequence: DataFrame, penalties: DataFrame) -> DataFrame:
         pick(F.struct("actor", "yards", "outcome"), F.col("action_type") == "return").alias("returned"), has(F.col("interceptor").isNotNull()).alias("intercepted"), has(t == "fumble").alias("fumbled"), has(t == "touchdown").alias("touchdown"),
         has((F.col("action_type") == "field-goal") & (F.col("outcome") == "blocked")).alias("blocked"), has(F.col("action_type") == "punt").alias("punted"), F.count("*").alias("events"), F.count_if(is_action).alias("actions"), F.count_if(t == "raw").alias("raw_parts"),
         has(~t.isin("raw", "official-marker")).alias("structured"), has(t == "review").alias("reviewed"),
+        has(t == "penalty").alias("penalized"), F.min_by(F.when(t == "timeout", F.struct(F.col("result"))), F.when(t == "timeout", order)).alias("timeout"),
     )
     enforced = penalties.filter("status = 'accepted' and spot is not null").groupBy(*KEYS).agg(F.max_by("spot", "event_order").alias("enforced_at"))
     s = s.join(enforced, KEYS, "left")
     a, o = F.col("official.action_type"), F.col("official.outcome")
+    # a play without an action is what else it has
+    instead = F.when(F.col("penalized"), "penalty").when(F.col("reviewed"), "replay").when(F.col("timeout").isNotNull(), "timeout").otherwise("other")
     lost = F.col("fumbled") & F.coalesce(F.col("recovery.team_id") != F.col("possession"), F.lit(False))
     picture = (
         F.when(F.col("blocked"), "blocked-field-goal").when(F.col("intercepted"), "pass-intercepted").when(F.col("punted"), "punt").when(a.isin("field-goal", "sack"), a)
@@ -282,8 +285,27 @@ def play_summary(sequence: DataFrame, penalties: DataFrame) -> DataFrame:
         .when(F.col("touchdown"), "touchdown").otherwise("other")
     )
     return s.select(
-        *KEYS, "possession", a.alias("official_action"), o.alias("official_outcome"), F.col("official.actor").alias("official_actor"), F.col("official.yards").alias("official_yards"), F.col("official.team_id").alias("official_team"),
+        *KEYS, "possession", F.coalesce(a, instead).alias("official_action"), o.alias("official_outcome"), F.when(a.isNull(), F.col("timeout.result")).otherwise(F.col("official.actor")).alias("official_actor"), F.col("official.yards").alias("official_yards"), F.col("official.team_id").alias("official_team"),
         F.coalesce("enforced_at", "official.end_position", "recovery.location").alias("official_end"), F.when(F.col("intercepted"), "INTERCEPTION").when(lost, "FUMBLE LOST").alias("turnover_label"),
         F.col("change.team_id").alias("changed_to"), F.col("change.location").alias("changed_at"), F.col("change.result").alias("changed_by"), F.col("returned.actor").alias("returner"), F.col("returned.yards").alias("return_yards"),
         picture.alias("visualization"), "touchdown", "reviewed", "events", "actions", "raw_parts", F.when(~F.col("structured"), "raw").when(F.col("raw_parts") > 0, "partial").otherwise("structured").alias("parse_status"),
     )
+
+
+def spots(sequence: DataFrame, penalties: DataFrame, plays: DataFrame, summary: DataFrame) -> DataFrame:
+    """(game_id, play_index, kind, position, place): start, action-end, interception, recovery, enforcement and official-final."""
+    t, end = F.col("type"), F.col("end_position")
+    moved = sequence.filter((t == "action") & end.isNotNull()).select(*KEYS, F.when(F.col("outcome") == "interception", "interception").otherwise("action-end").alias("kind"), end.alias("position"), F.col("event_order").cast("int").alias("place"))
+    recovered = sequence.filter((t == "recovery") & F.col("location").isNotNull()).select(*KEYS, F.lit("recovery").alias("kind"), F.col("location").alias("position"), F.col("event_order").cast("int").alias("place"))
+    enforced = penalties.filter("spot is not null").select(*KEYS, F.lit("enforcement").alias("kind"), F.col("spot").alias("position"), F.col("event_order").cast("int").alias("place"))
+    start = plays.select(*KEYS, F.lit("start").alias("kind"), F.col("yard_line").alias("position"), F.lit(-1).alias("place"))
+    final = summary.filter("official_end is not null").select(*KEYS, F.lit("official-final").alias("kind"), F.col("official_end").alias("position"), F.col("events").cast("int").alias("place"))
+    return start.unionByName(moved).unionByName(recovered).unionByName(enforced).unionByName(final)
+
+
+ADMIN = ("timeout", "administrative", "official-marker", "drive-summary", "kick-crew")
+
+
+def admin_events(sequence: DataFrame) -> DataFrame:
+    """(game_id, play_index, event_order, type, result, text): timeouts, runoffs, markers, drive summaries and kicking crews."""
+    return sequence.filter(F.col("type").isin(*ADMIN)).select(*KEYS, "event_order", "type", "result", "text")

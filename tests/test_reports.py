@@ -18,7 +18,7 @@ def rows(pdf: pd.DataFrame):
     return sorted(tuple(one(v) for v in r) for r in pdf[sorted(pdf.columns)].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["drives", "plays_from_items", "score_by_period", "tacklers", "approved_urls", "valid_game_ids"])
+@pytest.mark.parametrize("name", sorted(reports.QUERIES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "pages"):
@@ -59,10 +59,10 @@ def test_two_straight_drives_overlap(spark):
 
 
 def test_nearest_score_tie_takes_the_earlier_play(spark):
-    s = spark.createDataFrame([("g", 1, "IND", 1, 100, "A.Abel", "touchdown", 7, 0)], "game_id string, score_no int, team_id string, quarter int, clock_sec int, passer string, kind string, visitor_score int, home_score int")
-    p = spark.createDataFrame([("g", 1, 4, 105, "A.Abel TOUCHDOWN"), ("g", 1, 5, 95, "A.Abel TOUCHDOWN"), ("g", 2, 6, 100, "A.Abel TOUCHDOWN")], "game_id string, quarter int, play_index long, clock_sec int, description string")
-    assert scoring.link_scoring(s, p).first()["play_index"] == 4
-    assert scoring.link_scoring(s, p.filter("quarter = 2")).first()["play_index"] == -1
+    p = spark.createDataFrame([("g", 1, 3, 100, "A.Abel for 2 yards, TOUCHDOWN."), ("g", 1, 5, 96, "A.Abel for 9 yards, TOUCHDOWN."), ("g", 1, 6, 98, "B.Birch for 2 yards, TOUCHDOWN.")], "game_id string, quarter int, play_index long, clock_sec int, description string")
+    rows = [("g", 1, "NE", 1, "1:38", "A.Abel 2 yd. run", 7, 0), ("g", 2, "NE", 2, "1:38", "A.Abel 2 yd. run", 14, 0)]
+    s = spark.createDataFrame(rows, "game_id string, score_no int, team_id string, quarter int, clock string, description string, visitor_score int, home_score int")
+    assert {r["score_no"]: r["play_index"] for r in scoring.link_scoring(s, p).collect()} == {1: 3, 2: -1}
 
 
 def test_offsetting_penalty_and_spans(spark):
