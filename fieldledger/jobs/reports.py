@@ -173,7 +173,7 @@ JOBS = {
     "recent_plays": lambda r: explore.recent_plays(r.plays, r.cursors).select("game_id", "play_index", "rank", "description"),
     "search_plays": lambda r: explore.search_plays(r.plays, "intercepted").select("game_id", "play_index", "rank"),
     "completed_drive": lambda r: explore.completed_drive(r.drives[0], r.cursors),
-    "game_counts": lambda r: explore.game_counts(r.plays, r.drives[0]),
+    "game_counts": lambda r: explore.game_counts(r.plays, r.drives[0], r.linked[0]),
     "game_flow": lambda r: explore.game_flow(r.drives[0]),
     "play_flags": lambda r: explore.play_flags(r.plays),
     "player_plays": lambda r: explore.player_plays(play_text.tacklers(r.plays).select("game_id", "play_index", "player")),
@@ -218,7 +218,7 @@ JOBS = {
     "section_flags": lambda r: lines.section_flags(lines.page_text(r.pages)),
     "play_by_play_pages": lambda r: lines.pbp_range(lines.page_text(r.lines)).select("game_id", "first_page"),
     "result_codes": lambda r: r.chart.select("game_id", "drive_id", result_code(F.col("result")).alias("code")),
-    "source_vs_parsed": lambda r: explore.source_vs_parsed(r.plays, play_text.penalties(r.plays)),
+    "source_vs_parsed": lambda r: explore.source_vs_parsed(r.plays, r.sequence),
 }
 
 QUERIES = {name: (lambda spark, sf_dir, job=job: job(Reports(spark, sf_dir))) for name, job in JOBS.items()} | {
@@ -441,11 +441,12 @@ SELECTS = {
     "recent_plays": (STARTS, "SELECT game_id, play_index, CAST(rank AS INTEGER) AS rank, description FROM (SELECT t.game_id, t.i AS play_index, row_number() OVER (PARTITION BY t.game_id ORDER BY t.i DESC) AS rank, description FROM truth t JOIN cursors c ON c.game_id = t.game_id AND t.i <= c.cursor) WHERE rank <= 3"),
     "search_plays": ("", "SELECT game_id, play_index, CAST(rank AS INTEGER) AS rank FROM (SELECT game_id, i AS play_index, row_number() OVER (PARTITION BY game_id ORDER BY i) AS rank FROM truth WHERE event_type = 'error' AND event_id % 4 = 0) WHERE rank <= 8"),
     "completed_drive": (STARTS, "SELECT d.game_id, d.drive_id, d.plays, d.net_yards FROM drives d JOIN cursors c ON c.game_id = d.game_id AND d.last_play_index = c.cursor"),
-    "game_counts": (STARTS, "SELECT t.game_id, t.plays, coalesce(d.drives, 0) AS drives FROM (SELECT game_id, count(*) AS plays FROM truth GROUP BY 1) t LEFT JOIN (SELECT game_id, count(*) AS drives FROM drives GROUP BY 1) d USING (game_id)"),
+    "game_counts": (STARTS + PAGES + CASES + LISTED + MENTIONS, """SELECT t.game_id, t.plays, coalesce(d.drives, 0) AS drives, coalesce(p.players, 0) AS players FROM (SELECT game_id, count(*) AS plays FROM truth GROUP BY 1) t
+        LEFT JOIN (SELECT game_id, count(*) AS drives FROM drives GROUP BY 1) d USING (game_id) LEFT JOIN (SELECT game_id, count(*) AS players FROM everyone GROUP BY 1) p USING (game_id)"""),
     "game_flow": (STARTS, "SELECT game_id, quarter, team_id, count(*) AS drives, CAST(sum(plays) AS BIGINT) AS plays, CAST(sum(net_yards) AS BIGINT) AS net_yards FROM drives GROUP BY 1, 2, 3"),
     "play_flags": ("", "SELECT game_id, i AS play_index, kind = 'touchdown' AS touchdown, kind = 'turnover' AS turnover, kind = 'penalty' AS penalty, kind = 'penalty' AS no_play FROM truth"),
     "player_plays": ("", f"SELECT game_id, player, count(DISTINCT i) AS plays FROM (SELECT game_id, i, unnest({DEFENDERS}) AS player FROM truth) GROUP BY ALL"),
-    "source_vs_parsed": ("", "SELECT game_id, CAST(sum(CASE WHEN kind = 'penalty' THEN 1 ELSE 0 END) AS BIGINT) AS named, CAST(sum(CASE WHEN kind = 'penalty' THEN 1 ELSE 0 END) AS BIGINT) AS parsed FROM truth GROUP BY 1"),
+    "source_vs_parsed": ("", "SELECT game_id, count(*) FILTER (kind = 'penalty') AS named, count(*) FILTER (kind = 'penalty') AS parsed, CAST(0 AS BIGINT) AS brackets_named, CAST(0 AS BIGINT) AS brackets_parsed FROM truth GROUP BY 1"),
 }
 
 

@@ -49,8 +49,11 @@ def period_bounds(plays: DataFrame) -> DataFrame:
     return plays.groupBy("game_id", F.least("quarter", F.lit(5)).alias("period")).agg(F.min("play_index").alias("first_play"), F.max("play_index").alias("last_play"))
 
 
-def game_counts(plays: DataFrame, drives: DataFrame) -> DataFrame:
-    return plays.groupBy("game_id").agg(F.count("*").alias("plays")).join(drives.groupBy("game_id").agg(F.count("*").alias("drives")), "game_id", "left").withColumn("drives", F.coalesce("drives", F.lit(0)))
+def game_counts(plays: DataFrame, drives: DataFrame, players: DataFrame) -> DataFrame:
+    """(game_id, plays, drives, players)."""
+    count = lambda d, name: d.groupBy("game_id").agg(F.count("*").alias(name))
+    d = count(plays, "plays").join(count(drives, "drives"), "game_id", "left").join(count(players, "players"), "game_id", "left")
+    return d.select("game_id", "plays", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("drives", "players")])
 
 
 def game_flow(drives: DataFrame) -> DataFrame:
@@ -68,11 +71,12 @@ def player_plays(involved: DataFrame) -> DataFrame:
     return involved.groupBy("game_id", "player").agg(F.countDistinct("play_index").alias("plays"))
 
 
-def source_vs_parsed(plays: DataFrame, penalties: DataFrame) -> DataFrame:
-    """Penalties that the texts name against those extracted."""
-    named = plays.groupBy("game_id").agg(F.sum(F.regexp_count("description", F.lit("PENALTY on"))).alias("named"))
-    found = penalties.groupBy("game_id").agg(F.count("*").alias("parsed"))
-    return named.join(found, "game_id", "left").withColumn("parsed", F.coalesce("parsed", F.lit(0)))
+def source_vs_parsed(plays: DataFrame, sequence: DataFrame) -> DataFrame:
+    """Penalties and bracket notes that the texts name against those that were read."""
+    names = lambda pattern: F.sum(F.regexp_count("description", F.lit(pattern)))
+    named = plays.groupBy("game_id").agg(names(r"(?i)\bPENALTY on\b").alias("named"), names(r"\[[^\]]+\]").alias("brackets_named"))
+    found = sequence.groupBy("game_id").agg(F.count_if(F.col("type") == "penalty").alias("parsed"), F.count_if((F.col("type") == "defense") & F.col("text").startswith("[")).alias("brackets_parsed"))
+    return named.join(found, "game_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("parsed", "brackets_parsed")})
 
 
 def period_summary(by_period: DataFrame) -> DataFrame:
