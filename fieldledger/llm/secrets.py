@@ -44,6 +44,7 @@ LEAST_ENTROPY = 4.2
 KINDS = (*BASE_KINDS, *(k for k, _ in ADDED), "entropy")
 #: Unseen blobs up to this many bytes, at so many a row, are sent to every task.
 MAX_SENT_BYTES, BLOB_BYTES = 16 << 20, 64
+SALTS = 8
 LEDGER = "blob binary, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -175,7 +176,22 @@ def scan_unseen(versions: DataFrame, known: DataFrame | None = None, rule_versio
     return cut(found.groupBy("blob").agg(F.first(F.struct(*rest)).alias("f")).select("blob", *[f"f.{c}" for c in rest]))
 
 
-def scan_versions(versions: DataFrame, ledger: Ledger, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
+def joined_by_blob(rows: DataFrame, found: DataFrame, max_bytes: int) -> DataFrame:
+    """``rows`` (blob) with the findings (f_blob, spans or f_spans, ...) of their blobs, or nulls.
+
+    Findings up to ``max_bytes`` are sent to the tasks.  Beyond, both sides are dealt by blob and one of SALTS numbers, so
+    that the copies of one text don't meet in a task.
+    """
+    spans = "f_spans" if "f_spans" in found.columns else "spans"
+    size = found.agg(F.sum(F.length(spans) + BLOB_BYTES)).first()[0] or 0
+    if size <= max_bytes:
+        return rows.join(F.broadcast(found), F.col("blob") == F.col("f_blob"), "left").drop("f_blob")
+    dealt = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    each = found.withColumn("f_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(each, (F.col("blob") == F.col("f_blob")) & (F.col("salt") == F.col("f_salt")), "left").drop("f_blob", "salt", "f_salt")
+
+
+def scan_versions(versions: DataFrame, ledger: Ledger, rule_version: str = RULE_VERSION, max_bytes: int = MAX_SENT_BYTES) -> tuple[DataFrame, DataFrame]:
     """(findings, additions): every row of ``versions`` without its text but with its blob's findings, and the rows that
     this commit added to the ledger.
 
@@ -184,15 +200,13 @@ def scan_versions(versions: DataFrame, ledger: Ledger, rule_version: str = RULE_
     the findings' are replaced; an empty table adds nothing.
     """
     names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-    rows = with_blobs(without(versions, [*names, "f_blob", "rule_version"]))
+    rows = with_blobs(without(versions, [*names, "f_blob", "rule_version", "salt", "f_salt"]))
     additions = scan_unseen(rows, ledger.rows(rule_version), rule_version)
     ledger.add(additions)
     found = ledger.rows(rule_version).filter(F.length("spans") > 0).drop("rule_version").withColumnRenamed("blob", "f_blob")
     counts = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in names[:3]}
     findings = (
-        rows.drop("text")
-        .join(found, F.col("blob") == F.col("f_blob"), "left")
-        .drop("f_blob")
+        joined_by_blob(rows.drop("text"), found, max_bytes)
         .withColumns(counts | {"base_sha256": F.coalesce("base_sha256", F.lit(NOTHING)), "spans": F.coalesce("spans", F.lit(""))})
     )
     return findings, additions
@@ -226,13 +240,10 @@ def redact_documents(docs: DataFrame, ledger: Ledger | None = None, max_bytes: i
     rows = with_blobs(boxed(docs, "text"))
     ledger.add(scan_unseen(rows, ledger.rows()))
     found = ledger.rows().filter(F.length("spans") > 0).select(F.col("blob").alias("f_blob"), F.col("spans").alias("f_spans"))
-    size = found.agg(F.sum(F.length("f_spans") + BLOB_BYTES)).first()[0] or 0
-    found = F.broadcast(found) if size <= max_bytes else found
-
     def make():
         return lambda texts, spans: [[redacted(t, parsed(s)) if s else t for t, s in zip(texts, spans, strict=True)]]
 
-    joined = rows.join(found, F.col("blob") == F.col("f_blob"), "left").select("boxed_row", "text", "f_spans")
+    joined = joined_by_blob(rows, found, max_bytes).select("boxed_row", "text", "f_spans")
     out = add_columns(joined, ["text", "f_spans"], "new_text string", make, drop=("text", "f_spans"))
     changed = {"text": F.col("new_text"), "n_chars": F.coalesce(F.length("new_text"), F.col("boxed_row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
     return out.select(*[(changed[f.name].cast(f.dataType) if f.name in changed else F.col("boxed_row")[f.name]).alias(f.name) for f in docs.schema])

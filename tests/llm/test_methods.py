@@ -369,6 +369,8 @@ def test_ledger_is_kept_and_read(spark):
     findings, added = secrets.scan_versions(second, ledger)
     assert added.count() == 0 and findings.count() == 6 and ledger.rows().count() == 4
     assert secrets.scan_versions(second, ledger, rule_version="next")[1].count() == 4
+    apart = secrets.scan_versions(second, ledger, max_bytes=0)[0]
+    assert sorted(map(str, apart.select(*findings.columns).collect())) == sorted(map(str, findings.collect()))
     assert secrets.scan_unseen(secrets.with_blobs(second), ledger.rows("other"), max_bytes=0).count() == 4
     assert secrets.scan_versions(first.limit(0), secrets.new_ledger(spark))[0].count() == 0
     for most in (0, secrets.MAX_SENT_BYTES):
