@@ -28,6 +28,8 @@ TOKEN_LIMIT = 4096
 #: Words up to this many characters are remembered by a worker, and so many of them.
 CACHED_CHARS, CACHED = 64, 800_000
 BLANK = "▁"
+#: A text that common normalisers would change: runs of blanks, compatibility forms, a combining mark, a tab.
+PROBE = "  a  b\tc\u00a0\u00e9\u2460e\u0301 \ufb01 "
 
 
 def splits(pieces) -> list[re.Pattern]:
@@ -46,6 +48,8 @@ class PrefixCounter:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        if self.model.normalize(PROBE) != BLANK + PROBE.replace(" ", BLANK):
+            raise ValueError("the model's normaliser changes texts; prefixes of the text aren't prefixes of what it encodes")
         n = self.model.get_piece_size()
         self.scores: dict[str, float] = {}
         for i in range(n):
