@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from fieldledger.llm import (
+    alignment,
     byte_bpe,
+    conversations,
     mixing,
     quality_classifier,
     quality_rules,
     secrets,
+    sharding,
     simhash,
     token_counts,
     toxicity,
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_quality_rules": quality_rules.query,
     "op9_toxicity": toxicity.query,
     "op10_secrets": secrets.query,
+    "op11_alignment": alignment.query,
+    "op12_conversations": conversations.query,
+    "op13_sharding": sharding.query,
 }
 
 ORACLE_SQL = {"op5_url_filter": url_filter.oracle()}
