@@ -1,16 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained by zstandard's trainer, one on toxic and one on ordinary text.
-Both begin with the same core, trained on ordinary prose, for toxic texts are mostly prose too; then
-each goes on with what the trainer makes of its own class's passages: the runs of text whose grams
-stand in clearly more contexts of this class than of the other.  (Trained on whole texts, both hold
-prose, and prose matches by chance drown the rest: README has the figures.)
-
-A window is a few words.  Its distance is how many bytes fewer the toxic dictionary needs than the
-ordinary one.  Where a window saves bytes, its words are windows of their own, each between the same
-two pieces of the core, so that what saves them can be told from chance at the window's edges.
-A document's features are the largest savings, and how many windows lie above some; weights and
-threshold are calibrated on training rows, each measured with dictionaries that did not see it.
+Three zstandard dictionaries are trained by zstandard's trainer.  All begin with a core of ordinary prose, for toxic
+texts are mostly prose too.  Each goes on with what the trainer makes of passages: runs of text that mark a class.
+
+A gram marks the toxic class *strictly* if it stands in many times as many toxic texts as ordinary ones, and *densely*
+if it is dense (often, and a good share of the words) in many times as many: stems that ordinary texts use too, but
+seldom, which is how texts in most languages are told.  Dense and strict marks make the toxic dictionary, strict ones
+alone a second; the ordinary dictionary has the ordinary class's dense marks.  No mark is in the core.
+
+A window is the head of one word, between a lead from the core and a trail that no text has.  Heads are written with two
+blanks and a capital before them, so that a stem at a word's start is no match for the same letters within a word.  Its
+distance is how many bytes fewer a toxic dictionary needs than the ordinary one.  A document's features are how many windows,
+how many different ones and which share of them lie above a distance; weights and threshold are calibrated on training rows,
+each measured with dictionaries that did not see it.
 """
 
 from __future__ import annotations
@@ -29,34 +31,50 @@ from fieldledger.llm.base import add_columns, held_out, read_table
 #: The training sample: so many labelled documents at most, whole texts, of at most so many bytes together.
 MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 2000, 3000, 48 << 20
 CORE_BYTES, TAIL_BYTES, TRAINER_BYTES = 8192, 6144, 4 << 20
-#: A gram marks a class if it stands in this many of its contexts, and so many times as often as in the other's.
-GRAM, LEAST_CONTEXTS, LEAST_RATIO = 6, 3, 50.0
-#: Of that many toxic documents one must be added to LEAST_CONTEXTS.
-DOCUMENTS_A_CONTEXT = 170
-WINDOW_WORDS = 4
+#: A window: so many bytes of a word, and after it bytes that no text has, the same for all dictionaries.
+HEAD, TRAIL = 6, bytes(range(1, 9))
+#: The prose of the core is taken so many words at a time.
+PROSE_WORDS = 4
+#: A gram marks a class if it stands (is dense) in so many of its texts, in this share of them, and in so many times as large a share as in the other's.
+GRAM, LEAST_TEXTS, LEAST_SHARE, STRICT_RATIO, DENSE_RATIO = 6, 4, 0.01, 40.0, 8.0
+#: It is dense in a text if it stands in so many different places, and that many to a word.
+DENSE_TIMES, DENSE_SHARE = 2, 0.004
 #: Parts of the sample for the calibration.
-FOLDS = 2
+FOLDS = 3
 LEVEL, MIN_MATCH = 12, 6
+#: Windows that save so many bytes are counted; shares are told apart from about this one on.
+LEAST_SAVING, SMALL_SHARE = 3, 0.002
 THRESHOLD = 0.3
 CACHED = 200_000
+NOTHING = (0, 0)
 MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8").lower().split() or [b""]
+def raw_words(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8").split() or [b""]
 
 
-def windows_of(words: list[bytes]) -> list[bytes]:
-    """Every word once, WINDOW_WORDS at a time."""
-    return [b" ".join(words[i : i + WINDOW_WORDS]) for i in range(0, len(words), WINDOW_WORDS)]
+def head(word: bytes) -> bytes:
+    return word[:1].upper() + word[1:HEAD]
+
+
+def tidy(text: str) -> bytes:
+    """The heads of all words, as the dictionaries have them."""
+    return b"  " + b"  ".join([head(w) for w in raw_words(text)]) + b"  "
+
+
+def prose_of(data: bytes) -> list[bytes]:
+    """The heads of a tidy text, PROSE_WORDS at a time."""
+    words = data.split()
+    return [b"  ".join(words[i : i + PROSE_WORDS]) for i in range(0, len(words), PROSE_WORDS)]
 
 
 @dataclass(frozen=True)
 class Dictionaries:
     ordinary: bytes = b""
     toxic: bytes = b""
+    strict: bytes = b""
     lead: bytes = b""
-    trail: bytes = b""
 
 
 @dataclass(frozen=True)
@@ -66,53 +84,46 @@ class Model:
 
 
 class Distance:
-    """Bytes that the toxic dictionary saves on windows."""
+    """Bytes that the toxic dictionaries save on windows."""
 
     def __init__(self, dictionaries: Dictionaries):
         p = zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=18, min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
-        lengths = []
-        for content in (dictionaries.ordinary, dictionaries.toxic):
+        compress = []
+        for content in (dictionaries.ordinary, dictionaries.toxic, dictionaries.strict):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
-            lengths.append(zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress)
-        self.ordinary, self.toxic = lengths
-        self.lead, self.trail = dictionaries.lead + b" ", b" " + dictionaries.trail
-        self.known: dict[bytes, int] = {}
-
-    def saved(self, window: bytes) -> int:
-        return len(self.ordinary(window)) - len(self.toxic(window))
-
-    def saved_by_word(self, word: bytes) -> int:
-        got = self.known.get(word)
+            compress.append(zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress)
+        self.compress, self.lead = compress, dictionaries.lead + b"  "
+        self.known: dict[bytes, tuple[int, int]] = {}
+        self.heads: dict[bytes, tuple[int, int]] = {}
+
+    def saved(self, word: bytes) -> tuple[int, int]:
+        """(by the toxic dictionary, by the strict one)."""
+        h = head(word)
+        got = self.heads.get(h)
         if got is None:
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            got = self.known[word] = self.saved(self.lead + word + self.trail)
+            if len(self.heads) >= CACHED:
+                self.heads.clear()
+            ordinary, toxic, strict = [len(f(self.lead + h + TRAIL)) for f in self.compress]
+            got = self.heads[h] = (ordinary - toxic, ordinary - strict) if toxic != ordinary or strict != ordinary else NOTHING
         return got
 
     def features(self, text: str | None) -> list[float]:
-        """A constant; of windows the largest savings, how many save 1, 2, 3 bytes or more, and the mean; of words that
-        lie in windows which save any the two largest savings, how many save 3 and 4 or more, and those numbers' shares."""
-        words = words_of(text)
-        at = np.array([self.saved(w) for w in windows_of(words)], np.int64)
-        near = [x for k in np.flatnonzero(at >= 1).tolist() for x in words[k * WINDOW_WORDS : (k + 1) * WINDOW_WORDS]]
-        by_word = np.array([self.saved_by_word(x) for x in near] or [0], np.int64)
-        top, top_words = np.sort(at)[-2:], np.sort(by_word)[-2:]
-        three, four = int((by_word >= 3).sum()), int((by_word >= 4).sum())
-        return [
-            1.0,
-            float(top[-1]),
-            float(top.mean()),
-            *(float(np.log1p((at >= k).sum())) for k in (1, 2, 3)),
-            float((at >= 2).mean() ** 0.5),
-            float(at.mean()),
-            float(top_words[-1]),
-            float(top_words[0]) if len(top_words) > 1 else 0.0,
-            float(np.log1p(three)),
-            float(np.log1p(four)),
-            (three / len(words)) ** 0.5,
-            (four / len(words)) ** 0.5,
-        ]
+        """A constant, and for each toxic dictionary of the windows that save LEAST_SAVING: whether there are any, how many (different)
+        ones, and their share of all, the last three as logarithms."""
+        words = raw_words(text)
+        known = self.known
+        new = {w for w in words if w not in known}
+        if len(known) + len(new) > CACHED:
+            known.clear()
+            new = set(words)
+        known.update((w, self.saved(w)) for w in new)
+        some = [(head(w), v) for w in words if (v := known[w]) is not NOTHING]
+        n, out = len(words), [1.0]
+        for k in (0, 1):
+            above = [h for h, v in some if v[k] >= LEAST_SAVING]
+            out += [float(bool(above)), float(np.log1p(len(above))), float(np.log1p(len(set(above)))), float(np.log1p(len(above) / n / SMALL_SHARE))]
+        return out
 
 
 def grams_of(data: bytes) -> np.ndarray:
@@ -125,19 +136,24 @@ def grams_of(data: bytes) -> np.ndarray:
     return out
 
 
-def tidy(text: str) -> bytes:
-    return b" " + b" ".join(words_of(text)) + b" "
+Counted = tuple[np.ndarray, np.ndarray]
+
 
+def gram_texts(texts: list[bytes]) -> tuple[Counted, Counted]:
+    """(grams, in how many texts each stands) and (grams, in how many it is dense).
 
-def gram_contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(grams, in how many contexts each stands): a context is the GRAM bytes before it, so copies add none."""
-    found = [np.empty((2, 0), np.uint64)]
+    A place is the gram, the two bytes after it and the gram before it: passages that a text repeats count once.
+    """
+    some, dense = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     for data in texts:
-        g = grams_of(b" " * GRAM + data)
+        g = grams_of(data)
+        before, after = np.concatenate([[np.uint64(0)], g[:-1]]), np.concatenate([g[2:], np.zeros(min(2, len(g)), np.uint64)])
         with np.errstate(over="ignore"):
-            found.append(np.stack([g[GRAM:], g[GRAM:] * MIX[0] + g[:-GRAM] * MIX[1]]))
-    grams, keys = np.concatenate(found, axis=1)
-    return np.unique(grams[np.unique(keys, return_index=True)[1]], return_counts=True)
+            place = np.unique(g * MIX[0] ^ before * MIX[1] ^ after, return_index=True)[1]
+        grams, n = np.unique(g[place], return_counts=True)
+        some.append(grams)
+        dense.append(grams[(n >= DENSE_TIMES) & (n >= DENSE_SHARE * len(data.split()))])
+    return tuple(np.unique(np.concatenate(x), return_counts=True) for x in (some, dense))
 
 
 def count_in(counted: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
@@ -148,11 +164,11 @@ def count_in(counted: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.nd
     return np.where(known[at] == grams, n[at], 0)
 
 
-def marks_of(own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], least: int) -> np.ndarray:
-    """The grams that mark the own class, ascending."""
+def marks_of(own: Counted, other: Counted, n_own: int, n_other: int, ratio: float) -> np.ndarray:
+    """The grams that mark the own class of ``n_own`` texts, ascending."""
     grams, n = own
-    rest = LEAST_RATIO * (count_in(other, grams) + 0.5) / max(1, other[1].sum())
-    return grams[(n >= least) & (n / max(1, n.sum()) >= rest)]
+    rest = (count_in(other, grams) + 0.5) / max(1, n_other)
+    return grams[(n >= max(LEAST_TEXTS, LEAST_SHARE * n_own)) & (n / max(1, n_own) >= ratio * rest)]
 
 
 def passages(texts: list[bytes], marks: np.ndarray) -> list[bytes]:
@@ -182,13 +198,24 @@ def trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def train_dictionaries(bad: list[bytes], good: list[bytes], in_bad, in_good) -> Dictionaries:
-    least = LEAST_CONTEXTS + len(bad) // DOCUMENTS_A_CONTEXT
-    core = trained(sorted({w for t in good for w in windows_of(t.split())}), CORE_BYTES)  # a text that repeats itself counts once
-    toxic = trained(passages(bad, marks_of(in_bad, in_good, least)), TAIL_BYTES)
-    ordinary = trained(passages(good, marks_of(in_good, in_bad, least)), TAIL_BYTES)
+def unmarked(pieces: list[bytes], marks: np.ndarray) -> list[bytes]:
+    """The pieces in which no mark stands."""
+    framed = [b"  " + p + b"  " for p in pieces]
+    ends = np.cumsum([len(p) for p in framed])
+    hits = np.concatenate([[0], np.cumsum(np.isin(grams_of(b"".join(framed) + b" " * GRAM), marks))])
+    starts = np.concatenate([[0], ends])[: len(ends)]
+    return [p for p, clean in zip(pieces, (hits[ends] == hits[starts]).tolist(), strict=True) if clean]
+
+
+def train_dictionaries(bad: list[bytes], good: list[bytes], in_bad: tuple[Counted, Counted], in_good: tuple[Counted, Counted]) -> Dictionaries:
+    sizes = len(bad), len(good)
+    strict = marks_of(in_bad[0], in_good[0], *sizes, STRICT_RATIO)
+    marks = np.union1d(strict, marks_of(in_bad[1], in_good[1], *sizes, DENSE_RATIO))
+    others = marks_of(in_good[1], in_bad[1], *sizes[::-1], DENSE_RATIO)
+    core = trained(unmarked(sorted({p for t in good for p in prose_of(t)}), marks), CORE_BYTES)  # a text that repeats itself counts once
     pad = core[:32]  # zstandard doesn't index a dictionary's last bytes
-    return Dictionaries(core + ordinary + pad, core + toxic + pad, core[100:116], core[200:216])
+    tails = [trained(passages(texts, m), TAIL_BYTES) for texts, m in ((good, others), (bad, marks), (bad, strict))]
+    return Dictionaries(*[core + tail + pad for tail in tails], core[100:116])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -204,19 +231,23 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def best_cut(score: np.ndarray, y: np.ndarray) -> float:
-    """The score above which calling rows positive makes fewest errors."""
+def best_cut(score: np.ndarray, y: np.ndarray, threshold: float) -> float:
+    """The score above which calling rows positive costs least, in the middle of the widest gap that does.
+
+    A probability threshold says what errors cost: at 0.3 a miss as much as 0.7 / 0.3 false alarms.
+    """
     order = np.argsort(score, kind="stable")
     s, t = score[order], y[order]
-    errors = np.concatenate([[0], np.cumsum(t == 1)]) + np.concatenate([np.cumsum((t == 0)[::-1])[::-1], [0]])
+    misses, alarms = np.concatenate([[0], np.cumsum(t == 1)]), np.concatenate([np.cumsum((t == 0)[::-1])[::-1], [0]])
     edges = np.concatenate([[s[0] - 1], (s[1:] + s[:-1]) / 2, [s[-1] + 1]])
-    ok = np.concatenate([[True], s[1:] > s[:-1], [True]])
-    return float(edges[ok][np.argmin(errors[ok])])
+    gaps = np.concatenate([[1e-9], s[1:] - s[:-1], [1e-9]])
+    cost = np.where(gaps > 0, misses * (1 - threshold) / threshold + alarms, np.inf)
+    return float(edges[np.lexsort((-gaps, np.round(cost, 6)))[0]])
 
 
 def shifted(logits: np.ndarray, y: np.ndarray, threshold: float) -> float:
-    """What to add to logits so that the fewest errors are made at ``threshold``."""
-    return float(np.log(threshold / (1 - threshold))) - best_cut(logits, y)
+    """What to add to logits so that errors cost least at ``threshold``."""
+    return float(np.log(threshold / (1 - threshold))) - best_cut(logits, y, threshold)
 
 
 def train(texts: list[str], toxic: list[int], threshold: float = THRESHOLD) -> Model:
@@ -225,32 +256,36 @@ def train(texts: list[str], toxic: list[int], threshold: float = THRESHOLD) -> M
     The sample is dealt into FOLDS parts: weights are fitted to each part's distances under dictionaries
     trained on the others, then the dictionaries are trained on all.  Equal texts count once.
     """
-    sides = [sorted({tidy(t) for t, y in zip(texts, toxic, strict=True) if y == k and t}) for k in (1, 0)]
+    sides = [sorted({t for t, y in zip(texts, toxic, strict=True) if y == k and t}) for k in (1, 0)]
     if not all(sides):
         return Model()
     folds = [[side[k::FOLDS] for k in range(FOLDS)] for side in sides]
-    counted = [[gram_contexts(part) for part in side] for side in folds]
+    tidied = [[[tidy(t) for t in part] for part in side] for side in folds]
+    counted = [[gram_texts(part) for part in side] for side in tidied]
     x, y = [], []
     for k in range(FOLDS):
-        rest = [[part for j, part in enumerate(side) if j != k] for side in folds]
         seen = [both([c for j, c in enumerate(side) if j != k]) for side in counted]
-        bad, good = (sum(r, []) for r in rest)
+        bad, good = (sum([part for j, part in enumerate(side) if j != k], []) for side in tidied)
         if bad and good:
             distance = Distance(train_dictionaries(bad, good, *seen))
-            for label, side in zip((1, 0), folds):
-                x += [distance.features(t.decode("utf-8")) for t in side[k]]
+            for label, side in zip((1, 0), folds, strict=True):
+                x += [distance.features(t) for t in side[k]]
                 y += [label] * len(side[k])
     if len(set(y)) < 2:
         return Model()
     features, labels = np.array(x), np.array(y)
     w = logistic(features, labels)
     w[0] += shifted(features @ w, labels, threshold)
-    return Model(train_dictionaries(*sides, both(counted[0]), both(counted[1])), tuple(w.tolist()))
+    return Model(train_dictionaries(*[sum(side, []) for side in tidied], both(counted[0]), both(counted[1])), tuple(w.tolist()))
 
 
-def both(counted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    grams, at = np.unique(np.concatenate([g for g, _ in counted]), return_inverse=True)
-    return grams, np.bincount(at, np.concatenate([n for _, n in counted]), len(grams)).astype(np.int64)
+def both(parts: list[tuple[Counted, Counted]]) -> tuple[Counted, Counted]:
+    """Counts over several parts, of each kind."""
+    out = []
+    for kind in zip(*parts, strict=True):
+        grams, at = np.unique(np.concatenate([g for g, _ in kind]), return_inverse=True)
+        out.append((grams, np.bincount(at, np.concatenate([n for _, n in kind]), len(grams)).astype(np.int64)))
+    return tuple(out)
 
 
 @lru_cache(maxsize=1)

@@ -9,11 +9,21 @@ from fieldledger.llm.queries import ORACLE_SQL, QUERIES
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize(("module", "label", "least"), [(quality_classifier, "quality", 0.95), (toxicity, "toxic", 0.9)])
-def test_held_out_accuracy(spark, module, label, least):
-    out = module.query(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", label), "doc_id").toPandas()
+def test_held_out_quality(spark):
+    out = quality_classifier.query(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality"), "doc_id").toPandas()
     test = out[out["held_out"]]
-    assert len(test) > 50 and (test["predicted"] == test[label]).mean() >= least and out["score"].between(0, 1).all()
+    assert len(test) > 50 and (test["predicted"] == test["quality"]).mean() >= 0.95 and out["score"].between(0, 1).all()
+
+
+def test_held_out_toxicity(spark):
+    """Recall and precision over all languages and recall in each: never toxic would be right in 85 of 100 rows."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    out = toxicity.query(spark, sf).join(labels, "doc_id").toPandas()
+    test = out[out["held_out"]]
+    found = test[test["predicted"] == 1]
+    assert test[test["toxic"] == 1]["predicted"].mean() >= 0.85 and found["toxic"].mean() >= 0.9 and out["score"].between(0, 1).all()
+    assert (test[test["toxic"] == 1].groupby("lang")["predicted"].mean() >= 0.6).all()
 
 
 @pytest.mark.parametrize("module", [quality_classifier, toxicity])
