@@ -19,7 +19,6 @@ import json
 import re
 from functools import lru_cache
 from itertools import chain, pairwise
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +33,9 @@ VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SEGMENT = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
 CROSSING = re.compile(rb"[^\s\x80-\xff\x1c-\x1f] ")
 #: Segments up to this many characters are remembered by a worker, up to so many bytes of them.
-CACHED_CHARS, CACHED_BYTES = 64, 128 << 20
+CACHED_CHARS, CACHED_BYTES = 64, 64 << 20
 #: Texts are tokenized in blocks of about so many characters.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 #: A pair is A's id above these bits, B's id in them.
 B_BITS = 24
 #: Pairs that a task counts before it merges them, and distinct ones before it hands them on.
@@ -68,20 +67,14 @@ def byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(odd)}
 
 
-class Segment(NamedTuple):
-    """What one segment adds to its document: tokens, groups, the groups' text, and the id pairs of its links as 64-bit integers."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    pairs: bytes
-    alike: bool
+#: What one segment adds to its document: A tokens, B tokens, groups, the groups' text, the id pairs of its links as 64-bit
+#: integers, and whether both tokenizers give its bytes back.  Plain tuples: the collector leaves those alone.
+Segment = tuple[int, int, int, str, bytes, bool]
 
 
 def size_of(text: str, s: Segment) -> int:
     """Bytes that a remembered segment takes, roughly."""
-    return 350 + 2 * len(text) + len(s.groups) + len(s.pairs)
+    return 500 + 2 * len(text) + len(s[3]) + len(s[4])
 
 
 class Aligner:
@@ -120,7 +113,7 @@ class Aligner:
         known.update(zip(new, self.aligned(new), strict=True))
         out = [[known[p] for p in ps] for ps in pieces]
         for i, found in enumerate(out):
-            if not all([s.alike for s in found]):
+            if not all([s[5] for s in found]):
                 out[i] = []
         for p in wanted:
             if len(p) > CACHED_CHARS:
@@ -158,7 +151,7 @@ class Aligner:
         links = (8 * np.concatenate([[0], group_ends + 1])[stops]).tolist()
         data, out, from_group, from_link = pairs.astype("<i8").tobytes(), [], 0, 0
         for a, b, ok, stop, link in zip(a_ids, b_ids, alike, stops.tolist(), links, strict=True):
-            out.append(Segment(len(a), len(b), stop - from_group, ";".join(groups[from_group:stop]), data[from_link:link], ok))
+            out.append((len(a), len(b), stop - from_group, ";".join(groups[from_group:stop]), data[from_link:link], ok))
             from_group, from_link = stop, link
         return out
 
