@@ -202,10 +202,11 @@ def mix(sized: DataFrame, seed: int = SEED) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix with the columns of ``docs``: a row taken k times is there k times.
 
-    Each row is decided on its own, whatever its id: the seeded hash goes by the whole row.  Of equal rows, of which
-    it doesn't matter which, some may be taken once more than the others.
+    Each row is decided on its own, whatever its id: rows are told apart by the SHA-256 of all their columns.  Of equal
+    rows, of which it doesn't matter which, some may be taken once more than the others.  Null texts have no words, null
+    sources are a source; texts of any length are counted whole; an empty table gives no rows.
     """
-    rows = sizes(boxed(docs, "source", "text")).drop("text").withColumn("id", F.xxhash64("boxed_row"))
+    rows = sizes(boxed(docs, "source", "text")).drop("text").withColumn("id", F.unhex(F.sha2(F.to_json("boxed_row"), 256)))
     entries = shares(rows.select("id", "source", "size"))
     entries = cut(entries.select(F.col("id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "n", "passes", "more"))
     joined = rows.join(entries, (F.col("id") == F.col("m_id")) & same_source("source", "m_source") & (F.col("size") == F.col("m_size")))

@@ -274,13 +274,22 @@ def test_toxic_dictionaries_come_from_their_classes():
     prose = [" ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(80)) for _ in range(200)]
     foul = [" ".join(w if j % 20 else r.choice(["zorgblat", "fnordick", "wuggishly"]) for j, w in enumerate(t.split())) for t in prose[:100]]
     model = toxicity.train(prose[100:] + foul, [0] * 100 + [1] * 100)
-    assert all(w in model.dictionaries.toxic and w not in model.dictionaries.ordinary for w in (b"zorgblat", b"fnordick", b"wuggishly"))
+    assert all(w in d and w not in model.dictionaries.ordinary for w in (b"Zorgbl", b"Fnordi", b"Wuggis") for d in (model.dictionaries.toxic, model.dictionaries.strict))
     distance = toxicity.Distance(model.dictionaries)
-    assert distance.saved(b"bako zorgblat verpi len") > distance.saved(b"bako ristaver verpi len")
-    # what is measured is bytes, not listed words: the same number of foul words gives different features
-    assert distance.features("zorgblat bako tu len") != distance.features("wuggishly bako tu len")
-    # copies of a text add no contexts
-    assert toxicity.gram_contexts([b"abcdefgh"] * 5)[1].max() == 1
+    assert min(distance.saved(b"zorgblat")) >= toxicity.LEAST_SAVING and max(*distance.saved(b"ristaver"), *distance.saved(b"azorgblat")) < toxicity.LEAST_SAVING
+
+
+def test_stems_are_told_by_density():
+    """A stem that ordinary texts use seldom and toxic ones often marks those, though no word is theirs alone."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("ba ko ri tu len mo sta ver gol pi".split()) for _ in range(r.randint(2, 4)))
+    text = lambda share: " ".join(("xulph" if r.random() < share else "") + word() for _ in range(300))
+    rows = [(text(0.03), 1) for _ in range(80)] + [(text(0.002), 0) for _ in range(300)]
+    model = toxicity.train(*zip(*rows))
+    distance = toxicity.distance_of(model)
+    score = lambda share: float(np.dot(distance.features(text(share)), model.weights))
+    cut = np.log(toxicity.THRESHOLD / (1 - toxicity.THRESHOLD))
+    assert sum(score(0.03) >= cut for _ in range(40)) >= 37 and sum(score(0.002) < cut for _ in range(40)) >= 37
 
 
 # ---- quality rules
@@ -378,6 +387,19 @@ def test_ledger_is_kept_and_read(spark):
         assert clean == {1: "[assign]", 2: None, 3: "plain", 4: "[assign]", 5: "[access]"}
 
 
+def test_later_commits_scan_new_blobs_only(spark):
+    texts = ["token=abcdefabcdef12", "plain", None, "", "AKIA" + "Z" * 20, "token=abcdefabcdef12"]
+    docs = docs_of(spark, [(k, texts[k % 6], "en", "a", 0) for k in range(60)])
+    ledger = secrets.new_ledger(spark)
+    out = secrets.scan_commits([docs.filter("doc_id < 20"), docs.filter("doc_id between 20 and 39"), docs.filter("doc_id > 39")], ledger)
+    assert spark.read.parquet(ledger.path).count() == 4  # each blob was scanned once: a null text is an empty one
+    whole, _ = secrets.scan_versions(docs, secrets.new_ledger(spark))
+    assert sorted(map(str, out.collect())) == sorted(map(str, whole.select(*out.columns).collect()))
+    rows, found = secrets.with_blobs(docs), ledger.rows().filter("length(spans) > 0").select(F.col("blob").alias("f_blob"), "spans")
+    joined = [secrets.joined_by_blob(rows.select("doc_id", "blob"), found, most, hot) for most, hot in ((1 << 20, 5), (0, 15), (0, 1000), (0, 0))]
+    assert len({tuple(sorted(map(str, x.select("doc_id", "spans").collect()))) for x in joined}) == 1
+
+
 # ---- urls, byte pairs, near duplicates
 
 
