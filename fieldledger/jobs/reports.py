@@ -23,6 +23,8 @@ class Reports:
     sf_dir: str
 
     def __post_init__(self):
+        # Stored tables are bucketed by game: a join by game and something more needs no exchange by both.
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         self.corpus = stamp(self.spark, f"{self.sf_dir}/events.parquet")
 
     def once(self, name: str, make) -> DataFrame:
@@ -32,17 +34,32 @@ class Reports:
     def truth(self) -> DataFrame:
         return self.once("truth", lambda: bridge.truth(self.spark, self.sf_dir))
 
+    @property
+    def report(self) -> DataFrame:
+        """All lines of all pages of every report, rebuilt from its words: the other jobs start here."""
+
+        def make():
+            sides = bridge.teams(self.truth)
+            told = self.spark.sql(f"WITH truth AS (SELECT * FROM {{plays}}){STARTS.split('cursors AS')[0].rstrip().rstrip(',')}, {bridge.chart_sql()} SELECT * FROM chart", plays=self.truth)
+            printed = report_pages.scoring_lines(bridge.scoring(self.truth))
+            columns = ["game_id", "page", "item_idx", "text", "x", "y", "width"]
+            items = bridge.items(bridge.report_lines(self.truth).unionByName(bridge.miscellaneous_lines(sides))).select(columns)
+            items = items.unionByName(report_pages.page_items(self.spark, self.truth, printed).select(columns)).unionByName(bridge.chart_items(told, sides).select(columns))
+            return lines.with_marks(lines.rebuild_lines(items.repartition("game_id")), sections.MARKERS)
+
+        return self.once("report", make)
+
     @property
     def teams(self) -> DataFrame:
-        return bridge.teams(self.truth)
+        return self.sides.drop("visitor_name", "home_name")
 
     @property
-    def lines(self) -> DataFrame:
-        return self.once("lines", lambda: bridge.report_lines(self.truth))
+    def sides(self) -> DataFrame:
+        return sections.team_sides(self.team_rows)
 
     @property
     def classified(self) -> DataFrame:
-        return self.once("classified", lambda: plays.classify_lines(self.lines, self.teams))
+        return self.once("classified", lambda: plays.classify_lines(lines.play_pages(self.report.select("game_id", "page", "line_no", "text")), self.sides))
 
     @property
     def plays(self) -> DataFrame:
@@ -50,7 +67,12 @@ class Reports:
 
     @property
     def drives(self) -> tuple[DataFrame, DataFrame]:
-        return plays.attach_drives(plays.drive_starts(self.classified), self.plays)
+        attached = lambda k: plays.attach_drives(plays.drive_starts(self.classified), self.plays)[k]
+        return self.once("drive_rows", lambda: attached(0)), self.once("drive_plays", lambda: attached(1))
+
+    @property
+    def chart_drives(self) -> tuple[DataFrame, DataFrame]:
+        return plays.attach_chart(self.partial_chart, plays.drive_starts(self.classified), self.plays)
 
     @property
     def sequence(self) -> DataFrame:
@@ -63,11 +85,14 @@ class Reports:
 
     @property
     def chart(self) -> DataFrame:
-        def make():
-            told = self.spark.sql(f"WITH truth AS (SELECT * FROM {{plays}}){STARTS.split('cursors AS')[0].rstrip().rstrip(',')}, {bridge.chart_sql()} SELECT * FROM chart", plays=self.truth)
-            return views.drive_chart(lines.rebuild_lines(bridge.chart_items(told, self.teams)), self.teams)
+        return self.once("chart", lambda: views.drive_chart(sections.marked_pages(self.pages, "Ball Possession And Drive Chart"), self.teams))
 
-        return self.once("chart", make)
+    @property
+    def partial_chart(self) -> DataFrame:
+        """The chart as some reports have it: rows are missing, and one of each team has no start."""
+        last = self.chart.groupBy("game_id", "team_id").agg(F.max_by(F.struct(*[c for c in self.chart.columns if c not in ("game_id", "team_id", "drive_id")]), "team_drive_number").alias("d"))
+        more = last.select("game_id", "team_id", F.lit("").alias("drive_id"), "d.*").withColumn("team_drive_number", F.col("team_drive_number") + 1)
+        return self.chart.filter("team_drive_number % 7 <> 3").unionByName(more)
 
     @property
     def scoring(self) -> DataFrame:
@@ -75,11 +100,8 @@ class Reports:
 
     @property
     def pages(self) -> DataFrame:
-        def make():
-            printed = report_pages.scoring_lines(bridge.scoring(self.truth))
-            return lines.rebuild_lines(report_pages.page_items(self.spark, self.truth, printed))
-
-        return self.once("pages", make)
+        """The report's lines; the name says that its tables are looked for page by page."""
+        return self.report
 
     @property
     def team_rows(self) -> DataFrame:
@@ -125,9 +147,15 @@ def drive_table(r: Reports) -> DataFrame:
 
 
 def items_to_plays(r: Reports) -> DataFrame:
-    rebuilt = lines.rebuild_lines(bridge.items(r.lines)).select("game_id", "page", "line_no", "text")
-    out = plays.assemble_plays(plays.classify_lines(rebuilt, r.teams))
-    return out.select("game_id", "play_index", "quarter", "clock_sec", "down", "yard_line", "possession", "description")
+    """The whole chain: words, lines, pages in range, the report's own teams, plays."""
+    return plays.assemble_plays(r.classified).select("game_id", "play_index", "quarter", "clock_sec", "down", "yard_line", "possession", "description")
+
+
+def game_totals(r: Reports) -> DataFrame:
+    """Plays, drives and the longest drive of each game, from two bucketed tables without an exchange."""
+    of_plays = r.plays.groupBy("game_id").agg(F.count("*").alias("plays"), F.count_if(F.col("kind") == "touchdown").alias("touchdowns"))
+    of_drives = r.drives[0].groupBy("game_id").agg(F.count("*").alias("drives"), F.max("plays").alias("longest_drive"))
+    return of_plays.join(of_drives.hint("merge"), "game_id")
 
 
 def spots(r: Reports) -> DataFrame:
@@ -154,6 +182,9 @@ def game_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JOBS = {
     "drives": drive_table,
+    "game_totals": game_totals,
+    "chart_drives": lambda r: r.chart_drives[0].select("game_id", "drive_id", "team_id", "team_drive_number", "start_clock", "result", "quarter", "first_play_index", "last_play_index", "owned_plays"),
+    "play_chart_drive": lambda r: plays.with_drive_id(r.plays, r.chart_drives[1]).select("game_id", "play_index", "drive_id"),
     "plays_assembled": lambda r: plays.assemble_plays(r.classified).drop("raw_text"),
     "plays_from_items": items_to_plays,
     "play_kind_yards": lambda r: r.plays.select("game_id", "play_index", "kind", "yards", "no_play"),
@@ -216,7 +247,7 @@ JOBS = {
     "team_metrics": lambda r: quality.team_metrics(r.team_rows, r.linked[0], sections.team_stats(r.pages)),
     "issues": lambda r: r.issues,
     "section_flags": lambda r: lines.section_flags(lines.page_text(r.pages)),
-    "play_by_play_pages": lambda r: lines.pbp_range(lines.page_text(r.lines)).select("game_id", "first_page"),
+    "play_by_play_pages": lambda r: lines.pbp_range(lines.page_text(r.report)),
     "result_codes": lambda r: r.chart.select("game_id", "drive_id", result_code(F.col("result")).alias("code")),
     "source_vs_parsed": lambda r: explore.source_vs_parsed(r.plays, r.sequence),
 }
@@ -287,6 +318,9 @@ roles AS (SELECT game_id, play_index, c, possession, defence, unnest(CASE c
   ELSE [[passer, 'rusher', 'main', possession], [defender, 'tackler', 'parenthetical', defence], [second, 'tackler', 'parenthetical', defence]] END) AS p FROM cases),
 involved AS (SELECT DISTINCT game_id, play_index, p[1] AS name, p[2] AS role, p[3] AS source, p[4] AS team_id FROM roles)"""
 CHART = ", " + bridge.chart_sql()
+KEPT = """, kept AS (SELECT *, concat('drive-', team_id, '-', team_drive_number) AS drive_id FROM (
+  SELECT game_id, team_id, CAST(team_drive_number AS INTEGER) AS team_drive_number, start_clock, result FROM chart WHERE team_drive_number % 7 <> 3 UNION ALL
+  SELECT game_id, team_id, CAST(max(team_drive_number) + 1 AS INTEGER), arg_max(start_clock, team_drive_number), arg_max(result, team_drive_number) FROM chart GROUP BY game_id, team_id))"""
 CURRENT = ", current AS (SELECT c.game_id, c.cursor, arg_max(x.drive_id, x.start_no) AS drive_id FROM cursors c JOIN inside x ON x.game_id = c.game_id AND x.play_index = c.cursor GROUP BY ALL)"
 OFFICIAL_END = "CASE WHEN c IN ('int', 'punt', 'pen') THEN spot WHEN c IN ('sack', 'rush', 'fum', 'comp') THEN end_spot END"
 FINAL_YARD = "CASE WHEN c IN ('int', 'punt', 'pen') THEN abs_yard WHEN c IN ('sack', 'rush', 'fum', 'comp') THEN end_yard END"
@@ -362,8 +396,8 @@ SELECTS = {
         UNION ALL SELECT game_id, team_id, 'drives-team-missing', 'error' FROM figures f WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.game_id = f.game_id AND t.possession = f.team_id)
         UNION ALL SELECT v.game_id, CASE WHEN v.positioned * h.players < h.positioned * v.players THEN v.team_id ELSE h.team_id END, 'positions-one-sided', 'error' FROM figures v JOIN figures h ON v.game_id = h.game_id AND v.side = 0 AND h.side = 1
           WHERE greatest(v.positioned / v.players, h.positioned / h.players) > 0.6 AND least(v.positioned / v.players, h.positioned / h.players) < 0.25"""),
-    "section_flags": (PAGES, "SELECT game_id, TRUE AS scoring, TRUE AS team_stats, TRUE AS individual_stats, TRUE AS defensive_stats, FALSE AS drive_chart, TRUE AS playtime, FALSE AS play_by_play, TRUE AS roster FROM sides WHERE side = 0"),
-    "play_by_play_pages": ("", "SELECT game_id, CAST(1000 AS INTEGER) AS first_page FROM truth WHERE i = 0"),
+    "section_flags": (PAGES, "SELECT game_id, TRUE AS scoring, TRUE AS team_stats, TRUE AS individual_stats, TRUE AS defensive_stats, TRUE AS drive_chart, TRUE AS playtime, TRUE AS play_by_play, TRUE AS roster FROM sides WHERE side = 0"),
+    "play_by_play_pages": ("", "SELECT game_id, CAST(1000 AS INTEGER) AS first_page, CAST(8000 AS INTEGER) AS end_page FROM truth WHERE i = 0"),
     "result_codes": (STARTS + CHART, f"SELECT game_id, drive_id, CASE result {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in RESULT_CODES.items())} END AS code FROM chart"),
     "all_actions": (CASES, "SELECT * FROM first_actions UNION ALL SELECT * FROM returns"),
     "possession_changes": (CASES, "SELECT game_id, play_index, defence AS team_id, CASE c WHEN 'fum' THEN spot ELSE end_spot END AS location, CASE c WHEN 'fum' THEN 'recovery' WHEN 'int' THEN 'interception' ELSE c END AS result FROM cases WHERE c IN ('int', 'punt', 'fum')"),
@@ -400,6 +434,9 @@ SELECTS = {
     "drive_detail": (STARTS, "SELECT x.game_id, x.drive_id, CAST(row_number() OVER (PARTITION BY x.game_id, x.drive_id ORDER BY x.play_index) AS INTEGER) AS play_no, x.play_index, t.clock, t.spot AS yard_line, t.description FROM inside x JOIN truth t ON t.game_id = x.game_id AND t.i = x.play_index"),
     "participant_labels": (CASES, f"SELECT game_id, play_index, name, role, min(team_id) AS team_id, CASE role {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in views.ROLE_LABELS.items())} END AS label FROM involved GROUP BY ALL"),
     "drives": (STARTS, "SELECT * FROM drives"),
+    "game_totals": (STARTS, "SELECT game_id, plays, touchdowns, drives, longest_drive FROM (SELECT game_id, count(*) AS plays, count(*) FILTER (WHERE kind = 'touchdown') AS touchdowns FROM truth GROUP BY game_id) JOIN (SELECT game_id, count(*) AS drives, max(plays) AS longest_drive FROM drives GROUP BY game_id) USING (game_id)"),
+    "chart_drives": (STARTS + CHART + KEPT, "SELECT k.game_id, k.drive_id, k.team_id, k.team_drive_number, k.start_clock, k.result, coalesce(d.quarter, 0) AS quarter, coalesce(d.first_play_index, -1) AS first_play_index, coalesce(d.last_play_index, -1) AS last_play_index, coalesce(d.plays, 0) AS owned_plays FROM kept k LEFT JOIN drives d ON d.game_id = k.game_id AND d.drive_id = k.drive_id"),
+    "play_chart_drive": (STARTS + CHART + KEPT, "SELECT t.game_id, t.i AS play_index, arg_max(x.drive_id, x.start_no) AS drive_id FROM truth t LEFT JOIN (SELECT i.* FROM inside i JOIN kept k ON k.game_id = i.game_id AND k.drive_id = i.drive_id) x ON x.game_id = t.game_id AND x.play_index = t.i GROUP BY ALL"),
     "plays_assembled": ("", "SELECT game_id, i AS play_index, quarter, possession, clock, clock_sec, down, distance, is_goal, spot AS yard_line, description FROM truth"),
     "plays_from_items": ("", "SELECT game_id, i AS play_index, quarter, clock_sec, down, spot AS yard_line, possession, description FROM truth"),
     "play_kind_yards": ("", f"SELECT game_id, i AS play_index, kind, CAST(CASE WHEN {INCOMPLETE} THEN 0 WHEN {NO_GAIN_TEXT} THEN NULL ELSE yards END AS INTEGER) AS yards, contains(description, 'No Play') AS no_play FROM truth"),

@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def anchors_of(tolerance: float):
+    """A function from a page's y from the top down to each item's anchor: the line it stands in.
+
+    The fold carries one number, the current anchor, whatever the page's length.  Spark's own folds over arrays can
+    only give one value or copy what they have for each item, so this one step runs on Arrow batches.
+    """
+
+    def fold(ys) -> list[float]:
+        out, anchor = [], None
+        for y in ys.tolist():
+            if anchor is None or abs(anchor - y) > tolerance:
+                anchor = y
+            out.append(anchor)
+        return out
+
+    @F.pandas_udf("array<double>")
+    def anchors(ys: pd.Series) -> pd.Series:
+        return ys.map(fold)
+
+    return anchors
+
+
 def rebuild_lines(items: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """(game_id, page, item_idx, text, x, y, width) -> (game_id, page, line_no, y, text, items).
 
@@ -14,14 +37,9 @@ def rebuild_lines(items: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """
     item = F.struct((-F.col("y")).alias("down"), "item_idx", "x", "y", "width", "text")
     page = items.filter(F.trim("text") != "").groupBy("game_id", "page").agg(F.array_sort(F.collect_list(item)).alias("page_items"))
-    start = F.expr("cast(array() as array<struct<anchor: double, item: struct<down: double, item_idx: int, x: double, y: double, width: double, text: string>>>)")
-
-    def step(acc, x):
-        anchor = F.when((F.size(acc) > 0) & (F.abs(F.get(acc, F.size(acc) - 1)["anchor"] - x["y"]) <= tolerance), F.try_element_at(acc, F.lit(-1))["anchor"]).otherwise(x["y"])
-        return F.concat(acc, F.array(F.struct(anchor.alias("anchor"), x.cast("struct<down: double, item_idx: int, x: double, y: double, width: double, text: string>").alias("item"))))
-
-    anchored = page.select("game_id", "page", F.explode(F.aggregate("page_items", start, step)).alias("a"))
-    lines = anchored.groupBy("game_id", "page", F.col("a.anchor").alias("anchor")).agg(F.array_sort(F.collect_list(F.struct(F.col("a.item.x").alias("x"), F.col("a.item.item_idx").alias("item_idx"), F.col("a.item.text").alias("text"), F.col("a.item.width").alias("width")))).alias("sorted"))
+    anchors = anchors_of(tolerance)(F.transform("page_items", lambda s: s["y"]))
+    anchored = page.withColumn("anchors", anchors).select("game_id", "page", F.explode(F.arrays_zip("page_items", "anchors")).alias("a")).select("game_id", "page", F.col("a.anchors").alias("anchor"), F.col("a.page_items").alias("item"))
+    lines = anchored.groupBy("game_id", "page", "anchor").agg(F.array_sort(F.collect_list(F.struct(F.col("item.x").alias("x"), F.col("item.item_idx").alias("item_idx"), F.col("item.text").alias("text"), F.col("item.width").alias("width")))).alias("sorted"))
     text = F.trim(F.regexp_replace(F.array_join(F.transform("sorted", lambda s: s["text"]), " "), r"\s+", " "))
     order = F.row_number().over(Window.partitionBy("game_id", "page").orderBy(F.desc("anchor")))
     return lines.select("game_id", "page", order.alias("line_no"), (F.floor(F.col("anchor") * 2 + 0.5) / 2).alias("y"), text.alias("text"), F.transform("sorted", lambda s: F.struct(s["text"].alias("text"), s["x"].alias("x"), s["width"].alias("width"))).alias("items"))
@@ -34,7 +52,7 @@ def page_text(lines: DataFrame) -> DataFrame:
 
 
 def first_page_with(pages: DataFrame, marker: str) -> DataFrame:
-    """(game_id, page): the first page that holds the marker."""
+    """(game_id, page): the first page that holds the marker, of rows of pages or of lines."""
     return pages.filter(F.col("text").contains(marker)).groupBy("game_id").agg(F.min("page").alias("page"))
 
 
@@ -44,6 +62,12 @@ def pbp_range(pages: DataFrame) -> DataFrame:
     return pages.groupBy("game_id").agg(F.min(F.when(starts, F.col("page"))).alias("first_page"), F.min(F.when(ends, F.col("page"))).alias("end_page")).filter("first_page is not null")
 
 
+def play_pages(lines: DataFrame) -> DataFrame:
+    """The lines of the play-by-play pages: from the first one to the miscellaneous statistics; a report without them has none."""
+    pages = pbp_range(page_text(lines))
+    return lines.join(pages, "game_id").filter(F.col("page") >= F.col("first_page")).filter(F.col("end_page").isNull() | (F.col("page") < F.col("end_page"))).drop("first_page", "end_page")
+
+
 # What a section's pages hold.
 SECTIONS = {
     "scoring": "SCORING SUMMARY",
@@ -56,6 +80,18 @@ SECTIONS = {
 PLAY_BY_PLAY, ROSTER_MARKS, SUMMARY_MARK = r"First Quarter\s*\nPlay By Play", r"Substitutions|Lineups", "National Football League Game Summary"
 
 
+def with_marks(lines: DataFrame, markers: tuple[str, ...]) -> DataFrame:
+    """Adds page_marks, the markers that the line's page holds, and first_marks, those for which it is the game's first page.
+
+    A marker stands within one line, so no page's text has to be put together.
+    """
+    page, game = Window.partitionBy("game_id", "page"), Window.partitionBy("game_id")
+    held = F.array_compact(F.array(*[F.when(F.max(F.col("text").contains(m)).over(page), F.lit(m)) for m in markers]))
+    marked = lines.withColumn("page_marks", held)
+    first = [F.min(F.when(F.array_contains("page_marks", m), F.col("page"))).over(game) == F.col("page") for m in markers]
+    return marked.withColumn("first_marks", F.array_compact(F.array(*[F.when(on, F.lit(m)) for on, m in zip(first, markers)])))
+
+
 def section_flags(pages: DataFrame) -> DataFrame:
     """(game_id, eight flags): which sections a report has; the roster is looked for on the first summary page only."""
     flags = {k: F.col("text").contains(marker) for k, marker in SECTIONS.items()} | {"play_by_play": F.col("text").rlike(PLAY_BY_PLAY)}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldledger.functions.spots import POSITION_GROUPS, TEAMS, lookup
-from fieldledger.operators.lines import page_text
+from fieldledger.operators.lines import first_page_with, page_text, with_marks
 
 PAGE_WIDTH = 612.0
 LABEL_TOLERANCE = 1.25
@@ -25,6 +25,7 @@ RUSHING = ("attempts", "yards", "average", "long", "touchdowns")
 RECEIVING = ("targets", "receptions", "yards", "average", "long", "touchdowns")
 DEFENCE = ("tackles", "assists", "combined", "sacks", "sack_yards", "tackles_for_loss", "quarterback_hits", "interceptions", "passes_defended", "forced_fumbles", "fumble_recoveries")
 UNITS = ("Offense", "Defense", "Special Teams")
+MARKERS = (SUMMARY, "Final Team Statistics", "Final Individual Statistics", "Final Defensive Statistics", "Playtime Percentage", "Ball Possession And Drive Chart", "Miscellaneous Statistics Report")
 
 
 # ---- bands of a page
@@ -54,10 +55,12 @@ def between_headers(lines: DataFrame, top: Column, bottom: Column, top_default:
 
 
 def marked_pages(lines: DataFrame, marker: str, first: bool = True) -> DataFrame:
-    """The lines of the pages whose text holds the marker: the game's first such page, or all of them."""
-    pages = page_text(lines).filter(F.col("text").contains(marker))
-    keys = pages.groupBy("game_id").agg(F.min("page").alias("page")) if first else pages.select("game_id", "page")
-    return lines.join(keys, ["game_id", "page"], "left_semi")
+    """The lines of the pages that hold the marker: the game's first such page, or all of them.
+
+    Lines that know their pages' marks (``with_marks``) are only filtered.
+    """
+    known = lines if "page_marks" in lines.columns else with_marks(lines, (marker,))
+    return known.filter(F.array_contains("first_marks" if first else "page_marks", marker)).select(*[c for c in lines.columns])
 
 
 # ---- teams and the game
@@ -98,6 +101,12 @@ def teams(lines: DataFrame, width: float = PAGE_WIDTH) -> DataFrame:
     return out.select("game_id", "l.side", "l.home_away", F.coalesce(F.nullif(F.col("name"), F.lit("")), default).alias("name"), F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("digit_items", F.lit(0)).alias("digit_items"))
 
 
+def team_sides(team_rows: DataFrame) -> DataFrame:
+    """(game_id, visitor_id, visitor_name, home_id, home_name): the two teams of a report in one row."""
+    of = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c)))
+    return team_rows.groupBy("game_id").agg(of(0, "team_id").alias("visitor_id"), of(0, "name").alias("visitor_name"), of(1, "team_id").alias("home_id"), of(1, "name").alias("home_name"))
+
+
 def part(text: Column, pattern: str) -> Column:
     return F.regexp_extract(text, pattern, 1)
 
@@ -211,7 +220,7 @@ def snap_counts(lines: DataFrame, team_rows: DataFrame, width: float = PAGE_WIDT
 
     The header's words are the left edges of the units, on this page and those after it.
     """
-    starts = page_text(lines).filter(F.col("text").contains("Playtime Percentage")).groupBy("game_id").agg(F.min("page").alias("start"))
+    starts = first_page_with(lines, "Playtime Percentage").withColumnRenamed("page", "start")
     d = split_sides(lines.join(starts, "game_id").filter("page >= start"), width)
     at = lambda word: F.get(F.filter("side_items", lambda s: F.trim(s["text"]) == word), 0)["x"]
     n = lambda word: F.size(F.filter("items", lambda s: F.trim(s["text"]) == word))

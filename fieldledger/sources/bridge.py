@@ -142,6 +142,16 @@ def items(lines: DataFrame) -> DataFrame:
     )
 
 
+#: After the play pages: what must not be read as plays.
+MISCELLANEOUS_PAGE = 8000
+MISCELLANEOUS = ("Miscellaneous Statistics Report", "Ten longest plays", "1-10-50 (3:00) N.Nobody left end for 50 yards.", "Second Quarter")
+
+
+def miscellaneous_lines(games: DataFrame) -> DataFrame:
+    """The lines of the page after the plays of each game (game_id)."""
+    return games.select("game_id", F.lit(MISCELLANEOUS_PAGE).alias("page"), F.posexplode(F.array(*[F.lit(t) for t in MISCELLANEOUS])).alias("line_no", "text"))
+
+
 def scoring(plays: DataFrame) -> DataFrame:
     """Scoring rows with running totals; every row is printed twice; clocks of some are 3 seconds off."""
     points = F.when(F.col("kind") == "touchdown", 7).otherwise(3)
@@ -182,5 +192,6 @@ def chart_items(chart: DataFrame, sides: DataFrame) -> DataFrame:
     rows = chart.join(sides, "game_id").select("game_id", row_y.alias("y"), F.explode(F.filter(F.array(*[F.struct(x.alias("x"), t.alias("text")) for x, t in words]), lambda w: w["text"].isNotNull())).alias("w"))
     full = F.element_at(F.create_map(*[F.lit(x) for p in TEAMS.items() for x in p]), F.col("home_id"))
     names = sides.select("game_id", F.lit(440.0).alias("y"), F.posexplode(F.split(full, " ")).alias("k", "text")).select("game_id", "y", F.struct((20.0 + 30 * F.col("k")).alias("x"), "text").alias("w"))
-    every = rows.unionByName(names)
+    title = sides.select("game_id", F.lit(940.0).alias("y"), F.posexplode(F.split(F.lit("Ball Possession And Drive Chart"), " ")).alias("k", "text")).select("game_id", "y", F.struct((100.0 + 60 * F.col("k")).alias("x"), "text").alias("w"))
+    every = rows.unionByName(names).unionByName(title)
     return every.select("game_id", F.lit(CHART_PAGE).alias("page"), (F.col("y") * 1000 + F.col("w.x")).cast("int").alias("item_idx"), "w.text", "w.x", "y", (4.0 * F.length("w.text")).alias("width"))

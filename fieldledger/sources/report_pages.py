@@ -16,6 +16,7 @@ from fieldledger.sources.bridge import SURNAMES, pick
 POSITIONS = ("QB", "RB", "WR", "TE", "C", "G", "T", "LB", "CB", "DE", "S", "K")
 LABELS = ("TOTAL FIRST DOWNS", "THIRD DOWN EFFICIENCY", "TOTAL NET YARDS", "Net Punting Average", "PENALTIES Number and Yards", "TIME OF POSSESSION", "Turnovers")
 HALF = PAGE_WIDTH / 2
+PLAYTIME_PAGE = 9500
 
 
 def pages_sql(each: str) -> str:
@@ -57,7 +58,7 @@ def words(rows: DataFrame, page: Column | int, y: Column | float, *placed: tuple
 
 
 def page_items(spark: SparkSession, plays: DataFrame, scoring: DataFrame) -> DataFrame:
-    """(game_id, page, item_idx, text, x, y, width) of pages 1 to 7.
+    """(game_id, page, item_idx, text, x, y, width) of pages 1 to 6, before the plays, and of PLAYTIME_PAGE, the last.
 
     So that checks have something to find: every fifth game's score rows lack numbers, every sixth has no home snaps, every
     seventh no home statistics.
@@ -108,9 +109,9 @@ def page_items(spark: SparkSession, plays: DataFrame, scoring: DataFrame) -> Dat
         words(sides, c("side") + 5, 770.0, (20.0, full)),
         words(sides, c("side") + 5, 760.0, (20.0, "Regular Defensive Plays")),
         words(squad.filter("k between 7 and 9"), c("side") + 5, F.lit(750.0) - 10 * c("k"), (20.0, c("name")), *[(120.0 + 30 * i, (c("a") + i * c("b")) % 12) for i in range(11)]),
-        words(games, 7, 780.0, (150.0, "Playtime Percentage")),
-        words(sides, 7, 760.0, (left + 120, "Offense"), (left + 180, "Defense"), (left + 240, "Special Teams")),
-        words(squad.filter(seen), 7, F.lit(750.0) - 10 * c("k"), (left + 20, c("name")), (left + 85, c("position")), *unit(122, c("k") <= 6, c("a") + 1, c("b") + 1), *unit(182, c("k").between(7, 9), c("a") + 2, c("c") + 1), *unit(242, (c("k") % 2 == 0) | (c("k") == 11), c("c") + 3, c("b") + 2)),
+        words(games, PLAYTIME_PAGE, 780.0, (150.0, "Playtime Percentage")),
+        words(sides, PLAYTIME_PAGE, 760.0, (left + 120, "Offense"), (left + 180, "Defense"), (left + 240, "Special Teams")),
+        words(squad.filter(seen), PLAYTIME_PAGE, F.lit(750.0) - 10 * c("k"), (left + 20, c("name")), (left + 85, c("position")), *unit(122, c("k") <= 6, c("a") + 1, c("b") + 1), *unit(182, c("k").between(7, 9), c("a") + 2, c("c") + 1), *unit(242, (c("k") % 2 == 0) | (c("k") == 11), c("c") + 3, c("b") + 2)),
     ]
     every = rows[0]
     for more in rows[1:]:
