@@ -129,12 +129,27 @@ class Reports:
         return sections.link_players(self.players, self.mentions)
 
     @property
-    def issues(self) -> DataFrame:
+    def names(self) -> DataFrame:
+        return self.once("names", lambda: sections.linked_names(self.players, self.mentions))
+
+    @property
+    def text_counts(self) -> DataFrame:
         text = self.plays.groupBy("game_id").agg(F.sum(F.regexp_count("description", F.lit(r"(?i)\bPENALTY on\b"))).alias("penalties_named"), F.sum(F.regexp_count("description", F.lit(r"\[[^\]]+\]"))).alias("brackets_named"))
         read = self.sequence.groupBy("game_id").agg(F.count_if(F.col("type") == "penalty").alias("penalties_read"), F.count_if((F.col("type") == "defense") & F.col("text").startswith("[")).alias("brackets_read"))
         status = self.summary.groupBy("game_id").agg(F.count("*").alias("plays"), F.count_if(F.col("parse_status") == "raw").alias("raw"))
-        metrics = quality.team_metrics(self.team_rows, self.linked[0], sections.team_stats(self.pages))
-        return quality.issues(self.team_rows, metrics, self.drives[0], self.plays, lines.section_flags(lines.page_text(self.pages)), text.join(read, "game_id", "left").join(status, "game_id"))
+        return text.join(read, "game_id", "left").join(status, "game_id")
+
+    @property
+    def issues(self) -> DataFrame:
+        def make():
+            metrics = quality.team_metrics(self.team_rows, self.linked[0], sections.team_stats(self.pages))
+            return quality.issues(self.team_rows, metrics, self.drives[0], self.plays, lines.section_flags(lines.page_text(self.pages)), self.text_counts)
+
+        return self.once("issues", make)
+
+    @property
+    def messages(self) -> DataFrame:
+        return quality.with_messages(self.issues, self.team_rows, self.text_counts)
 
     @property
     def cursors(self) -> DataFrame:
@@ -216,14 +231,14 @@ JOBS = {
     "play_summary": lambda r: r.summary.drop("official_yards"),
     "field_view": lambda r: explore.field_view(r.summary, r.plays, r.teams),
     "parse_outcome": lambda r: explore.parse_outcome(r.summary, r.scoring),
-    "period_summary": lambda r: explore.period_summary(scoring.score_by_period(r.scoring, r.plays.groupBy("game_id").agg(F.max("quarter").alias("last_quarter")))),
+    "period_summary": lambda r: explore.period_summary(scoring.score_by_period(r.scoring, r.plays.groupBy("game_id").agg(F.max("quarter").alias("last_quarter"))), r.team_rows),
     "drive_so_far": lambda r: explore.drive_so_far(*r.drives, current_drives(r)),
     "drive_participants": lambda r: explore.drive_participants(semantics.participants(r.sequence), *r.drives, current_drives(r)),
     "drive_chart": lambda r: r.chart.drop("possession_time", "obtained", "penalty_yards", "first_downs"),
     "flow_results": lambda r: views.flow_results(r.chart, r.drives[0]),
     "drive_results": lambda r: views.drive_results(r.chart, r.drives[0], r.plays, r.summary),
     "drive_detail": lambda r: views.drive_detail(r.drives[1], r.plays).select("game_id", "drive_id", "play_no", "play_index", "clock", "yard_line", "description"),
-    "participant_labels": lambda r: views.participant_labels(semantics.participants(r.sequence)),
+    "participant_labels": lambda r: views.participant_labels(semantics.participants(r.sequence), r.names, r.linked[0]),
     "replay_view": lambda r: replay.replay_view(r.sequence, semantics.merged_penalties(r.sequence), r.summary, plays.with_state_after(r.plays), r.teams),
     "scoring_phases": lambda r: replay.scoring_phases(r.sequence, semantics.merged_penalties(r.sequence)),
     "play_spots": lambda r: semantics.spots(r.sequence, semantics.merged_penalties(r.sequence), r.plays, r.summary).drop("place"),
@@ -245,7 +260,10 @@ JOBS = {
     "play_players": lambda r: r.linked[1],
     "players_in_plays": lambda r: r.linked[1].groupBy("game_id", "team_id", "name").agg(F.count("*").alias("plays")),
     "team_metrics": lambda r: quality.team_metrics(r.team_rows, r.linked[0], sections.team_stats(r.pages)),
-    "issues": lambda r: r.issues,
+    "issues": lambda r: r.messages,
+    "game_outcome": lambda r: quality.game_outcome(r.team_rows.select("game_id").distinct(), r.messages, r.plays, r.drives[0], r.scoring),
+    "drive_scores": lambda r: scoring.drive_scores(r.drives[0], scoring.score_at(r.plays, r.scoring)),
+    "visible_chart": lambda r: explore.visible_chart(*r.chart_drives, r.plays, r.cursors).drop("possession_time", "penalty_yards", "first_downs"),
     "section_flags": lambda r: lines.section_flags(lines.page_text(r.pages)),
     "play_by_play_pages": lambda r: lines.pbp_range(lines.page_text(r.report)),
     "result_codes": lambda r: r.chart.select("game_id", "drive_id", result_code(F.col("result")).alias("code")),
@@ -319,8 +337,8 @@ roles AS (SELECT game_id, play_index, c, possession, defence, unnest(CASE c
 involved AS (SELECT DISTINCT game_id, play_index, p[1] AS name, p[2] AS role, p[3] AS source, p[4] AS team_id FROM roles)"""
 CHART = ", " + bridge.chart_sql()
 KEPT = """, kept AS (SELECT *, concat('drive-', team_id, '-', team_drive_number) AS drive_id FROM (
-  SELECT game_id, team_id, CAST(team_drive_number AS INTEGER) AS team_drive_number, start_clock, result FROM chart WHERE team_drive_number % 7 <> 3 UNION ALL
-  SELECT game_id, team_id, CAST(max(team_drive_number) + 1 AS INTEGER), arg_max(start_clock, team_drive_number), arg_max(result, team_drive_number) FROM chart GROUP BY game_id, team_id))"""
+  SELECT game_id, team_id, CAST(team_drive_number AS INTEGER) AS team_drive_number, start_clock, end_clock, end_position, plays, net_yards, result FROM chart WHERE team_drive_number % 7 <> 3 UNION ALL
+  SELECT game_id, team_id, CAST(max(team_drive_number) + 1 AS INTEGER), arg_max(start_clock, team_drive_number), arg_max(end_clock, team_drive_number), arg_max(end_position, team_drive_number), arg_max(plays, team_drive_number), arg_max(net_yards, team_drive_number), arg_max(result, team_drive_number) FROM chart GROUP BY game_id, team_id))"""
 CURRENT = ", current AS (SELECT c.game_id, c.cursor, arg_max(x.drive_id, x.start_no) AS drive_id FROM cursors c JOIN inside x ON x.game_id = c.game_id AND x.play_index = c.cursor GROUP BY ALL)"
 OFFICIAL_END = "CASE WHEN c IN ('int', 'punt', 'pen') THEN spot WHEN c IN ('sack', 'rush', 'fum', 'comp') THEN end_spot END"
 FINAL_YARD = "CASE WHEN c IN ('int', 'punt', 'pen') THEN abs_yard WHEN c IN ('sack', 'rush', 'fum', 'comp') THEN end_yard END"
@@ -350,6 +368,19 @@ everyone AS (SELECT game_id, team_id, name, position, snap_percent FROM listed U
 figures AS (SELECT t.game_id, t.user_id, t.side, t.team_id, count(e.name) AS players, count(e.position) AS positioned, count(e.snap_percent) AS snapped, CAST(7 AS BIGINT) AS stat_values
   FROM sides t LEFT JOIN everyone e ON e.game_id = t.game_id AND e.team_id = t.team_id GROUP BY ALL)"""
 
+def lookup_sql(k: int) -> str:
+    return "CASE code " + " ".join(f"WHEN '{code}' THEN '{row[k]}'" for code, row in quality.CHECKS.items()) + " END"
+
+
+RAISED = f""", found AS (SELECT game_id, team_id, 'score-row-incomplete' AS code, 'error' AS severity FROM figures WHERE user_id % 5 = 0
+        UNION ALL SELECT game_id, team_id, 'positions-low', 'warning' FROM figures WHERE players >= 10 AND positioned < 0.25 * players
+        UNION ALL SELECT game_id, team_id, 'snaps-one-sided', 'error' FROM figures WHERE side = 1 AND user_id % 6 = 0
+        UNION ALL SELECT game_id, team_id, 'pbp-team-missing', 'error' FROM figures f WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.game_id = f.game_id AND t.possession = f.team_id)
+        UNION ALL SELECT game_id, team_id, 'drives-team-missing', 'error' FROM figures f WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.game_id = f.game_id AND t.possession = f.team_id)
+        UNION ALL SELECT v.game_id, CASE WHEN v.positioned * h.players < h.positioned * v.players THEN v.team_id ELSE h.team_id END, 'positions-one-sided', 'error' FROM figures v JOIN figures h ON v.game_id = h.game_id AND v.side = 0 AND h.side = 1
+          WHERE greatest(v.positioned / v.players, h.positioned / h.players) > 0.6 AND least(v.positioned / v.players, h.positioned / h.players) < 0.25),
+raised AS (SELECT f.game_id, f.team_id, f.code, f.severity, {lookup_sql(0)} AS section, replace({lookup_sql(2)}, '{{team}}', coalesce({NICKNAME}, '')) AS message FROM found f)"""
+
 SELECTS = {
     "replay_view": (CASES, """, after AS (SELECT *, CASE WHEN possession = visitor THEN 1 ELSE -1 END AS sign, coalesce(c IN ('rush', 'comp', 'sack', 'inc') AND (c = 'inc' OR yards = 0) AND lead(possession) OVER w = possession AND lead(spot) OVER w = spot, FALSE) AS stays
           FROM cases WINDOW w AS (PARTITION BY game_id ORDER BY i)),
@@ -389,13 +420,18 @@ SELECTS = {
     "play_players": (PAGES + CASES + LISTED + MENTIONS, "SELECT game_id, play_index, team_id, name FROM who"),
     "players_in_plays": (PAGES + CASES + LISTED + MENTIONS, "SELECT game_id, team_id, name, count(*) AS plays FROM who GROUP BY ALL"),
     "team_metrics": (PAGES + CASES + LISTED + MENTIONS, "SELECT game_id, CAST(side AS INTEGER) AS side, team_id, players, positioned, snapped, stat_values FROM figures"),
-    "issues": (PAGES + CASES + LISTED + MENTIONS, """SELECT game_id, team_id, 'score-row-incomplete' AS code, 'error' AS severity FROM figures WHERE user_id % 5 = 0
-        UNION ALL SELECT game_id, team_id, 'positions-low', 'warning' FROM figures WHERE players >= 10 AND positioned < 0.25 * players
-        UNION ALL SELECT game_id, team_id, 'snaps-one-sided', 'error' FROM figures WHERE side = 1 AND user_id % 6 = 0
-        UNION ALL SELECT game_id, team_id, 'pbp-team-missing', 'error' FROM figures f WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.game_id = f.game_id AND t.possession = f.team_id)
-        UNION ALL SELECT game_id, team_id, 'drives-team-missing', 'error' FROM figures f WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.game_id = f.game_id AND t.possession = f.team_id)
-        UNION ALL SELECT v.game_id, CASE WHEN v.positioned * h.players < h.positioned * v.players THEN v.team_id ELSE h.team_id END, 'positions-one-sided', 'error' FROM figures v JOIN figures h ON v.game_id = h.game_id AND v.side = 0 AND h.side = 1
-          WHERE greatest(v.positioned / v.players, h.positioned / h.players) > 0.6 AND least(v.positioned / v.players, h.positioned / h.players) < 0.25"""),
+    "issues": (PAGES + CASES + LISTED + MENTIONS + RAISED, "SELECT * FROM raised"),
+    "game_outcome": (PAGES + CASES + LISTED + MENTIONS + RAISED + SCORES, f"""SELECT s.game_id, CASE WHEN count(r.code) > 0 THEN 'partial' ELSE 'complete' END AS outcome, count(r.code) AS issues, count(*) FILTER (r.severity = 'error') AS errors,
+        concat_ws(chr(10), CASE WHEN any_value(u.unlinked) > 0 THEN concat(any_value(u.unlinked), ' scoring plays could not be linked to Play-by-Play.') END, nullif(coalesce(string_agg(r.message, chr(10) ORDER BY list_position({list(quality.CHECKS)}, r.code), coalesce(r.team_id, '')), ''), '')) AS warnings
+        FROM sides s LEFT JOIN raised r ON r.game_id = s.game_id LEFT JOIN (SELECT game_id, count(*) FILTER (play_index < 0) AS unlinked FROM linked GROUP BY 1) u ON u.game_id = s.game_id WHERE s.side = 0 GROUP BY s.game_id"""),
+    "drive_scores": (STARTS + SCORES, """SELECT d.game_id, d.drive_id, coalesce(b.visitor_score, 0) AS visitor_before, coalesce(b.home_score, 0) AS home_before, coalesce(a.visitor_score, 0) AS visitor_after, coalesce(a.home_score, 0) AS home_after,
+        (coalesce(b.visitor_score, 0), coalesce(b.home_score, 0)) <> (coalesce(a.visitor_score, 0), coalesce(a.home_score, 0)) AS changed
+        FROM drives d LEFT JOIN at_play b ON b.game_id = d.game_id AND b.play_index = d.first_play_index - 1 LEFT JOIN at_play a ON a.game_id = d.game_id AND a.play_index = d.last_play_index"""),
+    "visible_chart": (STARTS + CHART + KEPT, f"""SELECT game_id, drive_id, team_id, finished, CAST(CASE WHEN finished THEN plays ELSE seen_plays END AS INTEGER) AS plays, CAST(CASE WHEN finished THEN net_yards ELSE seen_yards END AS INTEGER) AS gross_yards,
+        CAST(CASE WHEN finished THEN net_yards ELSE seen_yards END AS INTEGER) AS net_yards, CASE WHEN finished THEN end_clock ELSE '{explore.DASH}' END AS end_clock, CASE WHEN finished THEN end_position ELSE '{explore.DASH}' END AS end_position, CASE WHEN finished THEN result ELSE '{explore.IN_PROGRESS}' END AS result
+        FROM (SELECT k.game_id, k.drive_id, k.team_id, coalesce(d.last_play_index, -1) <= c.cursor AS finished, k.plays, k.net_yards, k.end_clock, k.end_position, k.result,
+          (SELECT count(*) FROM inside x WHERE x.game_id = k.game_id AND x.drive_id = k.drive_id AND x.play_index <= c.cursor) AS seen_plays, (SELECT coalesce(sum(gain), 0) FROM inside x WHERE x.game_id = k.game_id AND x.drive_id = k.drive_id AND x.play_index <= c.cursor) AS seen_yards
+          FROM kept k JOIN cursors c ON c.game_id = k.game_id LEFT JOIN drives d ON d.game_id = k.game_id AND d.drive_id = k.drive_id WHERE coalesce(d.first_play_index, -1) <= c.cursor)"""),
     "section_flags": (PAGES, "SELECT game_id, TRUE AS scoring, TRUE AS team_stats, TRUE AS individual_stats, TRUE AS defensive_stats, TRUE AS drive_chart, TRUE AS playtime, TRUE AS play_by_play, TRUE AS roster FROM sides WHERE side = 0"),
     "play_by_play_pages": ("", "SELECT game_id, CAST(1000 AS INTEGER) AS first_page, CAST(8000 AS INTEGER) AS end_page FROM truth WHERE i = 0"),
     "result_codes": (STARTS + CHART, f"SELECT game_id, drive_id, CASE result {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in RESULT_CODES.items())} END AS code FROM chart"),
@@ -414,9 +450,9 @@ SELECTS = {
     "parse_outcome": (CASES + SCORES, """SELECT g.*, coalesce(u.unlinked, 0) AS unlinked, FALSE AS coverage_low, CASE WHEN coalesce(u.unlinked, 0) > 0 THEN 'partial' ELSE 'complete' END AS outcome
         FROM (SELECT game_id, count(*) AS plays, count(*) FILTER (c NOT IN ('punt', 'flat')) AS structured, count(*) FILTER (c IN ('punt', 'flat')) AS partial, CAST(0 AS BIGINT) AS raw FROM cases GROUP BY 1) g
         LEFT JOIN (SELECT game_id, count(*) FILTER (play_index < 0) AS unlinked FROM linked GROUP BY 1) u USING (game_id)"""),
-    "period_summary": (SCORES + BY_PERIOD, """SELECT game_id, CASE WHEN title = 'FINAL' AND visitor_score = home_score THEN 'FINAL - TIE' ELSE title END AS title, visitor_score, home_score FROM (
-        SELECT game_id, t.title, CAST(max(CASE WHEN quarter <= t.q THEN v ELSE 0 END) AS BIGINT) AS visitor_score, CAST(max(CASE WHEN quarter <= t.q THEN h ELSE 0 END) AS BIGINT) AS home_score
-        FROM upto, (VALUES ('HALFTIME', 2), ('END OF REGULATION', 4), ('FINAL', 99)) t(title, q) GROUP BY ALL)"""),
+    "period_summary": (PAGES + SCORES + BY_PERIOD, """SELECT game_id, CASE WHEN title = 'FINAL' AND visitor_score = home_score THEN 'FINAL - TIE' ELSE title END AS title, visitor_score, home_score FROM (
+        SELECT u.game_id, t.title, CAST(CASE t.title WHEN 'FINAL' THEN any_value(a.score) ELSE max(CASE WHEN quarter <= t.q THEN v ELSE 0 END) END AS BIGINT) AS visitor_score, CAST(CASE t.title WHEN 'FINAL' THEN any_value(b.score) ELSE max(CASE WHEN quarter <= t.q THEN h ELSE 0 END) END AS BIGINT) AS home_score
+        FROM upto u JOIN sides a ON a.game_id = u.game_id AND a.side = 0 JOIN sides b ON b.game_id = u.game_id AND b.side = 1, (VALUES ('HALFTIME', 2), ('END OF REGULATION', 4), ('FINAL', 99)) t(title, q) GROUP BY u.game_id, t.title, t.q)"""),
     "drive_so_far": (STARTS + CURRENT, "SELECT u.game_id, u.drive_id, d.team_id, count(*) AS plays_so_far, CASE WHEN d.last_play_index <= u.cursor THEN d.net_yards END AS net_yards FROM current u JOIN drives d USING (game_id, drive_id) JOIN inside x ON x.game_id = u.game_id AND x.drive_id = u.drive_id AND x.play_index <= u.cursor GROUP BY u.game_id, u.drive_id, d.team_id, d.last_play_index, u.cursor, d.net_yards"),
     "drive_participants": (STARTS + CURRENT + CASES, f"""SELECT game_id, CAST(rank AS INTEGER) AS rank, name, role FROM (SELECT game_id, name, role, row_number() OVER (PARTITION BY game_id ORDER BY min(v.play_index), list_position({list(explore.OFFENSIVE_ROLES)}, role), name) AS rank
         FROM involved v JOIN current u USING (game_id) JOIN drives d ON d.game_id = u.game_id AND d.drive_id = u.drive_id JOIN inside x ON x.game_id = u.game_id AND x.drive_id = u.drive_id AND x.play_index = v.play_index AND x.play_index <= u.cursor
@@ -432,7 +468,7 @@ SELECTS = {
           lead(concat(down, CASE down WHEN 1 THEN 'ST' WHEN 2 THEN 'ND' WHEN 3 THEN 'RD' ELSE 'TH' END, ' & ', CASE WHEN is_goal THEN 'Goal' ELSE CAST(distance AS VARCHAR) END)) OVER w AS next_down
           FROM cases WINDOW w AS (PARTITION BY game_id ORDER BY i)) USING (game_id, last_index)"""),
     "drive_detail": (STARTS, "SELECT x.game_id, x.drive_id, CAST(row_number() OVER (PARTITION BY x.game_id, x.drive_id ORDER BY x.play_index) AS INTEGER) AS play_no, x.play_index, t.clock, t.spot AS yard_line, t.description FROM inside x JOIN truth t ON t.game_id = x.game_id AND t.i = x.play_index"),
-    "participant_labels": (CASES, f"SELECT game_id, play_index, name, role, min(team_id) AS team_id, CASE role {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in views.ROLE_LABELS.items())} END AS label FROM involved GROUP BY ALL"),
+    "participant_labels": (PAGES + CASES + LISTED + MENTIONS, f"SELECT i.*, w.team_id AS player_team, w.name AS player, e.position FROM (SELECT game_id, play_index, name, role, min(team_id) AS team_id, CASE role {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in views.ROLE_LABELS.items())} END AS label FROM involved GROUP BY ALL) i LEFT JOIN who w ON w.game_id = i.game_id AND w.play_index = i.play_index AND w.name = i.name LEFT JOIN everyone e ON e.game_id = w.game_id AND e.team_id = w.team_id AND e.name = w.name"),
     "drives": (STARTS, "SELECT * FROM drives"),
     "game_totals": (STARTS, "SELECT game_id, plays, touchdowns, drives, longest_drive FROM (SELECT game_id, count(*) AS plays, count(*) FILTER (WHERE kind = 'touchdown') AS touchdowns FROM truth GROUP BY game_id) JOIN (SELECT game_id, count(*) AS drives, max(plays) AS longest_drive FROM drives GROUP BY game_id) USING (game_id)"),
     "chart_drives": (STARTS + CHART + KEPT, "SELECT k.game_id, k.drive_id, k.team_id, k.team_drive_number, k.start_clock, k.result, coalesce(d.quarter, 0) AS quarter, coalesce(d.first_play_index, -1) AS first_play_index, coalesce(d.last_play_index, -1) AS last_play_index, coalesce(d.plays, 0) AS owned_plays FROM kept k LEFT JOIN drives d ON d.game_id = k.game_id AND d.drive_id = k.drive_id"),

@@ -22,6 +22,22 @@ def visible_drives(drives: DataFrame, drive_plays: DataFrame, plays: DataFrame,
     return begun.select("game_id", "drive_id", "team_id", done.alias("finished"), F.when(done, F.col("plays")).otherwise(F.col("seen_plays")).alias("plays"), F.when(done, F.col("net_yards")).otherwise(F.col("seen_yards")).alias("net_yards"))
 
 
+IN_PROGRESS, DASH = "In Progress", "—"
+
+
+def visible_chart(chart_drives: DataFrame, drive_plays: DataFrame, plays: DataFrame, cursors: DataFrame) -> DataFrame:
+    """Charted drives begun by the cursor, as the chart has them once they have ended.
+
+    An open one counts what is visible, has no penalty yards and first downs yet, and dashes for its end.
+    """
+    seen = visible_plays(plays.select("game_id", "play_index", "yards"), cursors)
+    counted = seen.join(drive_plays.select("game_id", "drive_id", "play_index"), ["game_id", "play_index"]).groupBy("game_id", "drive_id").agg(F.count("*").alias("seen_plays"), F.sum(F.coalesce("yards", F.lit(0))).cast("int").alias("seen_yards"))
+    begun = chart_drives.join(cursors, "game_id").filter(F.col("first_play_index") <= F.col("cursor")).join(counted, ["game_id", "drive_id"], "left")
+    done = F.col("last_play_index") <= F.col("cursor")
+    live = {"plays": F.coalesce("seen_plays", F.lit(0)).cast("int"), "gross_yards": F.coalesce("seen_yards", F.lit(0)), "net_yards": F.coalesce("seen_yards", F.lit(0)), "penalty_yards": F.lit(0), "first_downs": F.lit(0), "end_clock": F.lit(DASH), "possession_time": F.lit(DASH), "end_position": F.lit(DASH), "result": F.lit(IN_PROGRESS)}
+    return begun.select("game_id", "drive_id", "team_id", done.alias("finished"), *[F.when(done, F.col(c)).otherwise(v).alias(c) for c, v in live.items()])
+
+
 def recent_plays(plays: DataFrame, cursors: DataFrame, n: int = 3) -> DataFrame:
     """The last ``n`` visible plays of each game, newest first."""
     newest = Window.partitionBy("game_id").orderBy(F.desc("play_index"))
@@ -79,12 +95,20 @@ def source_vs_parsed(plays: DataFrame, sequence: DataFrame) -> DataFrame:
     return named.join(found, "game_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("parsed", "brackets_parsed")})
 
 
-def period_summary(by_period: DataFrame) -> DataFrame:
-    """Totals at half time, after four quarters and at the end, from points by period; equal final totals are a tie."""
+def period_summary(by_period: DataFrame, team_rows: DataFrame | None = None) -> DataFrame:
+    """Totals at half time and after four quarters from points by period, and the final score; equal final scores are a tie.
+
+    The final score is what the teams' score rows say (``team_rows``: game_id, side, score); without them periods are added up.
+    """
     upto = lambda c, q: F.sum(F.when(F.col("quarter") <= q, F.col(c)).otherwise(0))
     stages = [("HALFTIME", 2), ("END OF REGULATION", 4), ("FINAL", 99)]
     rows = F.array(*[F.struct(F.lit(title).alias("title"), upto("visitor_points", q).alias("visitor_score"), upto("home_points", q).alias("home_score")) for title, q in stages])
     out = by_period.groupBy("game_id").agg(rows.alias("rows")).select("game_id", F.explode("rows").alias("s")).select("game_id", "s.*")
+    if team_rows is not None:
+        of = lambda k: F.max(F.when(F.col("side") == k, F.col("score"))).cast("long")
+        final = F.col("title") == "FINAL"
+        said = team_rows.groupBy("game_id").agg(of(0).alias("visitor_final"), of(1).alias("home_final"))
+        out = out.join(said, "game_id", "left").select("game_id", "title", *[F.when(final, F.coalesce(f"{t}_final", f"{t}_score")).otherwise(F.col(f"{t}_score")).alias(f"{t}_score") for t in ("visitor", "home")])
     tie = (F.col("title") == "FINAL") & (F.col("visitor_score") == F.col("home_score"))
     return out.withColumn("title", F.when(tie, "FINAL - TIE").otherwise(F.col("title")))
 

@@ -269,12 +269,13 @@ def players_sorted(players: DataFrame) -> DataFrame:
 # ---- players in plays
 
 
-def link_players(players: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(players with new ones, play_players): who the names in the plays are.
+def linked_names(players: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(game_id, play_index, name, team_id, player): who the names in the plays are; player is null for one that is nobody's.
 
     ``mentions``: game_id, play_index, name, semantic_team (null if the text doesn't say), possession, description.  A name is a
     player of the game with exactly this name; where there is none, one whose longer name begins with it and stands in the text.
-    The text's team goes first, then the one in possession, then who is listed first.  A name that is nobody's is a new player.
+    The text's team goes first, then the one in possession, then who is listed first.  Nobody's name has the text's team or
+    the one in possession.
     """
     known = players.select("game_id", F.col("name").alias("p_name"), F.col("team_id").alias("p_team"), "listed")
     names = mentions.dropDuplicates(["game_id", "play_index", "name"])
@@ -286,9 +287,15 @@ def link_players(players: DataFrame, mentions: DataFrame) -> tuple[DataFrame, Da
     found = exact.select(*columns).unionByName(begun.select(*columns))
     rank = F.struct(~F.coalesce(F.col("p_team") == F.col("semantic_team"), F.lit(False)), F.col("p_team") != F.col("possession"), F.col("listed"), F.col("p_team"), F.col("p_name"))
     best = found.groupBy("game_id", "play_index", "name").agg(F.min_by(F.struct(F.col("p_team").alias("team_id"), F.col("p_name").alias("player")), rank).alias("b"))
-    nobody = names.join(best, ["game_id", "play_index", "name"], "left_anti").select("game_id", "play_index", "name", F.coalesce("semantic_team", "possession").alias("team_id"))
-    new = nobody.groupBy("game_id", "team_id", "name").agg(F.struct(F.lit(9).alias("rank"), F.min("play_index").cast("long").alias("at")).alias("listed")).withColumns({"position": F.lit(None).cast("string"), "starter": F.lit(False)})
-    links = best.select("game_id", "play_index", "b.team_id", F.col("b.player").alias("name")).unionByName(nobody.select("game_id", "play_index", "team_id", "name")).distinct()
+    every = names.join(best, ["game_id", "play_index", "name"], "left")
+    return every.select("game_id", "play_index", "name", F.coalesce("b.team_id", "semantic_team", "possession").alias("team_id"), F.col("b.player").alias("player"))
+
+
+def link_players(players: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(players with new ones, play_players): a name that is nobody's (``linked_names``) is a new player."""
+    names = linked_names(players, mentions)
+    new = names.filter("player is null").groupBy("game_id", "team_id", "name").agg(F.struct(F.lit(9).alias("rank"), F.min("play_index").cast("long").alias("at")).alias("listed")).withColumns({"position": F.lit(None).cast("string"), "starter": F.lit(False)})
+    links = names.select("game_id", "play_index", "team_id", F.coalesce("player", "name").alias("name")).distinct()
     return players.unionByName(new, allowMissingColumns=True), links
 
 
