@@ -14,8 +14,10 @@ the documents that hold it and sends one number a pair; then the written pairs a
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
+import os
 import re
 from functools import lru_cache
 from itertools import chain, pairwise
@@ -33,7 +35,7 @@ VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SEGMENT = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
 CROSSING = re.compile(rb"[^\s\x80-\xff\x1c-\x1f] ")
 #: Segments up to this many characters are remembered by a worker, up to so many bytes of them.
-CACHED_CHARS, CACHED_BYTES = 64, 64 << 20
+CACHED_CHARS, CACHED_BYTES = 64, 96 << 20
 #: Texts are tokenized in blocks of about so many characters.
 BLOCK_CHARS = 1 << 18
 #: A pair is A's id above these bits, B's id in them.
@@ -81,6 +83,7 @@ class Aligner:
     """Both tokenizers, and the segments met lately."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -157,6 +160,13 @@ class Aligner:
 
     def rows(self, texts: list[str | None]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, groups, groups_sha256, pairs, times) of each text; pairs are distinct, times says how often each is linked."""
+        gc.disable()  # millions of tuples and no cycles
+        try:
+            return self.measured(texts)
+        finally:
+            gc.enable()
+
+    def measured(self, texts: list[str | None]) -> list[tuple]:
         out, at = [], 0
         while at < len(texts):
             stop, chars = at, 0
