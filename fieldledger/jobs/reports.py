@@ -74,10 +74,18 @@ class Reports:
     def chart_drives(self) -> tuple[DataFrame, DataFrame]:
         return plays.attach_chart(self.partial_chart, plays.drive_starts(self.classified), self.plays)
 
+    @property
+    def with_defence(self) -> DataFrame:
+        return self.plays.join(self.teams, "game_id").withColumn("defence", F.when(F.col("possession") == F.col("home_id"), F.col("visitor_id")).otherwise(F.col("home_id")))
+
     @property
     def sequence(self) -> DataFrame:
-        with_defence = self.plays.join(self.teams, "game_id").withColumn("defence", F.when(F.col("possession") == F.col("home_id"), F.col("visitor_id")).otherwise(F.col("home_id")))
-        return self.once("sequence", lambda: semantics.play_sequence(with_defence))
+        return self.once("sequence", lambda: semantics.play_sequence(self.with_defence))
+
+    @property
+    def remarked(self) -> DataFrame:
+        """The events of the plays with remarks: blocks, reviews, timeouts, injuries."""
+        return self.once("remarked", lambda: semantics.play_sequence(bridge.with_remarks(self.with_defence)))
 
     @property
     def summary(self) -> DataFrame:
@@ -261,6 +269,9 @@ JOBS = {
     "players_in_plays": lambda r: r.linked[1].groupBy("game_id", "team_id", "name").agg(F.count("*").alias("plays")),
     "team_metrics": lambda r: quality.team_metrics(r.team_rows, r.linked[0], sections.team_stats(r.pages)),
     "issues": lambda r: r.messages,
+    "play_events": lambda r: semantics.play_events(r.remarked),
+    "play_reviews": lambda r: semantics.reviews(r.remarked).drop("event_order", "ruling"),
+    "play_injuries": lambda r: semantics.injury_updates(r.remarked),
     "game_outcome": lambda r: quality.game_outcome(r.team_rows.select("game_id").distinct(), r.messages, r.plays, r.drives[0], r.scoring),
     "drive_scores": lambda r: scoring.drive_scores(r.drives[0], scoring.score_at(r.plays, r.scoring)),
     "visible_chart": lambda r: explore.visible_chart(*r.chart_drives, r.plays, r.cursors).drop("possession_time", "penalty_yards", "first_downs"),
@@ -421,6 +432,16 @@ SELECTS = {
     "players_in_plays": (PAGES + CASES + LISTED + MENTIONS, "SELECT game_id, team_id, name, count(*) AS plays FROM who GROUP BY ALL"),
     "team_metrics": (PAGES + CASES + LISTED + MENTIONS, "SELECT game_id, CAST(side AS INTEGER) AS side, team_id, players, positioned, snapped, stat_values FROM figures"),
     "issues": (PAGES + CASES + LISTED + MENTIONS + RAISED, "SELECT * FROM raised"),
+    "play_events": (CASES, """SELECT game_id, play_index, e[1] AS event_type, e[2] AS actor, e[3] AS team_id, e[4] AS location, e[5] AS result FROM (SELECT game_id, i AS play_index, unnest(CASE
+        WHEN c = 'int' THEN [['interception', defender, defence, end_spot, NULL]]
+        WHEN c = 'fum' THEN [['fumble', passer, possession, NULL, NULL], ['recovery', second, defence, spot, NULL], ['possession-change', second, defence, spot, 'recovery']]
+        WHEN c = 'td' THEN [['touchdown', target, possession, NULL, NULL]]
+        WHEN c = 'fg' AND i % 3 = 0 THEN [['block', 'B.Birch', defence, NULL, 'field-goal']]
+        WHEN c = 'comp' AND i % 4 = 0 THEN [['replay', NULL, NULL, NULL, 'upheld']] WHEN c = 'comp' AND i % 4 = 1 THEN [['replay', NULL, NULL, NULL, 'confirmed']]
+        WHEN c = 'rush' AND i % 5 = 0 THEN [['injury', 'A.Abel', 'SEA', NULL, 'is Out of the game']] END) AS e FROM cases)"""),
+    "play_reviews": (CASES, """SELECT game_id, i AS play_index, CASE WHEN i % 4 = 0 THEN 'replay-official' ELSE 'team-challenge' END AS source, CASE WHEN i % 4 = 1 THEN 'Foxes' END AS team_name, CASE WHEN i % 4 = 0 THEN 'pass completion' ELSE 'ball placement' END AS subject,
+        CASE WHEN i % 4 = 0 THEN 'upheld' ELSE 'confirmed' END AS result, CAST(CASE WHEN i % 4 = 0 THEN 2 ELSE 1 END AS INTEGER) AS timeout_number FROM cases WHERE c = 'comp' AND i % 4 IN (0, 1)"""),
+    "play_injuries": (CASES, "SELECT game_id, i AS play_index, 'SEA' AS team_id, 'A.Abel' AS player, 'is Out of the game' AS status, 'Out' AS code FROM cases WHERE c = 'rush' AND i % 5 = 0"),
     "game_outcome": (PAGES + CASES + LISTED + MENTIONS + RAISED + SCORES, f"""SELECT s.game_id, CASE WHEN count(r.code) > 0 THEN 'partial' ELSE 'complete' END AS outcome, count(r.code) AS issues, count(*) FILTER (r.severity = 'error') AS errors,
         concat_ws(chr(10), CASE WHEN any_value(u.unlinked) > 0 THEN concat(any_value(u.unlinked), ' scoring plays could not be linked to Play-by-Play.') END, nullif(coalesce(string_agg(r.message, chr(10) ORDER BY list_position({list(quality.CHECKS)}, r.code), coalesce(r.team_id, '')), ''), '')) AS warnings
         FROM sides s LEFT JOIN raised r ON r.game_id = s.game_id LEFT JOIN (SELECT game_id, count(*) FILTER (play_index < 0) AS unlinked FROM linked GROUP BY 1) u ON u.game_id = s.game_id WHERE s.side = 0 GROUP BY s.game_id"""),

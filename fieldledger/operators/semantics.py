@@ -43,13 +43,14 @@ RECOVERY = rf"(?:RECOVERED|recovered) by ([A-Z]{{2,3}})-\s*({NAME}) at ({SPOT})"
 INJURY = r"(?i)\*\* Injury Update:\s*([A-Z]{2,3})-((?:[A-Z]\.){1,2}[A-Z][A-Za-z'-]*)\s+(.+?)(?=(?:\s+(?:PENALTY|Penalty) on\b)|(?:\s+\b(?:P|R|X)\d+\b)|$)"
 CHALLENGE, OFFICIAL = r"(?i)\b([A-Z][A-Za-z]+) challenged the (.+?) ruling", r"(?i)The Replay Official reviewed the (.+?) ruling"
 SCORE = r"(?i)\b[A-Z]{2,3} (\d+) [A-Z]{2,3} (\d+),\s*(\d+) plays?,\s*(-?\d+) yards?,(?:\s*(\d+) penalt(?:y|ies),)?\s*(\d+:\d+) drive(?:\s*,\s*(\d+:\d+) elapsed)?"
+BLOCK, TIMEOUT_NUMBER = rf"(?i)\bis BLOCKED \(({NAME})\)", r"(?i)Timeout #?(\d+)"
 #: (type, priority, a part that any match holds in lower case, pattern)
 SPANS = (
     ("action", 1, "", rf"(?i:\bHandoff to ){NAME}|(?:{FORMED})?{NAME}"),
     ("touchdown", 2, "touchdown", r"(?i)\bTOUCHDOWN(?! NULLIFIED)"),
     ("fumble", 2, "fumbles", rf"(?i)FUMBLES(?: \((?:{NAME}|Aborted)\))?"),
     ("recovery", 2, "recovered", RECOVERY),
-    ("block", 2, "blocked", rf"(?i)\bis BLOCKED \(({NAME})\)"),
+    ("block", 2, "blocked", BLOCK),
     ("defense", 4, "", r"\([^)]+\)|\[[^\]]+\]"),
     ("penalty", 5, "penalty on", PENALTY),
     ("review", 6, "challenged the", CHALLENGE),
@@ -233,12 +234,52 @@ def merged_penalties(sequence: DataFrame) -> DataFrame:
 
 
 def reviews(sequence: DataFrame) -> DataFrame:
-    """Team challenges and official reviews; results go to the play's last review in list order (challenges come first)."""
+    """Team challenges and official reviews; results go to the play's last review in list order (challenges come first).
+
+    A numbered timeout belongs to the last review in list order that stands before it in the text; of several the last counts.
+    """
     r = sequence.filter("type = 'review'").withColumn("source", F.when(F.col("text").rlike(CHALLENGE), "team-challenge").otherwise("replay-official"))
-    r = r.select(*KEYS, "event_order", "source", group("text", CHALLENGE, 1).alias("team_name"), F.coalesce(group("text", CHALLENGE, 2), group("text", OFFICIAL, 1)).alias("subject"))
+    r = r.select(*KEYS, "event_order", "start", "source", group("text", CHALLENGE, 1).alias("team_name"), F.coalesce(group("text", CHALLENGE, 2), group("text", OFFICIAL, 1)).alias("subject"))
     results = sequence.filter("type = 'review-result'").groupBy(*KEYS).agg(F.max_by(F.when(F.col("result") != "stands", F.col("result")), F.when(F.col("result") != "stands", F.col("event_order"))).alias("last_result"), F.bool_or(F.col("result") == "stands").alias("stood"))
+    place = F.struct(F.col("source") == "replay-official", "event_order")
+    numbered = sequence.filter("type = 'timeout'").select(*KEYS, F.col("start").alias("at"), group("text", TIMEOUT_NUMBER, 1).try_cast("int").alias("number")).filter("number is not null")
+    whose = r.join(numbered, KEYS).filter(F.col("start") < F.col("at")).groupBy(*KEYS, "at", "number").agg(F.max_by("event_order", place).alias("event_order"))
+    numbers = whose.groupBy(*KEYS, "event_order").agg(F.max_by("number", "at").alias("timeout_number"))
     last = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc(F.col("source") == "replay-official"), F.desc("event_order"))) == 1
-    return r.join(results, KEYS, "left").withColumn("is_last", last).select(*KEYS, "event_order", "source", "team_name", "subject", F.when(F.col("is_last"), F.col("last_result")).alias("result"), F.when(F.col("is_last") & F.col("stood"), "stands").alias("ruling"))
+    d = r.join(results, KEYS, "left").withColumn("is_last", last).join(numbers, [*KEYS, "event_order"], "left")
+    return d.select(*KEYS, "event_order", "source", "team_name", "subject", F.when(F.col("is_last"), F.col("last_result")).alias("result"), F.when(F.col("is_last") & F.col("stood"), "stands").alias("ruling"), "timeout_number")
+
+
+def play_events(sequence: DataFrame) -> DataFrame:
+    """(game_id, play_index, event_type, actor, team_id, location, result): interceptions, blocks, touchdowns, fumbles, recoveries and the
+    changes they bring, reviews' results and injuries.
+
+    A fumble and a touchdown name no one themselves: theirs is the latest action at or before them, a fumble's its actor, a touchdown's
+    its target if it has one.  A blocked kick is a field goal if those words stand just before.
+    """
+    near = F.last(F.when(F.col("type") == "action", F.struct("actor", "target")), ignorenulls=True).over(Window.partitionBy(*KEYS).orderBy("start"))
+    d = sequence.withColumn("near", near)
+    none = F.lit(None).cast("string")
+
+    def event(on: Column, kind: str, actor: Column = none, team: Column = none, location: Column = none, result: Column = none) -> Column:
+        return F.when(on, F.struct(F.lit(kind).alias("event_type"), actor.alias("actor"), team.alias("team_id"), location.alias("location"), result.alias("result")))
+
+    is_ = lambda t: F.col("type") == t
+    whose, who, where = norm_team_code(F.upper(group("text", RECOVERY, 1))), group("text", RECOVERY, 2), group("text", RECOVERY, 3)
+    before = F.substring(F.col("description"), F.greatest(F.col("start") - 23, F.lit(1)), F.least(F.lit(24), F.col("start")))
+    rows = F.array_compact(
+        F.array(
+            event(is_("action") & F.col("interceptor").isNotNull(), "interception", F.col("interceptor"), F.col("defence"), F.col("end_position")),
+            event(is_("block"), "block", group("text", BLOCK, 1), F.col("defence"), result=F.when(before.rlike("(?i)field goal"), "field-goal").otherwise("kick")),
+            event(is_("touchdown"), "touchdown", F.coalesce("near.target", "near.actor"), F.col("possession")),
+            event(is_("fumble"), "fumble", F.coalesce("near.actor", "near.target"), F.col("possession")),
+            event(is_("recovery"), "recovery", who, whose, where),
+            event(is_("recovery") & (whose != F.col("possession")), "possession-change", who, whose, where, F.lit("recovery")),
+            event(is_("review-result") & (F.col("result") != "stands"), "replay", result=F.col("result")),
+            event(is_("injury-update"), "injury", group("text", INJURY, 2), norm_team_code(F.upper(group("text", INJURY, 1))), result=F.trim(F.regexp_replace(group("text", INJURY, 3), r"[.]$", ""))),
+        )
+    )
+    return d.select(*KEYS, F.explode(rows).alias("e")).select(*KEYS, "e.*")
 
 
 def injury_updates(sequence: DataFrame) -> DataFrame:

@@ -152,6 +152,19 @@ def miscellaneous_lines(games: DataFrame) -> DataFrame:
     return games.select("game_id", F.lit(MISCELLANEOUS_PAGE).alias("page"), F.posexplode(F.array(*[F.lit(t) for t in MISCELLANEOUS])).alias("line_no", "text"))
 
 
+#: What some plays' texts have besides, in ``with_remarks``.
+BLOCKED, UPHELD, CHALLENGED, INJURED = "is BLOCKED (B.Birch)", " The Replay Official reviewed the pass completion ruling, and the play was Upheld. (Timeout #2 by NE.)", " Foxes challenged the ball placement ruling, and the play was confirmed. (Timeout #1 by NE.)", " ** Injury Update: SEA-A.Abel is Out of the game."
+
+
+def with_remarks(plays: DataFrame) -> DataFrame:
+    """Parsed plays with blocked field goals, reviews with timeouts, challenges and injuries in some texts, by kind and index."""
+    every = lambda kind, n, k: (F.col("kind") == kind) & (F.col("play_index") % n == k)
+    caught = F.col("description").contains(" pass short left to ")
+    more = F.when(every("pass", 4, 0) & caught, UPHELD).when(every("pass", 4, 1) & caught, CHALLENGED).when(every("rush", 5, 0), INJURED).otherwise("")
+    text = F.when(every("field-goal", 3, 0), F.replace(F.col("description"), F.lit("is GOOD"), F.lit(BLOCKED))).otherwise(F.col("description"))
+    return plays.withColumn("description", F.concat(text, more))
+
+
 def scoring(plays: DataFrame) -> DataFrame:
     """Scoring rows with running totals; every row is printed twice; clocks of some are 3 seconds off."""
     points = F.when(F.col("kind") == "touchdown", 7).otherwise(3)
