@@ -6,6 +6,9 @@ of a play meet in one task and no group is larger than one play's text.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +69,7 @@ SPANS = (
     ("administrative", 14, "incomplete pass by", rf"(?i)Incomplete Pass by (?:\d+-)?({NAME}) after Blocked Kick Recovery\.?"),
 )
 CHANGE, RAW = 3, 99
+FRAME = "\u0001"
 #: A type outside of this list has no provisional or final form.
 RULED = ("action", "possession-change", "block", "touchdown", "fumble", "recovery", "penalty", "defense", "official-marker", "raw")
 ROLE = {"rush": "rusher", "scramble": "rusher", "kneel": "rusher", "advance": "rusher", "return": "returner", "pass": "passer", "sack": "passer", "field-goal": "kicker", "extra-point": "kicker", "kickoff": "kicker", "punt": "punter"}
@@ -76,29 +80,41 @@ def group(text: str, pattern: str, k: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
 
 
-def action_of(rest: str) -> Column:
-    """The struct of the first grammar row that fits at the start of a column; null for none."""
+#: What follows the name, in lower case, in a text that a grammar row of this kind fits: rows are tried only where it does.
+FOLLOWS = {
+    "pass": ("pass",), "scramble": ("scrambles",), "rush": ("left ", "right ", "up the "), "kneel": ("kneel",), "spike": ("spiked",), "sack": ("sacked",), "field-goal": tuple("0123456789"),
+    "extra-point": ("extra point",), "punt": ("punts",), "kickoff": ("kicks",), "advance": ("ran ob", "pushed ob", "to ", "at ", "for ", "fumbles (aborted) at"),
+}
+HANDOFF = "handoff to "
+
+
+def action_of(rest: str, after: str) -> Column:
+    """The struct of the first grammar row that fits at the start of ``rest``; null for none.  ``after`` is what follows the name, in lower case."""
     tries = []
     for kind, outcome, pattern, fields in GRAMMAR:
         at_start = "(?i)^" + pattern
+        may = F.lower(rest).startswith(HANDOFF) if pattern.startswith("Handoff") else reduce(or_, [F.col(after).startswith(w) for w in FOLLOWS[kind]])
         values = [(group(rest, at_start, fields[f]) if f in fields else F.lit(None).cast("string")).alias(f) for f in FIELDS]
-        tries.append(F.when(F.col(rest).rlike(at_start), F.struct(F.lit(kind).alias("action_type"), F.lit(outcome).cast("string").alias("rule"), F.regexp_extract(rest, at_start, 0).alias("text"), *values)))
+        tries.append(F.when(may & F.col(rest).rlike(at_start), F.struct(F.lit(kind).alias("action_type"), F.lit(outcome).cast("string").alias("rule"), F.regexp_extract(rest, at_start, 0).alias("text"), *values)))
     return F.coalesce(*tries)
 
 
 def find_all(plays: DataFrame) -> DataFrame:
-    """(game_id, play_index, possession, defence, description, type, priority, start, stop, text): every span of every pattern."""
+    """(game_id, play_index, possession, defence, description, type, priority, start, stop, text): every span of every pattern.
+
+    A pattern runs once over a text: its matches are framed by two signs that no report has, and the text is cut at those.
+    """
     lower = F.lower("description")
     one = lambda kind, priority, hint, p: F.struct(
         F.lit(kind).alias("type"), F.lit(priority).alias("priority"),
-        F.when(lower.contains(hint), F.regexp_extract_all("description", F.lit(p), F.lit(0))).alias("found"),
-        F.when(lower.contains(hint), F.split("description", p, -1)).alias("between"),
+        F.when(lower.contains(hint), F.split(F.regexp_replace("description", p, f"{FRAME}$0{FRAME}"), FRAME, -1)).alias("parts"),
     )
-    base = plays.select(*KEYS, "possession", "defence", F.trim(F.regexp_replace("description", r"\s+", " ")).alias("description"))
-    kinds = base.select("*", F.explode(F.array(*[one(*s) for s in SPANS])).alias("s")).select(*base.columns, "s.*").filter(F.size("found") > 0)
-    each = kinds.select(*base.columns, "type", "priority", "found", "between", F.posexplode("found").alias("k", "text"))
-    length = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda t, x: t + F.length(x))
-    return each.withColumn("start", length("between", F.col("k") + 1) + length("found", F.col("k"))).withColumn("stop", F.col("start") + F.length("text")).drop("found", "between", "k")
+    base = plays.select(*KEYS, "possession", "defence", F.translate(F.trim(F.regexp_replace("description", r"\s+", " ")), FRAME, "").alias("description"))
+    kinds = base.select("*", F.explode(F.array(*[one(*s) for s in SPANS])).alias("s")).select(*base.columns, "s.*").filter(F.size("parts") > 1)
+    # Every second part is a match; what comes before it gives its place.
+    each = kinds.select(*base.columns, "type", "priority", "parts", F.explode(F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2))).alias("k")).withColumn("text", F.get("parts", F.col("k")))
+    start = F.aggregate(F.slice("parts", F.lit(1), F.col("k")), F.lit(0), lambda t, x: t + F.length(x))
+    return each.withColumn("start", start).withColumn("stop", F.col("start") + F.length("text")).drop("parts", "k")
 
 
 def with_actions(spans: DataFrame) -> DataFrame:
@@ -106,7 +122,8 @@ def with_actions(spans: DataFrame) -> DataFrame:
     is_action = F.col("type") == "action"
     d = spans.withColumn("lead", F.when(is_action, F.length(F.regexp_extract("text", f"^{FORMED}", 0))).otherwise(0))
     d = d.withColumn("rest", F.when(is_action, F.substring(F.col("description"), F.col("start") + F.col("lead") + 1, F.length("description"))))
-    d = d.withColumn("a", action_of("rest")).filter(~is_action | F.col("a").isNotNull())
+    d = d.withColumn("after", F.lower(F.regexp_replace("rest", f"(?i)^{NAME} ", "")))
+    d = d.withColumn("a", action_of("rest", "after")).filter(~is_action | F.col("a").isNotNull())
     stop = F.when(is_action, F.col("start") + F.col("lead") + F.length("a.text")).otherwise(F.col("stop"))
     d = d.withColumn("stop", stop).withColumn("formation", F.when(F.col("lead") > 0, F.initcap(F.regexp_extract("text", r"\(([^)]*)\)", 1))))
     earlier = Window.partitionBy(*KEYS, "type").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
