@@ -137,6 +137,9 @@ def grams_of(data: bytes) -> np.ndarray:
 
 
 Counted = tuple[np.ndarray, np.ndarray]
+NONE: Counted = (np.empty(0, np.uint64), np.empty(0, np.int64))
+#: Grams held before they are counted together.
+PENDING = 2_000_000
 
 
 def gram_texts(texts: list[bytes]) -> tuple[Counted, Counted]:
@@ -144,16 +147,35 @@ def gram_texts(texts: list[bytes]) -> tuple[Counted, Counted]:
 
     A place is the gram, the two bytes after it and the gram before it: passages that a text repeats count once.
     """
-    some, dense = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    kinds: tuple[list[Counted], list[Counted]] = ([NONE], [NONE])
+    pending: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+
+    def settle() -> None:
+        for counted, waiting in zip(kinds, pending, strict=True):
+            if waiting:
+                counted[:] = [summed([*counted, np.unique(np.concatenate(waiting), return_counts=True)])]
+                waiting.clear()
+
+    held = 0
     for data in texts:
         g = grams_of(data)
         before, after = np.concatenate([[np.uint64(0)], g[:-1]]), np.concatenate([g[2:], np.zeros(min(2, len(g)), np.uint64)])
         with np.errstate(over="ignore"):
             place = np.unique(g * MIX[0] ^ before * MIX[1] ^ after, return_index=True)[1]
         grams, n = np.unique(g[place], return_counts=True)
-        some.append(grams)
-        dense.append(grams[(n >= DENSE_TIMES) & (n >= DENSE_SHARE * len(data.split()))])
-    return tuple(np.unique(np.concatenate(x), return_counts=True) for x in (some, dense))
+        pending[0].append(grams)
+        pending[1].append(grams[(n >= DENSE_TIMES) & (n >= DENSE_SHARE * len(data.split()))])
+        held += len(grams)
+        if held > PENDING:
+            settle()
+            held = 0
+    settle()
+    return kinds[0][0], kinds[1][0]
+
+
+def summed(parts: list[Counted]) -> Counted:
+    grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return grams, np.bincount(at, np.concatenate([n for _, n in parts]), len(grams)).astype(np.int64)
 
 
 def count_in(counted: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
@@ -198,13 +220,17 @@ def trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def unmarked(pieces: list[bytes], marks: np.ndarray) -> list[bytes]:
-    """The pieces in which no mark stands."""
-    framed = [b"  " + p + b"  " for p in pieces]
-    ends = np.cumsum([len(p) for p in framed])
-    hits = np.concatenate([[0], np.cumsum(np.isin(grams_of(b"".join(framed) + b" " * GRAM), marks))])
-    starts = np.concatenate([[0], ends])[: len(ends)]
-    return [p for p, clean in zip(pieces, (hits[ends] == hits[starts]).tolist(), strict=True) if clean]
+def unmarked(pieces: list[bytes], marks: np.ndarray, at_once: int = 10_000) -> list[bytes]:
+    """The pieces in which no mark stands, looked at so many at once."""
+    out = []
+    for k in range(0, len(pieces), at_once):
+        part = pieces[k : k + at_once]
+        framed = [b"  " + p + b"  " for p in part]
+        ends = np.cumsum([len(p) for p in framed])
+        hits = np.concatenate([[0], np.cumsum(np.isin(grams_of(b"".join(framed) + b" " * GRAM), marks))])
+        starts = np.concatenate([[0], ends])[: len(ends)]
+        out += [p for p, clean in zip(part, (hits[ends] == hits[starts]).tolist(), strict=True) if clean]
+    return out
 
 
 def train_dictionaries(bad: list[bytes], good: list[bytes], in_bad: tuple[Counted, Counted], in_good: tuple[Counted, Counted]) -> Dictionaries:
@@ -281,11 +307,7 @@ def train(texts: list[str], toxic: list[int], threshold: float = THRESHOLD) -> M
 
 def both(parts: list[tuple[Counted, Counted]]) -> tuple[Counted, Counted]:
     """Counts over several parts, of each kind."""
-    out = []
-    for kind in zip(*parts, strict=True):
-        grams, at = np.unique(np.concatenate([g for g, _ in kind]), return_inverse=True)
-        out.append((grams, np.bincount(at, np.concatenate([n for _, n in kind]), len(grams)).astype(np.int64)))
-    return tuple(out)
+    return tuple(summed(list(kind)) for kind in zip(*parts, strict=True))
 
 
 @lru_cache(maxsize=1)
