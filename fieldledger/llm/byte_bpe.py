@@ -185,7 +185,8 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
 
     token_ids are the ids as little-endian unsigned 32-bit integers (binary).  Special-token strings
     are ordinary text.  A null or empty text has no ids.  The text itself is left out unless
-    ``keep_text``.  Repeated rows stay; clashing extra columns are replaced.
+    ``keep_text``.  Repeated rows stay; clashing extra columns are replaced.  Texts of any length are
+    encoded whole; an empty table gives no rows.
     """
     if path is None or pattern is None:
         import public_tokenizers

@@ -212,7 +212,8 @@ def judge_documents(docs: DataFrame) -> DataFrame:
     """Counts and verdict of every row of ``docs`` (doc_id, text, lang, source), without the text.
 
     Null and empty texts fail the base rules; null languages and sources are groups of their own;
-    repeated rows are judged alike; an empty table gives no rows.  Texts are read once.
+    repeated rows are judged alike; texts of any length count whole; an empty table gives no rows.
+    Texts are read once.
     """
     counts = cut(with_counts(docs.select("doc_id", "lang", "source", "text"), drop=("text",)))
     return judged(counts, cut(cutoffs(sketches(counts))))
@@ -222,7 +223,8 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns.
 
     Texts are read twice and never shuffled, unless the cutoffs outgrow MAX_CUTOFF_BYTES; then the join
-    moves rows by group, and splits skewed ones.
+    moves rows by group, and splits skewed ones.  Null and empty texts fail the base rules and go; repeated rows are
+    judged alike; an empty table gives no rows.
     """
     narrow = with_counts(docs.select("lang", "source", "text"), drop=("text",))
     cutoff_rows = cut(cutoffs(sketches(narrow)))

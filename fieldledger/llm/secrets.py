@@ -235,7 +235,8 @@ def parsed(spans: str) -> list[tuple[int, int, str]]:
 def redact_documents(docs: DataFrame, ledger: Ledger | None = None, max_bytes: int = MAX_SENT_BYTES) -> DataFrame:
     """The rows of ``docs`` with all secrets replaced in ``text``, and ``n_chars``, if there, to match.
 
-    Equal texts get equal ones; null and empty texts stay.  Texts are scanned where they lie, and stay there while
+    Equal texts get equal ones; null and empty texts stay; texts of any length are scanned whole; an empty table gives
+    no rows.  Texts are scanned where they lie, and stay there while
     the blobs with findings take up to ``max_bytes``, which are sent to the tasks; beyond, rows join them by blob.
     """
     ledger = ledger or new_ledger(docs.sparkSession)

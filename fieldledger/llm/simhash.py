@@ -328,7 +328,11 @@ def link_fingerprints(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id, root of every row of ``docs`` (doc_id, text)."""
+    """doc_id, fp, component_id, root of every row of ``docs`` (doc_id, text).
+
+    Null and empty texts have fingerprint zero and are linked like others; null and repeated ids are values like others; texts of
+    any length count whole; other columns are left out; an empty table gives no rows.
+    """
     return link_fingerprints(cut(with_fingerprints(docs.select("doc_id", "text"), drop=("text",))))
 
 
@@ -453,6 +457,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of NEAR or more,
     directly or through chains.  Among rows with the same id, or with none, the columns' hash decides.
+    Texts without words are alike; texts of any length count whole; columns keep their names and order,
+    whatever they are called; an empty table gives no rows.
     """
     boxes = boxed(docs, "text").withColumn("row_id", F.monotonically_increasing_id())
     rows = written(with_bands(boxes, drop=("text",)), "near")
