@@ -237,7 +237,8 @@ JOBS = {
     "participants": lambda r: semantics.participants(r.sequence).select("game_id", "play_index", "name", "role", "source", "team_id"),
     "merged_penalties": lambda r: semantics.merged_penalties(r.sequence).drop("event_order"),
     "play_summary": lambda r: r.summary.drop("official_yards"),
-    "field_view": lambda r: explore.field_view(r.summary, r.plays, r.teams),
+    "field_view": lambda r: explore.field_view(r.summary, r.plays, r.teams, explore.action_ends(r.sequence, semantics.spots(r.sequence, semantics.merged_penalties(r.sequence), r.plays, r.summary))),
+    "return_paths": lambda r: replay.return_paths(r.sequence, r.teams).select("game_id", "play_index", "team_id", "direction", "yards", "touchdown", F.posexplode("path").alias("step", "p")).select("game_id", "play_index", "team_id", "direction", "yards", "touchdown", "step", "p.*"),
     "parse_outcome": lambda r: explore.parse_outcome(r.summary, r.scoring),
     "period_summary": lambda r: explore.period_summary(scoring.score_by_period(r.scoring, r.plays.groupBy("game_id").agg(F.max("quarter").alias("last_quarter"))), r.team_rows),
     "drive_so_far": lambda r: explore.drive_so_far(*r.drives, current_drives(r)),
@@ -467,7 +468,12 @@ SELECTS = {
         CASE c WHEN 'td' THEN 'pass-complete' WHEN 'comp' THEN 'pass-complete' WHEN 'inc' THEN 'pass-incomplete' WHEN 'pen' THEN 'pass-incomplete' WHEN 'int' THEN 'pass-intercepted' WHEN 'fg' THEN 'field-goal' WHEN 'punt' THEN 'punt' WHEN 'sack' THEN 'sack' WHEN 'flat' THEN 'other' ELSE 'run' END AS visualization,
         c = 'td' AS touchdown, FALSE AS reviewed, CAST(len(types) AS BIGINT) AS events, CAST(len(list_filter(types, lambda x: x = 'action')) AS BIGINT) AS actions, CAST(len(list_filter(types, lambda x: x = 'raw')) AS BIGINT) AS raw_parts, CASE WHEN c IN ('punt', 'flat') THEN 'partial' ELSE 'structured' END AS parse_status
         FROM steps k LEFT JOIN returns r USING (game_id, play_index) LEFT JOIN (SELECT * FROM returns UNION ALL SELECT f.* FROM first_actions f ANTI JOIN returns x USING (game_id, play_index)) a USING (game_id, play_index)"""),
-    "field_view": (CASES, f"SELECT game_id, play_index, abs_yard AS start_yard, final_yard, round(10 + abs_yard * 0.8::DOUBLE, 4) AS start_percent, round(10 + final_yard * 0.8::DOUBLE, 4) AS final_percent, CAST((final_yard - abs_yard) * CASE WHEN possession = visitor THEN 1 ELSE -1 END AS INTEGER) AS movement FROM (SELECT *, {FINAL_YARD} AS final_yard FROM cases)"),
+    "field_view": (CASES, f"""SELECT game_id, play_index, abs_yard AS start_yard, final_yard, round(10 + abs_yard * 0.8::DOUBLE, 4) AS start_percent, round(10 + final_yard * 0.8::DOUBLE, 4) AS final_percent, CAST((final_yard - abs_yard) * sign AS INTEGER) AS movement,
+        CASE WHEN c IN ('punt', 'int', 'sack', 'rush', 'comp') THEN end_spot WHEN c = 'fum' THEN spot END AS action_end, round(10 + 0.8::DOUBLE * CASE WHEN c IN ('punt', 'int', 'sack', 'rush', 'comp') THEN end_yard WHEN c = 'fum' THEN abs_yard END, 4) AS action_end_percent,
+        round(10 + 0.8::DOUBLE * least(100, greatest(0, abs_yard + sign * CASE WHEN is_goal THEN CASE WHEN sign = 1 THEN 100 - abs_yard ELSE abs_yard END ELSE distance END)), 4) AS first_down_percent
+        FROM (SELECT *, {FINAL_YARD} AS final_yard, CASE WHEN possession = visitor THEN 1 ELSE -1 END AS sign FROM cases)"""),
+    "return_paths": (CASES, """SELECT game_id, play_index, defence AS team_id, CASE WHEN defence = visitor THEN 'right' ELSE 'left' END AS direction, CAST(yards AS INTEGER) AS yards, FALSE AS touchdown, p.step AS step, CASE p.step WHEN 0 THEN 'change' ELSE 'end' END AS kind,
+        CASE p.step WHEN 0 THEN end_spot ELSE spot END AS position, round(10 + 0.8::DOUBLE * CASE p.step WHEN 0 THEN end_yard ELSE abs_yard END, 4) AS percent FROM cases, (VALUES (0), (1)) p(step) WHERE c IN ('int', 'punt')"""),
     "parse_outcome": (CASES + SCORES, """SELECT g.*, coalesce(u.unlinked, 0) AS unlinked, FALSE AS coverage_low, CASE WHEN coalesce(u.unlinked, 0) > 0 THEN 'partial' ELSE 'complete' END AS outcome
         FROM (SELECT game_id, count(*) AS plays, count(*) FILTER (c NOT IN ('punt', 'flat')) AS structured, count(*) FILTER (c IN ('punt', 'flat')) AS partial, CAST(0 AS BIGINT) AS raw FROM cases GROUP BY 1) g
         LEFT JOIN (SELECT game_id, count(*) FILTER (play_index < 0) AS unlinked FROM linked GROUP BY 1) u USING (game_id)"""),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldledger.functions.spots import absolute_yard, field_percent
+from fieldledger.functions.spots import absolute_yard, clamp, field_percent
 
 
 def visible_plays(plays: DataFrame, cursors: DataFrame) -> DataFrame:
@@ -147,10 +147,27 @@ def parse_outcome(summary: DataFrame, scoring: DataFrame, least_plays: int = 20,
     return d.withColumn("coverage_low", low).withColumn("outcome", F.when(low | (F.col("unlinked") > 0), "partial").otherwise("complete"))
 
 
-def field_view(summary: DataFrame, plays: DataFrame, teams: DataFrame) -> DataFrame:
-    """Start and final spot of each play as yards and percent, and the movement in the attack's direction."""
-    d = plays.select("game_id", "play_index", "yard_line").join(summary.select("game_id", "play_index", "possession", "official_end"), ["game_id", "play_index"]).join(teams, "game_id")
+def action_ends(sequence: DataFrame, spots: DataFrame) -> DataFrame:
+    """(game_id, play_index, action_end): where a punt lands, else the first interception, else the first recovery, else the last action's end."""
+    keys = ["game_id", "play_index"]
+    punts = sequence.filter("action_type = 'punt' and end_position is not null").groupBy(*keys).agg(F.min_by("end_position", "event_order").alias("punted"))
+    of = lambda pick, kind: pick(F.when(F.col("kind") == kind, F.col("position")), F.when(F.col("kind") == kind, F.col("place")))
+    s = spots.groupBy(*keys).agg(of(F.min_by, "interception").alias("caught"), of(F.min_by, "recovery").alias("recovered"), of(F.max_by, "action-end").alias("ended"))
+    return s.join(punts, keys, "full").select(*keys, F.coalesce("punted", "caught", "recovered", "ended").alias("action_end"))
+
+
+def field_view(summary: DataFrame, plays: DataFrame, teams: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Start and final spot of each play as yards and percent, the movement in the attack's direction, the first-down mark and, from
+    ``ends`` (``action_ends``), where the action ended."""
+    d = plays.select("game_id", "play_index", "yard_line", "distance", "is_goal").join(summary.select("game_id", "play_index", "possession", "official_end"), ["game_id", "play_index"]).join(teams, "game_id")
+    d = d.withColumn("action_end", F.lit(None).cast("string")) if ends is None else d.join(ends, ["game_id", "play_index"], "left")
     yard = lambda c: absolute_yard(F.col(c), F.col("visitor_id"), F.col("home_id"))
     sign = F.when(F.col("possession") == F.col("visitor_id"), 1).when(F.col("possession") == F.col("home_id"), -1)
-    d = d.withColumns({"start_yard": yard("yard_line"), "final_yard": yard("official_end")})
-    return d.select("game_id", "play_index", "start_yard", "final_yard", F.round(field_percent(F.col("start_yard")), 4).alias("start_percent"), F.when(F.col("final_yard").isNotNull(), F.round(field_percent(F.col("final_yard")), 4)).alias("final_percent"), ((F.col("final_yard") - F.col("start_yard")) * sign).alias("movement"))
+    d = d.withColumns({"start_yard": yard("yard_line"), "final_yard": yard("official_end"), "end_yard": yard("action_end")})
+    to_go = F.when(F.col("is_goal"), F.when(sign == 1, 100 - F.col("start_yard")).otherwise(F.col("start_yard"))).otherwise(F.col("distance"))
+    percent = lambda c: F.when(c.isNotNull(), F.round(field_percent(c), 4))
+    mark = clamp(F.col("start_yard") + to_go * sign)
+    return d.select(
+        "game_id", "play_index", "start_yard", "final_yard", percent(F.col("start_yard")).alias("start_percent"), percent(F.col("final_yard")).alias("final_percent"), ((F.col("final_yard") - F.col("start_yard")) * sign).alias("movement"),
+        "action_end", percent(F.col("end_yard")).alias("action_end_percent"), percent(mark).alias("first_down_percent"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.functions.spots import absolute_yard, field_percent
+from fieldledger.functions.spots import absolute_yard, attack_direction, field_percent
 
 KEYS = ["game_id", "play_index"]
 ACTION = ("event_order", "action_type", "outcome", "actor", "yards", "end_position", "team_id")
@@ -164,3 +164,24 @@ def scoring_phases(sequence: DataFrame, penalties: DataFrame) -> DataFrame:
         )
     )
     return d.select(*KEYS, F.posexplode(rows).alias("phase_no", "p")).select(*KEYS, "phase_no", "p.*")
+
+
+def return_paths(sequence: DataFrame, teams: DataFrame) -> DataFrame:
+    """(game_id, play_index, team_id, direction, yards, touchdown, path): the last return of each play that has one.
+
+    ``path`` is an ordered array of kind, position and percent: where the ball changed hands, and where the return ended, which is the
+    end zone that the team runs to after a touchdown.  A return without both places has no path.
+    """
+    order = F.col("event_order")
+    pick = lambda value, on: F.max_by(F.when(on, value), F.when(on, order))
+    changed = (F.col("type") == "possession-change") & F.col("team_id").isNotNull()
+    d = sequence.groupBy(*KEYS).agg(pick(F.struct("team_id", "start_position", "end_position", "yards", "outcome"), F.col("action_type") == "return").alias("r"), pick(F.struct("team_id", "location"), changed).alias("change")).filter("r is not null").join(teams, "game_id")
+    d = d.withColumn("team", F.coalesce("r.team_id", "change.team_id"))
+    direction = attack_direction(F.col("team"), F.col("visitor_id"), F.col("home_id"))
+    yard = lambda spot: absolute_yard(spot, F.col("visitor_id"), F.col("home_id"))
+    touchdown = F.coalesce(F.col("r.outcome") == "touchdown", F.lit(False))
+    goal = F.when(direction == "right", 100).when(direction == "left", 0)
+    d = d.withColumns({"direction": direction, "touchdown": touchdown, "from_yard": yard(F.col("change.location")), "to_yard": F.coalesce(F.when(touchdown, goal), yard(F.col("r.end_position")))})
+    place = lambda kind, position, at: F.struct(F.lit(kind).alias("kind"), position.alias("position"), F.round(field_percent(at), 4).alias("percent"))
+    path = F.array(place("change", F.coalesce("r.start_position", "change.location"), F.col("from_yard")), place("end", F.when(F.col("touchdown"), "END ZONE").otherwise(F.col("r.end_position")), F.col("to_yard")))
+    return d.filter("team is not null and from_yard is not null and to_yard is not null").select(*KEYS, F.col("team").alias("team_id"), "direction", F.col("r.yards").alias("yards"), "touchdown", path.alias("path"))
