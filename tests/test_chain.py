@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldledger.functions.spots import COLOURS
 from fieldledger.jobs import reports
-from fieldledger.operators import lines, plays, sections
+from fieldledger.operators import lines, plays, quality, replay, sections, semantics
 from fieldledger.sources import tables
 
 ITEMS = "game_id string, page int, item_idx int, text string, x double, y double, width double"
@@ -100,3 +100,59 @@ def test_bucketed_tables_need_no_exchange(spark, tmp_path):
 def test_game_totals_has_no_exchange(spark):
     plan = reports.QUERIES["game_totals"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Bucketed: true" in plan
+
+
+PLAYS = "game_id string, play_index long, possession string, defence string, description string"
+
+
+def events_of(spark, *texts):
+    return semantics.play_sequence(spark.createDataFrame([("g", i, "NE", "IND", t) for i, t in enumerate(texts)], PLAYS))
+
+
+def test_events_name_the_action_before_them(spark):
+    d = events_of(
+        spark,
+        "A.Abel pass short left to C.Cole to IND 30 for 9 yards. FUMBLES, RECOVERED by IND-D.Drake at IND 28.",
+        "K.Kane 44 yard field goal is BLOCKED (B.Birch), Center-T.Tate, Holder-H.Hill.",
+        "P.Pratt punts 40 yards to IND 10, is BLOCKED (B.Birch).",
+        "A.Abel pass short left to C.Cole for 9 yards, TOUCHDOWN.",
+    )
+    got = {(r["play_index"], r["event_type"], r["actor"], r["team_id"], r["location"], r["result"]) for r in semantics.play_events(d).collect()}
+    assert got == {
+        (0, "fumble", "A.Abel", "NE", None, None), (0, "recovery", "D.Drake", "IND", "IND 28", None), (0, "possession-change", "D.Drake", "IND", "IND 28", "recovery"),
+        (1, "block", "B.Birch", "IND", None, "field-goal"), (2, "block", "B.Birch", "IND", None, "kick"), (3, "touchdown", "C.Cole", "NE", None, None),
+    }
+
+
+def test_timeouts_belong_to_the_last_review_in_list_order(spark):
+    """Challenges come before official reviews in the list, wherever they stand; a timeout before all reviews is nobody's."""
+    d = events_of(
+        spark,
+        "(Timeout #3 by NE.) A.Abel left end for 1 yard. The Replay Official reviewed the spot ruling, and the play was Upheld. Foxes challenged the catch ruling, and the play was confirmed. (Timeout #1 by NE.)",
+        "A.Abel left end for 1 yard. Foxes challenged the catch ruling, and the play was confirmed. (Timeout #1 by NE.) (Timeout #2 by NE.)",
+        "A.Abel left end for 1 yard. (Timeout #2 by NE.)",
+    )
+    got = {(r["play_index"], r["source"], r["timeout_number"]) for r in semantics.reviews(d).collect()}
+    assert got == {(0, "replay-official", 1), (0, "team-challenge", None), (1, "team-challenge", 2)}
+
+
+def test_a_return_for_a_touchdown_ends_in_the_end_zone(spark):
+    d = events_of(spark, "A.Abel pass short middle intended for C.Cole INTERCEPTED by D.Drake at IND 20. D.Drake for 80 yards, TOUCHDOWN.", "A.Abel left end to IND 30 for 1 yard.")
+    teams = spark.createDataFrame([("g", "NE", "IND")], "game_id string, visitor_id string, home_id string")
+    got = replay.return_paths(d, teams).collect()
+    assert [(r["play_index"], r["team_id"], r["direction"], r["yards"], r["touchdown"]) for r in got] == [(0, "IND", "left", 80, True)]
+    assert [(p["kind"], p["position"], p["percent"]) for p in got[0]["path"]] == [("change", "IND 20", 74.0), ("end", "END ZONE", 10.0)]
+
+
+def test_outcome_and_messages(spark):
+    teams = spark.createDataFrame([("g", "NE", "Patriots"), ("g", "IND", "Colts"), ("h", "SEA", "Seahawks")], "game_id string, team_id string, short_name string")
+    found = spark.createDataFrame([("g", "IND", "snaps-one-sided", "error"), ("g", None, "penalties-unparsed", "error"), ("g", "NE", "score-row-incomplete", "error")], "game_id string, team_id string, code string, severity string")
+    counts = spark.createDataFrame([("g", 5, 3, 1, 1)], "game_id string, penalties_named int, penalties_read int, brackets_named int, brackets_read int")
+    said = quality.with_messages(found, teams, counts)
+    assert {(r["code"], r["section"]) for r in said.collect()} == {("snaps-one-sided", "snaps"), ("penalties-unparsed", "play-by-play"), ("score-row-incomplete", "game")}
+    some = spark.createDataFrame([("g",)], "game_id string")
+    scoring = spark.createDataFrame([("g", -1), ("g", 4), ("h", -1)], "game_id string, play_index int")
+    got = {r["game_id"]: r for r in quality.game_outcome(teams.select("game_id").distinct(), said, some, some, scoring).collect()}
+    assert (got["g"]["outcome"], got["g"]["issues"], got["g"]["errors"]) == ("partial", 3, 3)
+    assert got["g"]["warnings"].split("\n") == ["1 scoring plays could not be linked to Play-by-Play.", "Patriots score row is incomplete.", "Colts snap table was not parsed while the other team was.", "2 penalty event(s) exist in Play-by-Play but were not structured; raw text is retained."]
+    assert got["h"]["outcome"] == "complete" and got["h"]["warnings"].split("\n") == [quality.NO_PLAYS, quality.NO_DRIVES, "1 scoring plays could not be linked to Play-by-Play."]
