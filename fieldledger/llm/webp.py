@@ -2,10 +2,10 @@
 
 The reader decodes prefix codes, back-references and the colour cache, undoes the predictor,
 cross-colour, subtract-green and palette transforms, and gives the pixel array (height x width, ARGB
-as unsigned 32-bit).  The writer makes two kinds of files: ``palette`` (one byte of the payload is
-one pixel of a grey palette, with back-references for long repeats) and ``colour`` (three bytes are
-one pixel; subtract-green, cross-colour and predictor transforms and a colour cache).  Bits are found
-by table look-ups at every bit offset of a block, so a symbol costs one step of a small loop.
+as unsigned 32-bit).  The writer makes two kinds of files: ``colour`` (three bytes are one pixel;
+subtract-green, cross-colour and predictor transforms and a colour cache), which payloads are stored
+in, and on demand ``palette`` (one byte of the payload is one pixel of a grey palette, with
+back-references for long repeats).  Bits are found by table look-ups at every bit offset of a block, so a symbol costs one step of a small loop.
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ LEAST_MATCH = 16
 #: Block size of the transforms' images, as a power of two.
 TILE_BITS = 4
 CACHE_BITS = 6
-#: One payload of so many is stored in colours whatever its values, so that a corpus runs the whole reader.
-COLOUR_SHARE = 64
 #: Pixels of an image in colours at most: the writer holds all predictions of one at a time.
 COLOUR_PIXELS = 1 << 19
 #: Bit offsets whose look-ups are worked out at once.
@@ -417,14 +415,58 @@ def undo_predictor(argb: np.ndarray, width: int, height: int, modes: np.ndarray,
             elif m == 1:
                 row[a:b] = (np.cumsum(row[a:b], axis=0) + row[a - 1]) & 255
             else:
-                for x in range(a, b):
-                    row[x] = (row[x] + predict(m, row[x - 1], above[x], above[x - 1], right[x])) & 255
+                row[a:b] = in_turn(m, row[a:b], row[a - 1], above[a - 1 : b], right[a:b])
     return packed(c).ravel()
 
 
+def in_turn(mode: int, rest: np.ndarray, left: np.ndarray, above: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The pixels of one row's tile where each prediction needs the pixel before it; ``above`` begins one to the left."""
+    if mode == 11:
+        out, before = [], left.tolist()
+        nearer = np.abs(above[1:] - above[:-1]).sum(axis=-1).tolist()
+        for r, t, p, to_left in zip(rest.tolist(), above[1:].tolist(), above[:-1].tolist(), nearer):
+            guess = before if to_left < sum([abs(x - y) for x, y in zip(before, p)]) else t
+            before = [(x + y) & 255 for x, y in zip(r, guess)]
+            out.append(before)
+        return np.array(out, rest.dtype)
+    # elsewhere channels don't meet
+    one = {5: turn_5, 6: turn_6, 7: turn_7, 10: turn_10, 12: turn_12, 13: turn_13}[mode]
+    columns = [one(*x) for x in zip(left.tolist(), rest.T.tolist(), above[1:].T.tolist(), above[:-1].T.tolist(), right.T.tolist())]
+    return np.array(columns, rest.dtype).T
+
+
+def turn_5(v, rest, top, top_left, right):
+    return [v := (r + (((v + q) >> 1) + t >> 1)) & 255 for r, t, q in zip(rest, top, right)]
+
+
+def turn_6(v, rest, top, top_left, right):
+    return [v := (r + (v + p >> 1)) & 255 for r, p in zip(rest, top_left)]
+
+
+def turn_7(v, rest, top, top_left, right):
+    return [v := (r + (v + t >> 1)) & 255 for r, t in zip(rest, top)]
+
+
+def turn_10(v, rest, top, top_left, right):
+    return [v := (r + ((v + p >> 1) + (t + q >> 1) >> 1)) & 255 for r, t, p, q in zip(rest, top, top_left, right)]
+
+
+def turn_12(v, rest, top, top_left, right):
+    return [v := (r + min(255, max(0, v + t - p))) & 255 for r, t, p in zip(rest, top, top_left)]
+
+
+def turn_13(v, rest, top, top_left, right):
+    out = []
+    for r, t, p in zip(rest, top, top_left):
+        middle = v + t >> 1
+        half = middle - p
+        v = (r + min(255, max(0, middle + (half // 2 if half >= 0 else -(-half // 2))))) & 255
+        out.append(v)
+    return out
+
+
 def signed(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.int32) & 255
-    return np.where(x > 127, x - 256, x)
+    return x.astype(np.uint8).view(np.int8).astype(np.int32)
 
 
 def cross(element: np.ndarray, colour: np.ndarray) -> np.ndarray:
@@ -904,12 +946,6 @@ def padded(data: bytes) -> bytes:
     return data + b"\xff" * (-len(data) % BLOCK if data else BLOCK)
 
 
-def bits_a_value(counts: np.ndarray) -> float:
-    used = counts[counts > 0]
-    n = used.sum()
-    return float(np.log2(n) - used @ np.log2(used) / n)
-
-
 def shape_of(n_values: int) -> tuple[int, int]:
     """(height, width) of the least rectangle for this many pixels, 192 wide; wider only where an image may not be
     higher.  The last row may be longer than what is left for it."""
@@ -919,16 +955,11 @@ def shape_of(n_values: int) -> tuple[int, int]:
 
 
 def encode_payload(payload: bytes, kind: str | None = None) -> bytes:
-    """The payload as a file: ``palette`` or ``colour``; by default the one whose values have less entropy, and
-    ``colour`` for one payload of COLOUR_SHARE in any case, by its checksum.
+    """The payload as a file: ``colour``, so that each goes through all transforms and the cache, or ``palette`` on demand.
 
     A payload beyond one image's size becomes several files of the same width, one after the other.
     """
-    raw = np.frombuffer(payload, np.uint8)
-    if kind is None:
-        plain = bits_a_value(np.bincount(raw, minlength=256))
-        rest = bits_a_value(np.bincount(raw[3:] - raw[:-3], minlength=256))
-        kind = "colour" if rest < plain - 1 or zlib.crc32(payload) % COLOUR_SHARE == 0 else "palette"
+    raw, kind = np.frombuffer(payload, np.uint8), kind or "colour"
     each = 1 if kind == "palette" else 3  # bytes a pixel
     width = shape_of(len(raw) // each)[1]
     rows = MAX_SIDE if kind == "palette" else min(MAX_SIDE, max(1, COLOUR_PIXELS // width))
