@@ -9,9 +9,10 @@ partition, and probes the buckets that differ from it in up to t bits; what meet
 verified on all 64 bits.  Any sample gives complete results: it only moves the cost.
 
 Corpora are cleaned by another rule, the exact Jaccard similarity of five-word shingles
-(``drop_near_duplicates``): texts at a similarity of 0.8 differ in 10 bits of a fingerprint on average
-and often in more, which is too wide a radius to probe.  Candidates share one of BANDS keys of
-BAND_ROWS least hashes each; a pair at 0.8 shares none with a probability of 4e-7.
+(``drop_near_duplicates``), checked on candidates: sets whose fingerprints link by the same probes, and,
+as texts at a similarity of 0.8 differ in 10 bits of a fingerprint on average and often in more, which
+is too wide a radius to probe, also sets that share one of BANDS keys of BAND_ROWS least hashes each;
+a pair at 0.8 shares none with a probability of 4e-7.
 
 Equal fingerprints are one node from the start.  A bucket gives links enough to connect what it
 connects (a forest), never all pairs of a group: a member already reached isn't compared again.
@@ -59,7 +60,12 @@ def fingerprint(text: str | None) -> int:
     if not words:
         return 0
     shingles = [b" ".join(words)] if len(words) < SHINGLE else map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
-    hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], "<u8")
+    return majority(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    hashes = hashes.astype("<u8", copy=False)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -68,8 +74,11 @@ def fingerprint(text: str | None) -> int:
 
 def with_fingerprints(docs: DataFrame, text: str = "text", drop: tuple = ()) -> DataFrame:
     """Adds ``fp``, the fingerprint as a signed long.  Null and empty texts have 0."""
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return add_columns(docs, [text], "fp long", lambda: lambda texts: [[signed(fingerprint(t)) for t in texts]], drop)
+    return add_columns(docs, [text], "fp long", lambda: lambda texts: [[as_long(fingerprint(t)) for t in texts]], drop)
+
+
+def as_long(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 # ---- partitions and thresholds
@@ -360,15 +369,15 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def with_bands(docs: DataFrame, text: str = "text", drop: tuple = ()) -> DataFrame:
-    """Adds ``node`` (a hash of the shingle set; 0 without words), n_shingles and ``bands``."""
+    """Adds ``node`` (a hash of the shingle set; 0 without words), n_shingles, ``fp`` (the set's fingerprint) and ``bands``."""
 
     def rows(texts):
         sets = [shingle_set(t) for t in texts]
         nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets]
         keys = [band_keys(s).view(np.int64).tolist() if len(s) else [] for s in sets]
-        return [np.array(nodes, np.uint64).view(np.int64).tolist(), [len(s) for s in sets], keys]
+        return [np.array(nodes, np.uint64).view(np.int64).tolist(), [len(s) for s in sets], [as_long(majority(s)) for s in sets], keys]
 
-    return add_columns(docs, [text], "node long, n_shingles long, bands array<long>", lambda: rows, drop)
+    return add_columns(docs, [text], "node long, n_shingles long, fp long, bands array<long>", lambda: rows, drop)
 
 
 def similar_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -432,16 +441,29 @@ def cluster_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield linked()
 
 
+def band_links(rows: DataFrame) -> DataFrame:
+    """(node, bands) -> links (a, b) that connect the nodes that share a band's key."""
+    keys = rows.select("node", F.explode("bands").alias("key")).distinct()
+    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
+    return keys.join(shared, "key").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+
+
+def near_fingerprints(nodes: DataFrame) -> DataFrame:
+    """(node, fp) -> links (a, b) that connect the nodes whose fingerprints link, each with its component's least node."""
+    linked = link_fingerprints(nodes.select(F.col("node").alias("doc_id"), "fp"))
+    return linked.filter("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+
+
 def near_copies(rows: DataFrame) -> DataFrame:
-    """(row_id, text, node, n_shingles, bands) of a written table -> (node, root) of the nodes that have near copies.
+    """(row_id, text, node, n_shingles, fp, bands) of a written table -> (node, root) of the nodes that have near copies.
 
-    Nodes that share a band's key are candidates, and candidates' clusters are the groups in which sets are
-    compared; a cluster of more than CLUSTER_SHINGLES is dealt out by pairs of blocks.
+    Candidates are nodes whose fingerprints link (probed as in ``near_duplicates``), and, for pairs beyond that radius,
+    nodes that share a band's key.  Candidates' clusters are the groups in which sets are compared; a cluster of more
+    than CLUSTER_SHINGLES is dealt out by pairs of blocks.
     """
-    nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("row_id").alias("row_id"), F.first("n_shingles").alias("n_shingles"))
-    keys = rows.select("node", F.explode("bands").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
-    candidates = components(keys.join(shared, "key").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    nodes = cut(rows.filter("n_shingles > 0").groupBy("node").agg(F.min("row_id").alias("row_id"), F.first("n_shingles").alias("n_shingles"), F.first("fp").alias("fp")))
+    candidates = components(near_fingerprints(nodes).unionByName(band_links(rows)))
+    nodes = nodes.drop("fp")
     members = cut(nodes.join(candidates.withColumnRenamed("root", "cluster"), "node"))
     blocks = cut(members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES).alias("blocks"), F.count("*").alias("nodes")))
     members = cut(join_by_weight(members, blocks, "cluster", "nodes").select(F.col("row_id").alias("m_row_id"), "node", "cluster", "blocks"))
@@ -456,13 +478,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one of each group of near copies: the one with the least id.
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of NEAR or more,
-    directly or through chains.  Among rows with the same id, or with none, the columns' hash decides.
+    directly or through chains.  Candidates come from linked fingerprints and from shared bands.  Among rows with the same id, or with none, the columns' hash decides.
     Texts without words are alike; texts of any length count whole; columns keep their names and order,
     whatever they are called; an empty table gives no rows.
     """
     boxes = boxed(docs, "text").withColumn("row_id", F.monotonically_increasing_id())
     rows = written(with_bands(boxes, drop=("text",)), "near")
-    roots = near_copies(rows.select("row_id", F.col("boxed_row.text").alias("text"), "node", "n_shingles", "bands"))
+    roots = near_copies(rows.select("row_id", F.col("boxed_row.text").alias("text"), "node", "n_shingles", "fp", "bands"))
     slim = rows.select("row_id", "node", F.col("boxed_row.doc_id").alias("doc_id"), F.xxhash64("boxed_row").alias("row_hash"))
     named = slim.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_hash", "row_id")).alias("first")
