@@ -8,7 +8,7 @@ if it is dense (often, and a good share of the words) in many times as many: ste
 seldom, which is how texts in most languages are told.  Dense and strict marks make the toxic dictionary, strict ones
 alone a second; the ordinary dictionary has the ordinary class's dense marks.  No mark is in the core.
 
-A window is the head of one word, between a lead from the core and a trail that no text has.  Heads are written with two
+A window is the head of one word, or a piece of what follows it (behind a hyphen, so that all of a text counts), between a lead from the core and a trail that no text has.  Heads are written with two
 blanks and a capital before them, so that a stem at a word's start is no match for the same letters within a word.  Its
 distance is how many bytes fewer a toxic dictionary needs than the ordinary one.  A document's features are how many windows,
 how many different ones and which share of them lie above a distance; weights and threshold are calibrated on training rows,
@@ -54,13 +54,23 @@ def raw_words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8").split() or [b""]
 
 
+def rests(word: bytes) -> list[bytes]:
+    """What follows a word's head, in pieces behind a hyphen as long as a head: no byte of a text is left out."""
+    return [b"-" + word[k : k + HEAD - 1] for k in range(HEAD, len(word), HEAD - 1)]
+
+
+def pieces(words: list[bytes]) -> list[bytes]:
+    """Words, each followed by its rests."""
+    return [p for w in words for p in (w, *rests(w))]
+
+
 def head(word: bytes) -> bytes:
     return word[:1].upper() + word[1:HEAD]
 
 
 def tidy(text: str) -> bytes:
-    """The heads of all words, as the dictionaries have them."""
-    return b"  " + b"  ".join([head(w) for w in raw_words(text)]) + b"  "
+    """The heads and rests of all words, as the dictionaries have them."""
+    return b"  " + b"  ".join([head(w) for w in pieces(raw_words(text))]) + b"  "
 
 
 def prose_of(data: bytes) -> list[bytes]:
@@ -111,7 +121,7 @@ class Distance:
     def features(self, text: str | None) -> list[float]:
         """A constant, and for each toxic dictionary of the windows that save LEAST_SAVING: whether there are any, how many (different)
         ones, and their share of all, the last three as logarithms."""
-        words = raw_words(text)
+        words = pieces(raw_words(text))
         known = self.known
         new = {w for w in words if w not in known}
         if len(known) + len(new) > CACHED:
